@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Latin blocks whose letters are folded by rule (Latin-1, Extended-A/B, Additional).
 LATIN_RANGES = ((0x00A0, 0x0250), (0x1E00, 0x1F00))
@@ -35,15 +36,18 @@ def strip_accents(col: Column) -> Column:
     return F.regexp_replace(F.translate(col, accented, plain), r"\p{Mn}+", "")
 
 
-@F.pandas_udf("string")
-def strip_accents_any_script(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def strip_accents_any_script(col: Column) -> Column:
     """NFKD folding for scripts outside the Latin blocks, one Arrow batch at a time."""
-    for batch in batches:
-        folded = batch.str.normalize("NFKD")
-        yield folded.map(
-            lambda text: "".join(c for c in text if not unicodedata.combining(c)),
-            na_action="ignore",
-        )
+
+    @F.pandas_udf(T.StringType())
+    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.str.normalize("NFKD").map(
+                lambda text: "".join(c for c in text if not unicodedata.combining(c)),
+                na_action="ignore",
+            )
+
+    return fold(col)
 
 
 def clean_text(col: Column) -> Column:

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-N_RANGES = 128
+N_RANGES = 128  # a power of two
 SAMPLE_ROWS = 2048
 
 
@@ -51,15 +51,20 @@ def _with_range(weighted: DataFrame, value: str) -> DataFrame:
         .limit(SAMPLE_ROWS)
         .agg(F.sort_array(F.collect_list("v")).alias("vs"))
     )
-    step = F.greatest(F.lit(1), (F.size("vs") / F.lit(N_RANGES)).cast("int"))
-    splitters = sample.select(
-        F.filter("vs", lambda _, i: (i % step) == (step - 1)).alias("cuts")
-    ).scalar()
-    return (
-        weighted.withColumn("__cuts", splitters)
-        .withColumn("__range", F.size(F.filter("__cuts", lambda cut: cut < F.col(value))))
-        .drop("__cuts")
+    places = F.sequence(F.lit(1), F.lit(N_RANGES - 1))
+    cuts = F.transform(
+        places, lambda i: F.get("vs", F.floor(i * F.size("vs") / N_RANGES).cast("int"))
     )
+    out = weighted.withColumn("__cuts", sample.select(cuts).scalar()).withColumn(
+        "__range", F.lit(0)
+    )
+    # Binary search in generated code, one halving per projection.
+    step = N_RANGES // 2
+    while step:
+        above = F.get("__cuts", F.col("__range") + (step - 1)) < F.col(value)
+        out = out.withColumn("__range", F.col("__range") + F.when(above, step).otherwise(0))
+        step //= 2
+    return out.drop("__cuts")
 
 
 def exact_quantiles(

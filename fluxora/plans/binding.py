@@ -31,93 +31,99 @@ def star_spec() -> IndexSpec:
     return load_spec(STAR_SPEC)
 
 
-_SIGN = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", -1).otherwise(0)
-_MONTH = F.month("l_shipdate")
-
-LINE_COLUMNS = {
-    "chave": F.col("l_orderkey"),
-    "linha": F.col("l_linenumber"),
-    "saldomovimentacao": _SIGN,
-    "admissao": (F.col("l_returnflag") == "A").cast("int"),
-    "desligamento": (F.col("l_returnflag") == "R").cast("int"),
-    "ano": F.year("l_shipdate"),
-    "mes": _MONTH,
-    "semestre": F.when(_MONTH <= 6, 1).otherwise(2),
-    "competencia": F.date_format("l_shipdate", "yyyy-MM"),
-    "data": F.col("l_shipdate"),
-    "sexo": F.col("l_linestatus"),
-    "horascontratuais": F.col("l_quantity"),
-    "salario": F.when(F.col("l_discount") != 0, F.col("l_extendedprice")),
-    "valorsalariofixo": F.col("l_extendedprice"),
-    "indtrabparcial": F.when(F.col("l_tax") == 0, "Sim").when(F.col("l_tax") != 0.08, "Não"),
-    "indtrabintermitente": F.when(F.col("l_discount") >= 0.10, "Sim").otherwise("Não"),
-    "cod_municipio": F.when(
-        F.length(F.col("l_suppkey").cast("string")) < 7,
-        F.lpad(F.col("l_suppkey").cast("string"), 7, "0"),
-    ).otherwise(F.col("l_suppkey").cast("string")),
-}
-PLACE_COLUMNS = {
-    "municipio": F.col("s_name"),
-    "uf": F.col("sn.n_name"),
-    "regiao": F.col("sr.r_name"),
-}
-ORDER_COLUMNS = {
-    "categoria": F.col("o_orderstatus"),
-    "graudeinstrucao": F.col("o_orderpriority"),
-}
-CUSTOMER_COLUMNS = {
-    "racacor": F.col("c_mktsegment"),
-    "pais": F.col("cn.n_name"),
-    "continente": F.col("cr.r_name"),
-}
-PART_COLUMNS = {
-    "secao": F.col("p_type"),
-    "subclasse": F.col("p_brand"),
-    "cbo2002ocupacao": F.col("p_name"),
-    "idade": (F.col("p_size") + 14).cast("double"),
-    "faixa_etaria": age_band(F.col("p_size") + 14),
-}
-ALL_COLUMNS = {
-    **LINE_COLUMNS, **PLACE_COLUMNS, **ORDER_COLUMNS, **CUSTOMER_COLUMNS, **PART_COLUMNS,
-}
+PLACE = ("municipio", "uf", "regiao")
+ORDER = ("categoria", "graudeinstrucao")
+CUSTOMER = ("racacor", "pais", "continente")
+PART = ("secao", "subclasse", "cbo2002ocupacao", "idade", "faixa_etaria")
+
+
+def padded_code(key: str) -> Column:
+    text = F.col(key).cast("string")
+    return F.when(F.length(text) < 7, F.lpad(text, 7, "0")).otherwise(text)
+
+
+def column_rules() -> dict[str, Column]:
+    """Movement column -> expression over the joined star tables."""
+    sign = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", -1)
+    month = F.month("l_shipdate")
+    return {
+        "chave": F.col("l_orderkey"),
+        "linha": F.col("l_linenumber"),
+        "saldomovimentacao": sign.otherwise(0),
+        "admissao": (F.col("l_returnflag") == "A").cast("int"),
+        "desligamento": (F.col("l_returnflag") == "R").cast("int"),
+        "ano": F.year("l_shipdate"),
+        "mes": month,
+        "semestre": F.when(month <= 6, 1).otherwise(2),
+        "competencia": F.date_format("l_shipdate", "yyyy-MM"),
+        "data": F.col("l_shipdate"),
+        "sexo": F.col("l_linestatus"),
+        "horascontratuais": F.col("l_quantity"),
+        "salario": F.when(F.col("l_discount") != 0, F.col("l_extendedprice")),
+        "valorsalariofixo": F.col("l_extendedprice"),
+        "indtrabparcial": F.when(F.col("l_tax") == 0, "Sim").when(F.col("l_tax") != 0.08, "Não"),
+        "indtrabintermitente": F.when(F.col("l_discount") >= 0.10, "Sim").otherwise("Não"),
+        "cod_municipio": padded_code("l_suppkey"),
+        "municipio": F.col("s_name"),
+        "uf": F.col("sn.n_name"),
+        "regiao": F.col("sr.r_name"),
+        "categoria": F.col("o_orderstatus"),
+        "graudeinstrucao": F.col("o_orderpriority"),
+        "racacor": F.col("c_mktsegment"),
+        "pais": F.col("cn.n_name"),
+        "continente": F.col("cr.r_name"),
+        "secao": F.col("p_type"),
+        "subclasse": F.col("p_brand"),
+        "cbo2002ocupacao": F.col("p_name"),
+        "idade": (F.col("p_size") + 14).cast("double"),
+        "faixa_etaria": age_band(F.col("p_size") + 14),
+    }
 
 
 def movements(spark: SparkSession, sf_dir: str, columns: Sequence[str]) -> DataFrame:
     """The movement table with the given columns and only the joins they need."""
-    unknown = [c for c in columns if c not in ALL_COLUMNS]
+    rules = column_rules()
+    unknown = [c for c in columns if c not in rules]
     if unknown:
         raise ValueError(f"unknown movement columns: {unknown}")
 
-    def wants(group: dict[str, Column], *names: str) -> bool:
-        return any(c in columns for c in (names or group))
+    def wants(*names: str) -> bool:
+        return any(c in columns for c in names)
 
     def t(name: str) -> DataFrame:
         return table(spark, sf_dir, name)
 
     # Every foreign key has exactly one match, so inner joins keep all rows.
     df = t("lineitem")
-    if wants(PLACE_COLUMNS):
+    if wants(*PLACE):
         df = df.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        if wants({}, "uf", "regiao"):
+        if wants("uf", "regiao"):
             df = df.join(t("nation").alias("sn"), F.col("s_nationkey") == F.col("sn.n_nationkey"))
-        if wants({}, "regiao"):
+        if wants("regiao"):
             df = df.join(t("region").alias("sr"), F.col("sn.n_regionkey") == F.col("sr.r_regionkey"))
-    if wants(PART_COLUMNS):
+    if wants(*PART):
         df = df.join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    if wants(ORDER_COLUMNS) or wants(CUSTOMER_COLUMNS):
+    if wants(*ORDER, *CUSTOMER):
         df = df.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    if wants(CUSTOMER_COLUMNS):
+    if wants(*CUSTOMER):
         df = df.join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        if wants({}, "pais", "continente"):
+        if wants("pais", "continente"):
             df = df.join(t("nation").alias("cn"), F.col("c_nationkey") == F.col("cn.n_nationkey"))
-        if wants({}, "continente"):
+        if wants("continente"):
             df = df.join(t("region").alias("cr"), F.col("cn.n_regionkey") == F.col("cr.r_regionkey"))
-    return df.select(*[ALL_COLUMNS[c].alias(c) for c in columns])
+    return df.select(*[rules[c].alias(c) for c in columns])
 
 
-IN_STATE = F.col("regiao") == STATE_REGION
-IN_AREA = F.col("uf").isin(*AREA_STATES)
-SCOPES = scope_array(IN_STATE, IN_AREA)
+def in_state() -> Column:
+    return F.col("regiao") == STATE_REGION
+
+
+def in_area() -> Column:
+    return F.col("uf").isin(*AREA_STATES)
+
+
+def scopes() -> Column:
+    return scope_array(in_state(), in_area())
 
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,9 +134,8 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(
         r, F.col("n_regionkey") == F.col("r_regionkey")
     )
-    code = F.col("s_suppkey").cast("string")
     return joined.select(
-        F.when(F.length(code) < 7, F.lpad(code, 7, "0")).otherwise(code).alias("cod_municipio"),
+        padded_code("s_suppkey").alias("cod_municipio"),
         F.col("s_name").alias("municipio"),
         F.col("n_name").alias("uf"),
         F.col("r_name").alias("regiao"),

@@ -23,6 +23,7 @@ def local_session(cores: int | str = "*", app: str = "fluxora", **conf: str) ->
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.driver.host", "127.0.0.1")
     )

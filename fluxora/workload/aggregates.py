@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxora.operators import movement as mv
-from fluxora.plans.binding import SCOPES, movements, table
+from fluxora.plans.binding import movements, scopes
 from fluxora.workload.base import (
     MOV,
     SCOPE_WHERE,
     SUMS,
     WAGES,
     query,
-    r,
     rounded,
 )
 
@@ -105,4 +104,4 @@ MATRIX_COLUMNS = list(
 
 @query("table_matrix", _matrix_sql())
 def table_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(mv.table_matrix(movements(spark, sf, MATRIX_COLUMNS), SCOPES))
+    return rounded(mv.table_matrix(movements(spark, sf, MATRIX_COLUMNS), scopes()))
