@@ -50,9 +50,13 @@ def strip_accents_any_script(col: Column) -> Column:
     return fold(col)
 
 
+# Every Unicode blank, as one regular-expression class.
+BLANKS = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
+
+
 def clean_text(col: Column) -> Column:
     """Trim and collapse whitespace; NULL stays NULL."""
-    return F.trim(F.regexp_replace(col, r"\s+", " "))
+    return F.trim(F.regexp_replace(col, BLANKS, " "))
 
 
 def upper_key(col: Column) -> Column:

@@ -113,4 +113,7 @@ def load_all() -> None:
 
 MODULES: list[str] = [
     "aggregates",
+    "cleaning",
+    "ranking",
+    "territories",
 ]
