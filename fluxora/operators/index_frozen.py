@@ -21,7 +21,8 @@ from fluxora.functions.scoring import (
 )
 from fluxora.functions.text import is_yes
 from fluxora.operators.order_stats import exact_quantiles, rank_where
-from fluxora.operators.territory import diversity
+from fluxora.operators.rank import with_stats
+from fluxora.operators.territory import diversity, expand_to_universe
 
 BOUND_COLUMNS = (
     "a_volume_raw", "salario_relativo_r4", "shannon_cbo", "shannon_subclasse", "shannon_secao",
@@ -31,6 +32,10 @@ REQUIRED = (
     "municipio", "uf", "saldomovimentacao", "admissao", "desligamento", "salario",
     "indtrabintermitente", "indtrabparcial", "cbo2002ocupacao", "subclasse", "secao",
 )
+INPUT_COUNTS = (
+    "n_movimentacoes", "admissoes", "desligamentos", "saldo",
+    "n_parcial", "n_intermitente", "n_salarios_r4", "n_cbo", "n_subclasse", "n_secao",
+)
 SCORE_COLUMNS = (
     "admissoes", "desligamentos", "n_movimentacoes", "saldo", "calculavel", "reliability_class",
     "a_volume_raw", "a_volume_score", "a_saldo", "absorcao",
@@ -175,18 +180,21 @@ def index_inputs(
         F.count_if(hire & is_yes(F.col("indtrabintermitente"))).alias("n_intermitente"),
     )
     wages = relative_wages(df, period, place, spec)
-    # The scope median belongs to the period, not to the territories that have wages.
-    pooled = wages.groupBy(*period).agg(
-        F.max("salario_mediano_r4_escopo").alias("salario_mediano_r4_escopo")
-    )
     spread = diversity(df, keys, DIVERSITY)
-    out = counts.join(wages.drop("salario_mediano_r4_escopo"), keys, "left")
-    # Size bound: one row per calendar period.
-    out = out.join(F.broadcast(pooled), list(period), "left")
-    out = out.join(spread, keys, "left")
+    out = counts.join(wages, keys, "left").join(spread, keys, "left")
     return out.fillna(0, subset=["n_salarios_r4"])
 
 
+def expand_index(inputs: DataFrame, spine: DataFrame, period: Sequence[str]) -> DataFrame:
+    """All territories of the spine; the scope median belongs to the whole period."""
+    keys = [c for c in spine.columns if c in inputs.columns]
+    out = expand_to_universe(inputs, spine, keys, INPUT_COUNTS)
+    median = "salario_mediano_r4_escopo"
+    return with_stats(out, period, __scope=F.max(median)).withColumn(
+        median, F.col("__scope")
+    ).drop("__scope")
+
+
 def score_index(inputs: DataFrame, period: Sequence[str], spec: IndexSpec) -> DataFrame:
     """Components, index, reliability and version stamps: column expressions only."""
     n, left = F.col("admissoes"), F.col("desligamentos")

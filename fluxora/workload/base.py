@@ -116,4 +116,5 @@ MODULES: list[str] = [
     "cleaning",
     "ranking",
     "territories",
+    "indices",
 ]

@@ -173,13 +173,13 @@ def zscore(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "impute_topon",
+    "impute_median",
     f"""{HALF} SELECT ano, semestre, municipio, {r("coalesce(topo, m, 0)", "topo")} FROM h
-      LEFT JOIN (SELECT ano, semestre, topon(topo::DOUBLE) AS m FROM h GROUP BY ALL) USING (ano, semestre)""",
+      LEFT JOIN (SELECT ano, semestre, median(topo::DOUBLE) AS m FROM h GROUP BY ALL) USING (ano, semestre)""",
 )
-def impute_topon(spark: SparkSession, sf: str) -> DataFrame:
+def impute_median(spark: SparkSession, sf: str) -> DataFrame:
     df = half_years(spark, sf).select(*PERIOD, "municipio", "topo")
-    return rounded(rank.impute_topon(df, PERIOD, ["topo"]))
+    return rounded(rank.impute_median(df, PERIOD, ["topo"]))
 
 
 @query(
