@@ -118,18 +118,28 @@ def component_scores(
     moments += [F.stddev_pop(v).alias(f"__p_{v}") for v in names]
     moments += [F.stddev_samp(v).alias(f"__s_{v}") for v in names]
     for d in dimensions:
-        pairs = [F.corr(a, b) for a, b in combinations(d.variables, 2)]
-        pair_array = F.array(*pairs) if pairs else F.array().cast("array<double>")
-        moments.append(pair_array.alias(f"__c_{d.name}"))
+        moments += [
+            F.covar_pop(a, b).alias(f"__c_{d.name}_{i}")
+            for i, (a, b) in enumerate(combinations(d.variables, 2))
+        ]
     rows = join_null_safe(filled.groupBy(*period).agg(*moments), useful_row, period, "left")
 
+    def correlations(d: Dimension) -> Column:
+        """Pairwise correlations; NULL where a variable is constant."""
+        cells = [
+            F.col(f"__c_{d.name}_{i}")
+            / F.nullif(F.col(f"__p_{a}") * F.col(f"__p_{b}"), F.lit(0.0))
+            for i, (a, b) in enumerate(combinations(d.variables, 2))
+        ]
+        return F.array(*cells).cast("array<double>")
+
     def mask(d: Dimension) -> Column:
         return F.array(*[F.coalesce(F.col(f"__u_{v}"), F.lit(False)) for v in d.variables])
 
     rows = rows.withColumns(
         {
             f"__l_{d.name}": _loadings(
-                F.col(f"__c_{d.name}"), mask(d), [d.sign(v) for v in d.variables]
+                correlations(d), mask(d), [d.sign(v) for v in d.variables]
             )
             for d in dimensions
         }

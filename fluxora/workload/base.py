@@ -117,4 +117,5 @@ MODULES: list[str] = [
     "ranking",
     "territories",
     "indices",
+    "validation",
 ]

@@ -410,14 +410,21 @@ def report_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "report_problems",
-    "SELECT CAST(1 AS INTEGER) AS ano, CAST(1 AS INTEGER) AS semestre, CAST(0 AS BIGINT) AS n_faltando, "
-    "CAST(0 AS BIGINT) AS linhas_nan WHERE FALSE",
+    "report_blocks",
+    f"""{_flags_sql().replace(INDEX, CLASSED, 1).replace(" SELECT ano, semestre, 'lideres_com_contrato_fraco'", ", flags AS (SELECT ano, semestre, 'lideres_com_contrato_fraco'", 1)}),
+    n AS (SELECT ano, semestre, 'summary' AS bloco, CAST(1 AS BIGINT) AS linhas FROM k GROUP BY ALL
+      UNION ALL SELECT ano, semestre, 'classes', count(DISTINCT classe) FROM k GROUP BY ALL
+      UNION ALL SELECT ano, semestre, 'top_bottom', 2 * least(10, count(rank_n10)) FROM k GROUP BY ALL
+      UNION ALL SELECT ano, semestre, 'dimensions', 4 FROM k GROUP BY ALL
+      UNION ALL SELECT ano, semestre, 'alerts', count(*) FROM flags GROUP BY ALL)
+    SELECT *, CAST(0 AS BIGINT) AS linhas_nan FROM n WHERE linhas > 0""",
 )
-def report_problems(spark: SparkSession, sf: str) -> DataFrame:
-    # A sound report has no problem rows.
-    found = report.report_problems(report_json(spark, sf), PERIOD)
-    return found.select(*PERIOD, F.size("faltando").cast("long").alias("n_faltando"), "linhas_nan")
+def report_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    lines = report_json(spark, sf)
+    return lines.groupBy(*PERIOD, "bloco").agg(
+        F.count(F.lit(1)).alias("linhas"),
+        F.count_if(F.col("documento").contains("NaN")).alias("linhas_nan"),
+    )
 
 
 def indicators(spark: SparkSession, sf: str) -> DataFrame:
