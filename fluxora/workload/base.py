@@ -118,4 +118,5 @@ MODULES: list[str] = [
     "territories",
     "indices",
     "validation",
+    "layers",
 ]
