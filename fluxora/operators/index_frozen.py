@@ -20,7 +20,12 @@ from fluxora.functions.scoring import (
     wage_eligible,
 )
 from fluxora.functions.text import is_yes
-from fluxora.operators.order_stats import exact_quantiles, rank_where
+from fluxora.operators.order_stats import (
+    exact_quantiles,
+    quantiles_of_counts,
+    rank_where,
+    value_counts,
+)
 from fluxora.operators.rank import with_stats
 from fluxora.operators.territory import diversity, expand_to_universe
 
@@ -147,15 +152,14 @@ def relative_wages(
 ) -> DataFrame:
     """Median eligible wage of each territory, of the whole scope, and their ratio."""
     period, place = list(period), list(place)
-    wages = eligible_wages(df, spec).select(
-        *period, *place, F.col("salario").cast("double").alias("__wage")
-    )
-    local = exact_quantiles(
-        wages, [*period, *place], "__wage", {"salario_mediano_r4_municipio": 0.5}
-    )
-    counts = wages.groupBy(*period, *place).agg(F.count(F.lit(1)).alias("n_salarios_r4"))
-    pooled = exact_quantiles(wages, period, "__wage", {"salario_mediano_r4_escopo": 0.5})
-    joined = counts.join(local, [*period, *place], "left")
+    wages = eligible_wages(df, spec).select(*period, *place, "salario")
+    keys = [*period, *place]
+    counts, rows = value_counts(wages, keys, "salario")
+    # The counts per (territory, wage) serve the local and the pooled medians.
+    local = quantiles_of_counts(counts, rows, keys, {"salario_mediano_r4_municipio": 0.5})
+    pooled = exact_quantiles(counts, period, "__v", {"salario_mediano_r4_escopo": 0.5}, "__n")
+    sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("n_salarios_r4"))
+    joined = sizes.join(local, keys, "left")
     # Size bound: one row per calendar period.
     joined = joined.join(F.broadcast(pooled), period, "left")
     return joined.withColumn(

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxora.operators.order_stats import exact_quantiles, join_null_safe
-from fluxora.session import stage
+from fluxora.operators.order_stats import join_null_safe, quantiles_of_counts
+from fluxora.session import stage_counted
 
 FLAGS = {"admissoes": "admissao", "desligamentos": "desligamento", "saldo": "saldomovimentacao"}
 METRICS = tuple(FLAGS)
@@ -52,23 +52,24 @@ def movement_total(df: DataFrame, period: str | None = None) -> DataFrame:
 def _wage_counts(df: DataFrame, dims: Sequence[str], wage: str) -> DataFrame:
     """One row per (dims, wage) with its row count and movement sums."""
     clean = F.col(wage).cast("double")
-    return df.groupBy(*dims, F.when(~F.isnan(clean), clean).alias("__wage")).agg(
+    return df.groupBy(*dims, F.when(~F.isnan(clean), clean).alias("__v")).agg(
         F.count(F.lit(1)).alias("__n"), *movement_sums()
     )
 
 
-def _wage_summary(counts: DataFrame, dims: Sequence[str]) -> DataFrame:
+def _wage_summary(counts: DataFrame, rows: int, dims: Sequence[str]) -> DataFrame:
     """Wage statistics per ``dims`` from staged (dims, wage) counts."""
-    weight = F.when(F.col("__wage").isNotNull(), F.col("__n"))
+    weight = F.when(F.col("__v").isNotNull(), F.col("__n"))
     n_valid = F.coalesce(F.sum(weight), F.lit(0).cast("long"))
     simple = counts.groupBy(*dims).agg(
         *[F.sum(m).alias(m) for m in METRICS],
         n_valid.alias("n_salarios_validos"),
-        (F.sum(F.col("__wage") * F.col("__n")) / F.sum(weight)).alias("salario_medio"),
-        F.min("__wage").alias("salario_min"),
-        F.max("__wage").alias("salario_max"),
+        (F.sum(F.col("__v") * F.col("__n")) / F.sum(weight)).alias("salario_medio"),
+        F.min("__v").alias("salario_min"),
+        F.max("__v").alias("salario_max"),
     )
-    quantiles = exact_quantiles(counts, dims, "__wage", WAGE_QUANTILES, weight="__n")
+    valid = counts.where(F.col("__v").isNotNull())
+    quantiles = quantiles_of_counts(valid, rows, dims, WAGE_QUANTILES)
     joined = join_null_safe(simple, quantiles, dims, "left")
     return joined.select(*dims, *METRICS, *WAGE_STATS)
 
@@ -79,8 +80,8 @@ def wage_aggregate(df: DataFrame, dims: Sequence[str], wage: str = "salario") ->
     The fact table is read once; the counts per (dims, wage) are staged because the
     summary and the quantiles both start from them.
     """
-    counts = stage(_wage_counts(df, dims, wage), "wage-counts")
-    return _wage_summary(counts, dims)
+    counts, rows = stage_counted(_wage_counts(df, dims, wage), "wage-counts")
+    return _wage_summary(counts, rows, dims)
 
 
 @dataclass(frozen=True)
@@ -185,14 +186,14 @@ def table_matrix(
     if waged:
         dims = [d for d in all_dims if any(d in s.dims for s in waged)]
         wage = F.col("salario").cast("double")
-        clean = tagged.withColumn("__wage", F.when(~F.isnan(wage), wage))
-        kept = [*fixed, "__wage"]
+        clean = tagged.withColumn("__v", F.when(~F.isnan(wage), wage))
+        kept = [*fixed, "__v"]
         counts = clean.groupingSets([[*s.dims, *kept] for s in waged], *dims, *kept).agg(
             F.grouping_id().alias("__gid"), F.count(F.lit(1)).alias("__n"), *movement_sums()
         )
         counts = counts.withColumn("tabela", _name_of(waged, dims, kept)).drop("__gid", "__scope")
-        counts = stage(counts, "matrix-wages")
-        parts.append(complete(_wage_summary(counts, ["tabela", *period, *dims])))
+        counts, rows = stage_counted(counts, "matrix-wages")
+        parts.append(complete(_wage_summary(counts, rows, ["tabela", *period, *dims])))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -1,13 +1,16 @@
-"""Exact order statistics that never bring one whole group to one task.
+"""Exact order statistics that never bring one unbounded group to one task.
 
 Quantiles and dense ranks are usually computed by a per-group aggregate buffer or a
-per-group sort; both put a hot group on a single task.  Here the values are cut into
-ranges by splitters drawn from the data itself, the counts per range (a few dozen rows
-per group) locate the wanted positions, and only single ranges are ever sorted.
-
-The splitters come from the rows with the smallest hashes of all distinct (key, value)
-pairs.  That sample has a fixed size, and it is a function of the data alone, so a
-recomputed task or a second evaluation of the subplan sees the same ranges.
+per-group sort; both put a hot group on a single task.  Here the rows are first reduced
+to one row per (keys, value) and written once.  The number of rows written is an upper
+bound for every group.  Below ``SMALL_ROWS`` a plain aggregate or window is safe and
+fastest.  Above it the values are cut into ranges by splitters drawn from the data, the
+counts per range (at most ``N_RANGES`` rows per group) locate the wanted positions, and
+only single ranges are ever sorted.
+
+The splitters come from the rows with the smallest hashes.  That sample has a fixed
+size, and it is a function of the data alone, so a recomputed task or a second
+evaluation of the subplan sees the same ranges.
 """
 
 from __future__ import annotations
@@ -17,6 +20,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxora.session import stage_counted
+
+SMALL_ROWS = 1_000_000
 N_RANGES = 128  # a power of two
 SAMPLE_ROWS = 2048
 
@@ -40,13 +46,11 @@ def join_null_safe(
     return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
 
 
-def _with_range(weighted: DataFrame, value: str) -> DataFrame:
+def _with_range(staged: DataFrame, value: str) -> DataFrame:
     """Add ``__range``: how many splitters lie below the value (monotone in the value)."""
-    # Every column goes into the hash so that all readers of ``weighted`` need the same
-    # columns and Spark can reuse its one exchange.
-    order = F.xxhash64(*[F.col(c) for c in weighted.columns])
+    order = F.xxhash64(*[F.col(c) for c in staged.columns])
     sample = (
-        weighted.select(F.col(value).alias("v"), order.alias("h"))
+        staged.select(F.col(value).alias("v"), order.alias("h"))
         .orderBy("h", "v")
         .limit(SAMPLE_ROWS)
         .agg(F.sort_array(F.collect_list("v")).alias("vs"))
@@ -55,7 +59,7 @@ def _with_range(weighted: DataFrame, value: str) -> DataFrame:
     cuts = F.transform(
         places, lambda i: F.get("vs", F.floor(i * F.size("vs") / N_RANGES).cast("int"))
     )
-    out = weighted.withColumn("__cuts", sample.select(cuts).scalar()).withColumn(
+    out = staged.withColumn("__cuts", sample.select(cuts).scalar()).withColumn(
         "__range", F.lit(0)
     )
     # Binary search in generated code, one halving per projection.
@@ -67,27 +71,56 @@ def _with_range(weighted: DataFrame, value: str) -> DataFrame:
     return out.drop("__cuts")
 
 
+def value_counts(
+    df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None
+) -> tuple[DataFrame, int]:
+    """Staged (keys, __v, __n) of the non-NULL values, and how many rows that are."""
+    count = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).cast("double").alias("__v"))
+        .agg(count.cast("long").alias("__n"))
+    )
+    return stage_counted(counts, "value-counts")
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probs: dict[str, float],
     weight: str | None = None,
+    small_rows: int | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles of ``value`` per ``keys`` (NULL is a key of its own).
 
     ``probs`` maps output names to probabilities; ``weight`` names a count column when
     ``df`` is already aggregated.  NULL values are ignored.
     """
+    counts, rows = value_counts(df, keys, value, weight)
+    return quantiles_of_counts(counts, rows, keys, probs, small_rows)
+
+
+def quantiles_of_counts(
+    counts: DataFrame,
+    rows: int,
+    keys: Sequence[str],
+    probs: dict[str, float],
+    small_rows: int | None = None,
+) -> DataFrame:
+    """:func:`exact_quantiles` of staged (keys, __v, __n) counts with ``rows`` rows."""
     keys = list(keys)
-    count = F.sum(weight) if weight else F.count(F.lit(1))
-    weighted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("__v"))
-        .agg(count.cast("long").alias("__n"))
-    )
-    ranged = _with_range(weighted, "__v")
+    if rows <= (SMALL_ROWS if small_rows is None else small_rows):
+        points = F.array(*[F.lit(float(p)) for p in probs.values()])
+        found = counts.groupBy(*keys).agg(F.percentile("__v", points, F.col("__n")).alias("__q"))
+        return found.select(
+            *keys, *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(probs)]
+        )
+    return _quantiles_by_range(counts, keys, probs)
 
+
+def _quantiles_by_range(counts: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    ranged = _with_range(counts.select(*keys, "__v", "__n"), "__v")
     cells = ranged.groupBy(*keys, "__range").agg(F.sum("__n").alias("__cell"))
     whole = Window.partitionBy(*keys)
     running = whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -144,15 +177,28 @@ def exact_quantiles(
     return found.select(*keys, *[between(n, p).alias(n) for n, p in probs.items()])
 
 
-def dense_rank_desc(df: DataFrame, keys: Sequence[str], score: str, name: str) -> DataFrame:
+def dense_rank_desc(
+    df: DataFrame, keys: Sequence[str], score: str, name: str, small_rows: int | None = None
+) -> DataFrame:
     """Add the dense descending rank of ``score`` within ``keys``; NULL stays NULL.
 
     Ties share a rank because only distinct scores are ranked and joined back.
     """
     keys = list(keys)
-    distinct = (
-        df.where(F.col(score).isNotNull()).select(*keys, F.col(score).alias("__v")).distinct()
+    distinct, rows = stage_counted(
+        df.where(F.col(score).isNotNull()).select(*keys, F.col(score).alias("__v")).distinct(),
+        "distinct-scores",
     )
+    if rows <= (SMALL_ROWS if small_rows is None else small_rows):
+        order = Window.partitionBy(*keys).orderBy(F.desc("__v"))
+        ranked = distinct.withColumn(name, F.row_number().over(order).cast("long"))
+    else:
+        ranked = _ranks_by_range(distinct, keys, name)
+    ranks = ranked.select(*keys, F.col("__v").alias(score), name)
+    return join_null_safe(df, ranks, [*keys, score], "left")
+
+
+def _ranks_by_range(distinct: DataFrame, keys: list[str], name: str) -> DataFrame:
     ranged = _with_range(distinct, "__v")
     cells = ranged.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__cell"))
     above = (
@@ -164,12 +210,9 @@ def dense_rank_desc(df: DataFrame, keys: Sequence[str], score: str, name: str) -
         *keys, "__range", F.coalesce(F.sum("__cell").over(above), F.lit(0)).alias("__base")
     )
     local = Window.partitionBy(*keys, "__range").orderBy(F.desc("__v"))
-    ranks = (
-        join_null_safe(ranged, cells, [*keys, "__range"], "inner")
-        .withColumn(name, (F.col("__base") + F.row_number().over(local)).cast("long"))
-        .select(*keys, F.col("__v").alias(score), name)
+    return join_null_safe(ranged, cells, [*keys, "__range"], "inner").withColumn(
+        name, (F.col("__base") + F.row_number().over(local)).cast("long")
     )
-    return join_null_safe(df, ranks, [*keys, score], "left")
 
 
 def rank_where(

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Applied only where the session has not chosen a value itself.
 RUNTIME_DEFAULTS = {
@@ -67,6 +68,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """:func:`stage` that also tells the row count, observed while writing."""
+    seen = Observation()
+    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return staged, int(seen.get["rows"])
+
+
 def release(spark: SparkSession) -> None:
     """Delete everything :func:`stage` and the scratch sinks wrote for this folder."""
     jvm = spark.sparkContext._jvm
