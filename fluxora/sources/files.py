@@ -26,14 +26,26 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, length, modificationTime) of all files below ``root``; contents are not read."""
-    return (
+    """(path, length, modificationTime) of all files below ``root``; contents are not read.
+
+    Spark plans no scan for files of zero bytes, so those are added from the file index
+    with length 0 and no time.
+    """
+    found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .load(root)
-        .select("path", "length", "modificationTime")
     )
+    sized = found.select("path", "length", "modificationTime")
+    # The index is driver-side metadata already; only the names are handed back to Spark.
+    names = spark.createDataFrame([(u,) for u in found.inputFiles()], "url string")
+    decoded = F.url_decode(F.replace("url", F.lit("+"), F.lit("%2B")))
+    names = names.select(F.regexp_replace(decoded, "^file:/+", "file:/").alias("path"))
+    empty = names.join(sized, "path", "left_anti").select(
+        "path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("t")
+    )
+    return sized.unionByName(empty.withColumnRenamed("t", "modificationTime"))
 
 
 def path_value(name: str, path: str = "path") -> Column:
