@@ -61,12 +61,12 @@ def clean_text(col: Column) -> Column:
 
 def upper_key(col: Column) -> Column:
     """Upper-case, accent-free, single-spaced label."""
-    return F.upper(strip_accents(clean_text(col)))
+    return F.upper(clean_text(strip_accents(col)))
 
 
 def join_key(col: Column) -> Column:
     """``upper_key`` with punctuation as spaces; empty and "nan" become NULL."""
-    spaced = clean_text(F.regexp_replace(strip_accents(F.trim(col)), r"[.,;:/\-_|]+", " "))
+    spaced = clean_text(F.regexp_replace(strip_accents(col), r"[.,;:/\-_|]+", " "))
     key = F.upper(spaced)
     return F.when((key != "") & (F.lower(F.trim(col)) != "nan"), key)
 

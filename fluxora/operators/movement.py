@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluxora.functions.numbers import ratio
 from fluxora.operators.order_stats import join_null_safe, quantiles_of_counts
-from fluxora.session import stage_counted
+from fluxora.session import stage, stage_counted
 
 FLAGS = {"admissoes": "admissao", "desligamentos": "desligamento", "saldo": "saldomovimentacao"}
 METRICS = tuple(FLAGS)
@@ -57,16 +58,36 @@ def _wage_counts(df: DataFrame, dims: Sequence[str], wage: str) -> DataFrame:
     )
 
 
-def _wage_summary(counts: DataFrame, rows: int, dims: Sequence[str]) -> DataFrame:
-    """Wage statistics per ``dims`` from staged (dims, wage) counts."""
+def _wage_sums() -> list[Column]:
+    """Sums over (dims, wage) counts that can be added up further."""
     weight = F.when(F.col("__v").isNotNull(), F.col("__n"))
-    n_valid = F.coalesce(F.sum(weight), F.lit(0).cast("long"))
-    simple = counts.groupBy(*dims).agg(
+    return [
         *[F.sum(m).alias(m) for m in METRICS],
-        n_valid.alias("n_salarios_validos"),
-        (F.sum(F.col("__v") * F.col("__n")) / F.sum(weight)).alias("salario_medio"),
+        F.coalesce(F.sum(weight), F.lit(0).cast("long")).alias("__nv"),
+        F.sum(F.col("__v") * F.col("__n")).alias("__total"),
         F.min("__v").alias("salario_min"),
         F.max("__v").alias("salario_max"),
+    ]
+
+
+def _wage_rollup(groups: DataFrame, dims: Sequence[str]) -> DataFrame:
+    rolled = groups.groupBy(*dims).agg(
+        *[F.sum(m).alias(m) for m in METRICS],
+        F.sum("__nv").alias("n_salarios_validos"),
+        F.sum("__total").alias("__total"),
+        F.min("salario_min").alias("salario_min"),
+        F.max("salario_max").alias("salario_max"),
+    )
+    mean = ratio(F.col("__total"), F.col("n_salarios_validos"))
+    return rolled.withColumn("salario_medio", mean).drop("__total")
+
+
+def _wage_summary(counts: DataFrame, rows: int, dims: Sequence[str]) -> DataFrame:
+    """Wage statistics per ``dims`` from staged (dims, wage) counts."""
+    simple = counts.groupBy(*dims).agg(*_wage_sums())
+    mean = ratio(F.col("__total"), F.col("__nv"))
+    simple = simple.withColumn("salario_medio", mean).withColumnRenamed(
+        "__nv", "n_salarios_validos"
     )
     valid = counts.where(F.col("__v").isNotNull())
     quantiles = quantiles_of_counts(valid, rows, dims, WAGE_QUANTILES)
@@ -132,15 +153,29 @@ def _grouping_number(all_dims: Sequence[str], chosen: Sequence[str]) -> int:
     )
 
 
-def _name_of(specs: Sequence[TableSpec], dims: Sequence[str], fixed: Sequence[str]) -> Column:
-    """Table name from (grouping number, scope); NULL where a table has no such scope."""
+def _maximal_sets(specs: Sequence[TableSpec]) -> list[tuple[str, ...]]:
+    """Dimension sets not contained in another one; every table rolls up from one of them."""
+    sets = list(dict.fromkeys(s.dims for s in specs))
+    return [s for s in sets if not any(set(s) < set(other) for other in sets)]
+
+
+def _into_tables(
+    df: DataFrame, specs: Sequence[TableSpec], dims: Sequence[str], kept: Sequence[str],
+    only: Column | None = None,
+) -> DataFrame:
+    """One copy of each row per (table, scope) it counts in, with foreign dims set to NULL."""
     entries = []
     for spec in specs:
-        number = _grouping_number([*dims, *fixed], [*spec.dims, *fixed])
+        cells = [
+            (F.col(d) if d in spec.dims else F.lit(None).cast("string")).alias(d) for d in dims
+        ]
         for scope in spec.scopes:
-            entries += [F.lit(f"{number}/{scope}"), F.lit(spec.full_name(scope))]
-    key = F.concat_ws("/", F.col("__gid").cast("string"), F.col("__scope"))
-    return F.element_at(F.create_map(*entries), key)
+            member = F.array_contains("__scopes", scope)
+            name = F.lit(spec.full_name(scope)).alias("tabela")
+            entries.append(F.when(member, F.struct(name, *cells)))
+    tagged = df if only is None else df.where(only)
+    exploded = tagged.select(F.explode(F.array_compact(F.array(*entries))).alias("__t"), *kept)
+    return exploded.select("__t.*", *kept)
 
 
 def table_matrix(
@@ -151,49 +186,81 @@ def table_matrix(
 ) -> DataFrame:
     """All tables of the matrix in long form: ``tabela``, period, dims, metrics, wage stats.
 
-    ``scopes`` is the array of scope names a row belongs to.  Every movement table comes
-    from one scan with grouping sets, every wage table from a second one; partial
-    aggregation collapses the expanded rows before the shuffle.
+    ``scopes`` is the array of scope names a row belongs to.  The facts are aggregated
+    only for the widest dimension sets, with the scope array as one more key; smaller
+    tables and the scopes themselves roll up from those results.  With wage tables the
+    counts per (their dims, wage) are written once and also feed every movement table
+    over the same dims.
     """
+    period = list(period)
     all_dims = matrix_dims(specs)
-    tagged = df.withColumn("__scope", F.explode(scopes))
-    plain = [s for s in specs if not s.wages]
+    tagged = df.withColumn("__scopes", scopes)
     waged = [s for s in specs if s.wages]
-    period = list(period)
-    out_cols = ["tabela", *period, *all_dims, *METRICS, *WAGE_STATS]
+    wage_dims = [d for d in all_dims if any(d in s.dims for s in waged)]
+    from_wages = [s for s in specs if waged and not s.wages and set(s.dims) <= set(wage_dims)]
+    plain = [s for s in specs if not s.wages and s not in from_wages]
+    keys = ["tabela", *period, *all_dims]
 
-    def complete(part: DataFrame) -> DataFrame:
-        missing = {d: F.lit(None).cast("string") for d in all_dims if d not in part.columns}
-        missing |= {
+    def finish(part: DataFrame) -> DataFrame:
+        missing = {
             s: F.lit(None).cast("long" if s == "n_salarios_validos" else "double")
             for s in WAGE_STATS
             if s not in part.columns
         }
-        return part.withColumns(missing).select(*out_cols)
+        return part.withColumns(missing).select(*keys, *METRICS, *WAGE_STATS)
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in METRICS])
 
-    fixed = ["__scope", *period]
     parts = []
     if plain:
-        dims = [d for d in all_dims if any(d in s.dims for s in plain)]
-        sets = [[*s.dims, *fixed] for s in plain]
-        movement = (
-            tagged.groupingSets(sets, *dims, *fixed)
-            .agg(F.grouping_id().alias("__gid"), *movement_sums())
-            .withColumn("tabela", _name_of(plain, dims, fixed))
-            .where(F.col("tabela").isNotNull())
+        bases = _maximal_sets(plain)
+        dims = [d for d in all_dims if any(d in b for b in bases)]
+        fixed = ["__scopes", *period]
+        widest = tagged.groupingSets([[*b, *fixed] for b in bases], *dims, *fixed).agg(
+            F.grouping_id().alias("__gid"), *movement_sums()
         )
-        parts.append(complete(movement))
+        absent = {d: F.lit(None).cast("string") for d in all_dims if d not in dims}
+        # Written once: every base set below reads its own part of it.
+        widest = stage(widest.withColumns(absent) if absent else widest, "matrix-bases")
+        rows = None
+        for base in bases:
+            fed = [
+                s for s in plain
+                if next(b for b in bases if set(s.dims) <= set(b)) == base
+            ]
+            mine = F.col("__gid") == _grouping_number([*dims, *fixed], [*base, *fixed])
+            part = _into_tables(widest, fed, all_dims, [*period, *METRICS], mine)
+            rows = part if rows is None else rows.unionByName(part)
+        parts.append(finish(summed(rows)))
     if waged:
-        dims = [d for d in all_dims if any(d in s.dims for s in waged)]
-        wage = F.col("salario").cast("double")
-        clean = tagged.withColumn("__v", F.when(~F.isnan(wage), wage))
-        kept = [*fixed, "__v"]
-        counts = clean.groupingSets([[*s.dims, *kept] for s in waged], *dims, *kept).agg(
-            F.grouping_id().alias("__gid"), F.count(F.lit(1)).alias("__n"), *movement_sums()
+        fine = ["__scopes", *period, *wage_dims]
+        counts, n_rows = stage_counted(_wage_counts(tagged, fine, "salario"), "matrix-wages")
+
+        def into(tables: Sequence[TableSpec], rows: DataFrame, kept: Sequence[str]) -> DataFrame:
+            return _into_tables(rows, tables, wage_dims, [*period, *kept])
+
+        def complete(rows: DataFrame) -> DataFrame:
+            absent = {d: F.lit(None).cast("string") for d in all_dims if d not in wage_dims}
+            return rows.withColumns(absent) if absent else rows
+
+        # One row per fine group carries everything but the quantiles.
+        groups = counts.groupBy(*fine).agg(*_wage_sums())
+        simple_columns = [*METRICS, "__nv", "__total", "salario_min", "salario_max"]
+        if from_wages:
+            parts.append(finish(summed(complete(into(from_wages, groups, simple_columns)))))
+        table_keys = ["tabela", *period, *wage_dims]
+        simple = _wage_rollup(into(waged, groups, simple_columns), table_keys)
+        quantiles = quantiles_of_counts(
+            counts.where(F.col("__v").isNotNull()),
+            n_rows,
+            table_keys,
+            WAGE_QUANTILES,
+            expand=lambda rows, kept: into(waged, rows, kept),
+            copies=sum(len(s.scopes) for s in waged),
         )
-        counts = counts.withColumn("tabela", _name_of(waged, dims, kept)).drop("__gid", "__scope")
-        counts, rows = stage_counted(counts, "matrix-wages")
-        parts.append(complete(_wage_summary(counts, rows, ["tabela", *period, *dims])))
+        joined = join_null_safe(simple, quantiles, table_keys, "left")
+        parts.append(finish(complete(joined)))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -15,7 +15,7 @@ evaluation of the subplan sees the same ranges.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,27 +101,46 @@ def exact_quantiles(
     return quantiles_of_counts(counts, rows, keys, probs, small_rows)
 
 
+Expand = Callable[[DataFrame, Sequence[str]], DataFrame]
+
+
 def quantiles_of_counts(
     counts: DataFrame,
     rows: int,
     keys: Sequence[str],
     probs: dict[str, float],
     small_rows: int | None = None,
+    expand: Expand | None = None,
+    copies: int = 1,
 ) -> DataFrame:
-    """:func:`exact_quantiles` of staged (keys, __v, __n) counts with ``rows`` rows."""
+    """:func:`exact_quantiles` of staged counts with ``rows`` rows.
+
+    ``counts`` has one row per group and value: the group columns, ``__v`` and ``__n``.
+    With ``expand`` the groups are finer than ``keys``: it turns a row into at most
+    ``copies`` rows with the ``keys`` columns, keeping the named other columns.
+    """
     keys = list(keys)
-    if rows <= (SMALL_ROWS if small_rows is None else small_rows):
+    if rows * copies <= (SMALL_ROWS if small_rows is None else small_rows):
+        spread = expand(counts, ["__v", "__n"]) if expand else counts
         points = F.array(*[F.lit(float(p)) for p in probs.values()])
-        found = counts.groupBy(*keys).agg(F.percentile("__v", points, F.col("__n")).alias("__q"))
+        found = spread.groupBy(*keys).agg(F.percentile("__v", points, F.col("__n")).alias("__q"))
         return found.select(
             *keys, *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(probs)]
         )
-    return _quantiles_by_range(counts, keys, probs)
+    return _quantiles_by_range(counts, keys, probs, expand)
 
 
-def _quantiles_by_range(counts: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
-    ranged = _with_range(counts.select(*keys, "__v", "__n"), "__v")
-    cells = ranged.groupBy(*keys, "__range").agg(F.sum("__n").alias("__cell"))
+def _quantiles_by_range(
+    counts: DataFrame, keys: list[str], probs: dict[str, float], expand: Expand | None
+) -> DataFrame:
+    ranged = _with_range(counts, "__v")
+    fine = [c for c in counts.columns if c not in ("__v", "__n")] if expand else keys
+    cells = ranged.groupBy(*fine, "__range").agg(F.sum("__n").alias("__cell"))
+    if expand:
+        # Ranges depend on the value alone, so the small cells are spread, not the rows.
+        cells = expand(cells, ["__range", "__cell"])
+        cells = cells.groupBy(*keys, "__range").agg(F.sum("__cell").alias("__cell"))
+        ranged = expand(ranged, ["__range", "__v", "__n"])
     whole = Window.partitionBy(*keys)
     running = whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(
