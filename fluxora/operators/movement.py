@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fluxora.functions.numbers import ratio
 from fluxora.operators.order_stats import join_null_safe, quantiles_of_counts
-from fluxora.session import stage, stage_counted
+from fluxora.session import stage_counted
 
 FLAGS = {"admissoes": "admissao", "desligamentos": "desligamento", "saldo": "saldomovimentacao"}
 METRICS = tuple(FLAGS)
@@ -161,21 +161,34 @@ def _maximal_sets(specs: Sequence[TableSpec]) -> list[tuple[str, ...]]:
 
 def _into_tables(
     df: DataFrame, specs: Sequence[TableSpec], dims: Sequence[str], kept: Sequence[str],
-    only: Column | None = None,
+    source: dict[TableSpec, int] | None = None,
 ) -> DataFrame:
-    """One copy of each row per (table, scope) it counts in, with foreign dims set to NULL."""
+    """One copy of each row per (table, scope) it counts in, with foreign dims set to NULL.
+
+    ``source`` names the grouping number (``__gid``) whose rows feed each table.
+    """
+    scope, gid = F.col("__scope"), F.col("__gid")
+    marked = ["__gid"] if source else []
+    rows = df.select(F.explode("__scopes").alias("__scope"), *marked, *dims, *kept)
     entries = []
     for spec in specs:
         cells = [
             (F.col(d) if d in spec.dims else F.lit(None).cast("string")).alias(d) for d in dims
         ]
-        for scope in spec.scopes:
-            member = F.array_contains("__scopes", scope)
-            name = F.lit(spec.full_name(scope)).alias("tabela")
-            entries.append(F.when(member, F.struct(name, *cells)))
-    tagged = df if only is None else df.where(only)
-    exploded = tagged.select(F.explode(F.array_compact(F.array(*entries))).alias("__t"), *kept)
-    return exploded.select("__t.*", *kept)
+        entry = F.struct(F.lit(spec.name).alias("tabela"), *cells)
+        wanted = F.lit(True)
+        if not set(spec.scopes) >= {"br", "pr", "rmc"}:
+            wanted = wanted & scope.isin(*spec.scopes)
+        if source:
+            wanted = wanted & (gid == source[spec])
+        entries.append(F.when(wanted, entry))
+    rows = rows.select(
+        scope, F.explode(F.array_compact(F.array(*entries))).alias("__t"), *kept
+    )
+    name = F.when(scope == "br", F.col("__t.tabela")).otherwise(
+        F.concat_ws("_", "__t.tabela", scope)
+    )
+    return rows.select(name.alias("tabela"), *[F.col("__t")[d].alias(d) for d in dims], *kept)
 
 
 def table_matrix(
@@ -221,17 +234,12 @@ def table_matrix(
             F.grouping_id().alias("__gid"), *movement_sums()
         )
         absent = {d: F.lit(None).cast("string") for d in all_dims if d not in dims}
-        # Written once: every base set below reads its own part of it.
-        widest = stage(widest.withColumns(absent) if absent else widest, "matrix-bases")
-        rows = None
-        for base in bases:
-            fed = [
-                s for s in plain
-                if next(b for b in bases if set(s.dims) <= set(b)) == base
-            ]
-            mine = F.col("__gid") == _grouping_number([*dims, *fixed], [*base, *fixed])
-            part = _into_tables(widest, fed, all_dims, [*period, *METRICS], mine)
-            rows = part if rows is None else rows.unionByName(part)
+        widest = widest.withColumns(absent) if absent else widest
+        source = {}
+        for spec in plain:
+            base = next(b for b in bases if set(spec.dims) <= set(b))
+            source[spec] = _grouping_number([*dims, *fixed], [*base, *fixed])
+        rows = _into_tables(widest, plain, all_dims, [*period, *METRICS], source)
         parts.append(finish(summed(rows)))
     if waged:
         fine = ["__scopes", *period, *wage_dims]
