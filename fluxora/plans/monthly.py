@@ -11,6 +11,7 @@ from fluxora.operators import movement as mv
 from fluxora.operators import quality
 from fluxora.operators.clean import clean_movements
 from fluxora.session import stage
+from fluxora.sources.files import write_json
 from fluxora.sources.lake import read_delimited, write_table
 
 PERIOD = ("ano", "mes")
@@ -18,9 +19,12 @@ PERIOD = ("ano", "mes")
 
 def clean_stage(
     spark: SparkSession, landing: str, clean_path: str, dictionary: DataFrame,
-    decoded: dict[str, str], number_mode: str = "auto",
+    decoded: dict[str, str], number_mode: str = "auto", sidecar: str | None = None,
 ) -> DataFrame:
-    """Landing files to the clean table; returns the validation of every period."""
+    """Landing files to the clean table; returns the validation of every period.
+
+    ``sidecar`` names where the validation is kept as JSON, one document per period.
+    """
     raw = read_delimited(spark, landing)
     # Folder columns say where a file lies; the period comes from the rows themselves.
     raw = raw.drop(*[c for c in PERIOD if c in raw.columns])
@@ -28,7 +32,10 @@ def clean_stage(
     write_table(cleaned.where(F.col("ano").isNotNull()), clean_path, PERIOD)
     clean = spark.read.parquet(clean_path)
     expected = F.format_string("%04d%02d", F.col("ano"), F.col("mes"))
-    return stage(quality.validate_clean(clean, PERIOD, expected), "validation")
+    validation = stage(quality.validate_clean(clean, PERIOD, expected), "validation")
+    if sidecar is not None:
+        write_json(validation, sidecar)
+    return validation
 
 
 def aggregate_stage(

@@ -684,7 +684,8 @@ def monthly_run(spark: SparkSession, sf: str) -> DataFrame:
         "domain string, code string, label string",
     )
     checked = monthly.clean_stage(
-        spark, f"{root}/landing", f"{root}/clean", dictionary, {"sexo": "sexo"}
+        spark, f"{root}/landing", f"{root}/clean", dictionary, {"sexo": "sexo"},
+        sidecar=f"{root}/validation",
     )
     matrix = monthly.aggregate_stage(
         spark, f"{root}/clean", f"{root}/gold", checked, scopes(), RUN_SPECS
