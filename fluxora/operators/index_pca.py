@@ -33,6 +33,7 @@ class Dimension:
         return -1 if variable in self.inverted else 1
 
 
+# Dimensions of the index, their variables and the inverted ones (fixed values).
 DIMENSIONS = (
     Dimension(
         "dim_dinamismo",
@@ -62,6 +63,7 @@ DIMENSIONS = (
     ),
 )
 DIMENSION_NAMES = tuple(d.name for d in DIMENSIONS)
+# Status texts (fixed values).
 CALCULATED, INSUFFICIENT = "calculado", "sem_dados_suficientes"
 
 

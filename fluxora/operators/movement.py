@@ -116,6 +116,7 @@ class TableSpec:
         return self.name if scope == "br" else f"{self.name}_{scope}"
 
 
+# Table names and their dimensions (fixed values).
 _PROFILES = {
     "sexo": ("sexo",),
     "faixa_etaria": ("faixa_etaria",),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from fluxora.operators.order_stats import exact_quantiles, join_null_safe
 # Keys that stand for "no territory" (fixed values).
 NON_TERRITORIAL = ("IGNORADO",)
 
+# Indicator columns of a territory (fixed values).
 CATEGORY_COLUMNS = {
     "cbo": "cbo2002ocupacao",
     "subclasse": "subclasse",
@@ -260,12 +261,16 @@ def enrich_codes(
 
     Adds ``situacao``: existing, filled, ignored or unmatched.
     """
-    key = join_key(F.col(name))
-    joined = df.withColumn("__key", key).join(
+    keyed = df.withColumn("__key", join_key(F.col(name)))
+    ignored = F.coalesce(F.col("__key").isin(*non_territorial), F.lit(False))
+    missing = is_code_missing(F.col(code))
+    # Only rows that still need a code take part in the join.
+    needs = missing & ~ignored & F.col("__key").isNotNull()
+    joined = keyed.where(needs).join(
         lookup.withColumnsRenamed({"chave": "__key", "codigo": "__found"}), "__key", "left"
     )
-    missing = is_code_missing(F.col(code))
-    ignored = F.coalesce(F.col("__key").isin(*non_territorial), F.lit(False))
+    rest = keyed.where(~needs).withColumn("__found", F.lit(None).cast("string"))
+    joined = joined.unionByName(rest)
     filled = F.when(~missing, format_code(F.col(code))).when(~ignored, F.col("__found"))
     status = (
         F.when(ignored, "ignored")
@@ -419,6 +424,3 @@ def decode(
             .drop("__code", "__label")
         )
     return out.select(*df.columns)
-
-
-KeyRule = Callable[[Column], Column]

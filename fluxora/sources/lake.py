@@ -109,8 +109,12 @@ def merge_rows(
     by_code = target.where(F.col(code).isNotNull()).select(
         *period, code, F.struct(*natural).alias("__hit")
     )
-    resolved = source.join(by_code, [*period, code], "left").withColumn(
-        "__key", F.coalesce("__hit", F.struct(*natural))
+    # Rows without a code cannot match by it: they skip the join, where they would all
+    # meet in one task.
+    coded = source.where(F.col(code).isNotNull()).join(by_code, [*period, code], "left")
+    own_key = F.struct(*natural)
+    resolved = coded.withColumn("__key", F.coalesce("__hit", own_key)).drop("__hit").unionByName(
+        source.where(F.col(code).isNull()).withColumn("__key", own_key)
     )
     columns = target.columns
     old = target.withColumn("__key", F.struct(*natural)).withColumn("__prio", F.lit(0))

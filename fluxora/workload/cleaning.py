@@ -10,7 +10,7 @@ from fluxora.operators import clean, territory
 from fluxora.operators.index_frozen import join_floor
 from fluxora.functions.scoring import wage_eligible
 from fluxora.operators.movement import movement_sums
-from fluxora.plans.binding import in_area, in_state, movements, star_spec, table
+from fluxora.plans.binding import in_area, in_state, movements, spread, star_spec, table
 from fluxora.workload.base import (
     MOV,
     SCOPE_WHERE,
@@ -26,13 +26,13 @@ CLEAN_SQL = f"trim(regexp_replace(text, {BLANKS_SQL}, ' ', 'g'))"
 
 @query("strip_accents", "SELECT doc_id, strip_accents(text) AS plain FROM documents")
 def strip_accents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"), "doc_id")
     return docs.select("doc_id", text.strip_accents(F.col("text")).alias("plain"))
 
 
 @query("clean_text", f"SELECT doc_id, {CLEAN_SQL} AS limpo FROM documents")
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"), "doc_id")
     return docs.select("doc_id", text.clean_text(F.col("text")).alias("limpo"))
 
 
@@ -50,7 +50,7 @@ _KEY_SQL = (
     FROM documents""",
 )
 def norm_key(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"), "doc_id")
     return docs.select(
         "doc_id",
         text.upper_key(F.col("text")).alias("rotulo"),
@@ -70,7 +70,8 @@ def parse_number_br(spark: SparkSession, sf: str) -> DataFrame:
     shown = F.when(F.col("l_discount") == 0, "-").when(
         F.col("l_tax") == 0, F.concat(F.lit("R$ "), br)
     )
-    df = table(spark, sf, "lineitem").select(
+    lines = spread(table(spark, sf, "lineitem"), "l_orderkey")
+    df = lines.select(
         "l_orderkey", "l_linenumber", "l_suppkey", shown.otherwise(br).alias("texto")
     )
     df = df.withColumn("valor", F.col("texto"))

@@ -131,14 +131,27 @@ def landing_headers(spark: SparkSession, sf: str) -> DataFrame:
     ).distinct()
 
 
-@query("normalize_header")
+_RAW_HEADERS = (
+    "competênciamov", "saldomovimentação", "horascontratuais", "salário", "valorsaláriofixo",
+    "uf", "regiao", "seção", "sexo",
+)
+
+
+@query(
+    "normalize_header",
+    f"""SELECT bruto, strip_accents(bruto) AS normalizado, count(*) AS meses
+    FROM ({_BY_MONTH}), (SELECT unnest({list(_RAW_HEADERS)}) AS bruto)
+    WHERE ano <> 1998 AND (ano <> 1999 OR bruto <> 'valorsaláriofixo') GROUP BY bruto""",
+)
 def normalize_header(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw header texts of the landing files beside their normalised names."""
+    """Raw header texts of the landing files, their normalised names and their months."""
     probed = landing_probe(spark, sf).where(F.col("cabecalho").contains(";"))
-    raw = probed.select(F.explode(F.split("cabecalho", ";")).alias("bruto"))
-    return raw.groupBy("bruto").agg(F.count(F.lit(1)).alias("arquivos")).withColumn(
-        "normalizado", header_key(F.col("bruto"))
+    raw = probed.select(
+        F.explode(F.split("cabecalho", ";")).alias("bruto"),
+        F.concat(files.path_value("ano"), files.path_value("mes")).alias("periodo"),
     )
+    counted = raw.groupBy("bruto").agg(F.count_distinct("periodo").alias("meses"))
+    return counted.withColumn("normalizado", header_key(F.col("bruto")))
 
 
 @query(
@@ -189,24 +202,18 @@ def landing_status(probed: DataFrame, min_bytes: int = 50_000) -> DataFrame:
     )
 
 
-@query(
-    "file_digests",
-    "SELECT count(*) AS arquivos, TRUE AS iguais FROM (SELECT DISTINCT o_orderstatus FROM orders)",
-)
+@query("file_digests", "SELECT DISTINCT o_orderstatus, TRUE AS iguais FROM orders")
 def file_digests(spark: SparkSession, sf: str) -> DataFrame:
-    """Digest of every file, by the chunked reader and by Spark's own hash."""
+    """Digest of every written file, by the chunked reader and by Spark's own hash."""
     path = scratch_path(spark, "digests")
-    orders = table(spark, sf, "orders").repartition("o_orderstatus")
-    orders.coalesce(1).write.partitionBy("o_orderstatus").parquet(path)
-    listed = files.listing(spark, path, "*.parquet")
-    chunked = files.digests(listed)
+    lake.write_table(table(spark, sf, "orders"), path, ["o_orderstatus"])
+    chunked = files.digests(files.listing(spark, path, "*.parquet"))
     whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
         "pathGlobFilter", "*.parquet"
     ).load(path).select("path", F.sha2("content", 256).alias("outra"))
-    both = chunked.join(whole, "path")
-    return both.agg(
-        F.count(F.lit(1)).alias("arquivos"),
-        F.min(F.col("sha256") == F.col("outra")).alias("iguais"),
+    both = chunked.join(whole, "path", "full_outer")
+    return both.groupBy(files.path_value("o_orderstatus").alias("o_orderstatus")).agg(
+        F.min(F.col("sha256").eqNullSafe(F.col("outra"))).alias("iguais")
     )
 
 

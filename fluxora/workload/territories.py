@@ -129,38 +129,44 @@ def universe(spark: SparkSession, sf: str) -> DataFrame:
     return territory.load_universe(source, "municipio", [F.col("cod")])
 
 
-_ENRICH_IN = f"""{PLACES}, f AS (SELECT c_custkey, c_name,
-      CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey::VARCHAR || '.0' WHEN c_mktsegment = 'MACHINERY' THEN 'nan' END AS cod,
-      CASE WHEN n_nationkey = 0 THEN 'Ignorado' WHEN n_nationkey = 1 THEN '  Lugar-novo ' ELSE lower(s_name) END AS lugar
-    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier)),
-  e AS (SELECT f.c_custkey, f.lugar, f.cod IS NOT NULL AND lower(f.cod) <> 'nan' AS tem, upper(trim(f.lugar)) = 'IGNORADO' AS ign,
+_ENRICH_IN = f"""{PLACES}, f AS (SELECT l_orderkey, l_linenumber, l_suppkey,
+      CASE l_returnflag WHEN 'A' THEN l_suppkey::VARCHAR || '.0' WHEN 'R' THEN 'nan' END AS cod,
+      CASE WHEN p.uf = 'NATION_0' THEN 'Ignorado' WHEN p.uf = 'NATION_1' THEN '  Lugar-novo ' ELSE lower(p.municipio) END AS lugar
+    FROM lineitem JOIN places p ON p.cod_municipio = lpad(l_suppkey::VARCHAR, 7, '0')),
+  e AS (SELECT f.l_orderkey, f.l_linenumber, f.l_suppkey, f.lugar, f.cod IS NOT NULL AND lower(f.cod) <> 'nan' AS tem,
+      upper(trim(f.lugar)) = 'IGNORADO' AS ign,
       CASE WHEN f.cod IS NOT NULL AND lower(f.cod) <> 'nan' THEN lpad(replace(f.cod, '.0', ''), 7, '0') END AS atual, p.cod_municipio AS achado
     FROM f LEFT JOIN places p ON upper(p.municipio) = upper(trim(f.lugar)))"""
 
 
 def enrich_input(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers with a place name taken from the suppliers and a partly filled code."""
-    places = table(spark, sf, "supplier")
-    n = places.agg(F.count(F.lit(1))).scalar()
-    customers = table(spark, sf, "customer").withColumn("__s", F.col("c_custkey") % n)
-    joined = customers.join(places, F.col("__s") == F.col("s_suppkey"))
-    nation = F.col("c_nationkey")
-    segment = F.col("c_mktsegment")
-    key = F.col("c_custkey").cast("string")
-    code = F.when(segment == "BUILDING", F.concat(key, F.lit(".0"))).when(
-        segment == "MACHINERY", "nan"
+    """Movements with a place name and a partly filled code."""
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_suppkey",
+        F.when(
+            F.col("l_returnflag") == "A",
+            F.concat(F.col("l_suppkey").cast("string"), F.lit(".0")),
+        )
+        .when(F.col("l_returnflag") == "R", "nan")
+        .alias("cod_municipio"),
+    )
+    places = table(spark, sf, "supplier").join(
+        table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
     )
     name = (
-        F.when(nation == 0, "Ignorado")
-        .when(nation == 1, "  Lugar-novo ")
+        F.when(F.col("n_name") == "NATION_0", "Ignorado")
+        .when(F.col("n_name") == "NATION_1", "  Lugar-novo ")
         .otherwise(F.lower("s_name"))
     )
-    return joined.select("c_custkey", code.alias("cod_municipio"), name.alias("lugar"))
+    joined = lines.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+    return joined.select(*lines.columns, name.alias("lugar"))
 
 
 @query(
     "enrich_codes",
-    f"""WITH {_ENRICH_IN} SELECT c_custkey, lugar,
+    f"""WITH {_ENRICH_IN} SELECT l_orderkey, l_linenumber, l_suppkey, lugar,
       CASE WHEN tem THEN atual WHEN NOT ign THEN achado END AS cod_municipio,
       CASE WHEN ign THEN 'ignored' WHEN tem THEN 'existing' WHEN achado IS NOT NULL THEN 'filled' ELSE 'unmatched' END AS situacao
     FROM e""",
@@ -292,17 +298,21 @@ def map_query(spark: SparkSession, sf: str) -> DataFrame:
     return mv.movement_aggregate(kept, dims).orderBy("municipio")
 
 
-_COVER = """f AS (SELECT DISTINCT CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'F' THEN 'IGNORADO'
-      ELSE 'C' || o_custkey::VARCHAR END AS chave FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01'),
-    p AS (SELECT DISTINCT 'C' || c_custkey::VARCHAR AS chave FROM customer WHERE c_mktsegment <> 'MACHINERY')"""
+_COVER = """f AS (SELECT DISTINCT CASE o_orderpriority WHEN '5-LOW' THEN 'IGNORADO' WHEN '1-URGENT' THEN 'C' || o_custkey::VARCHAR
+      ELSE 'X' || o_custkey::VARCHAR END AS chave FROM orders),
+    p AS (SELECT DISTINCT 'C' || c_custkey::VARCHAR AS chave FROM customer)"""
 
 
 def coverage_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    orders = table(spark, sf, "orders").where("o_orderdate < TIMESTAMP_NTZ '1995-06-01'")
-    ignored = (F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "F")
-    key = F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
-    facts = orders.select(F.when(ignored, "IGNORADO").otherwise(key).alias("chave"))
-    places = table(spark, sf, "customer").where("c_mktsegment <> 'MACHINERY'").select(
+    """Fact keys of all orders (some unknown, some non-territorial) and all customer keys."""
+    priority, key = F.col("o_orderpriority"), F.col("o_custkey").cast("string")
+    fact_key = (
+        F.when(priority == "5-LOW", "IGNORADO")
+        .when(priority == "1-URGENT", F.concat(F.lit("C"), key))
+        .otherwise(F.concat(F.lit("X"), key))
+    )
+    facts = table(spark, sf, "orders").select(fact_key.alias("chave"))
+    places = table(spark, sf, "customer").select(
         F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("chave")
     )
     return facts, places
