@@ -66,6 +66,30 @@ def test_dense_rank_both_ways(skewed, small_rows):
         assert row["r"] == expected
 
 
+def test_ranges_without_broadcast(skewed, monkeypatch):
+    monkeypatch.setattr(os_, "BROADCAST_ROWS", 0)
+    got = os_.exact_quantiles(skewed, ["k"], "v", {"m": 0.5}, small_rows=0)
+    plain = os_.exact_quantiles(skewed, ["k"], "v", {"m": 0.5})
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_expanded_groups(spark, skewed):
+    """Quantiles of coarse groups from fine counts, both ways."""
+
+    def expand(df, kept):
+        both = F.array(F.lit("all"), F.coalesce("k", F.lit("none")))
+        return df.select(F.explode(both).alias("g"), *kept)
+
+    counts, rows = os_.value_counts(skewed, ["k"], "v")
+    ways = [
+        os_.quantiles_of_counts(counts, rows, ["g"], PROBS, small, expand, copies=2).collect()
+        for small in (0, None)
+    ]
+    for a, b in zip(*(sorted(w, key=lambda r: r["g"]) for w in ways)):
+        assert a["g"] == b["g"]
+        np.testing.assert_allclose(a[1:], b[1:], atol=1e-9)
+
+
 def test_ranges_bound_the_largest_cell(skewed):
     """No range of a key holds more than a few percent of the distinct pairs."""
     counts, rows = os_.value_counts(skewed, ["k"], "v")
