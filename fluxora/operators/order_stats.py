@@ -20,10 +20,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxora.session import stage_counted
+from fluxora.session import counted_side, stage_counted
 
 SMALL_ROWS = 1_000_000
-BROADCAST_ROWS = 100_000
 N_RANGES = 128  # a power of two
 SAMPLE_ROWS = 2048
 
@@ -102,12 +101,6 @@ def exact_quantiles(
     return quantiles_of_counts(counts, rows, keys, probs, small_rows)
 
 
-def _small_side(rows: DataFrame) -> DataFrame:
-    """Stage join rows and broadcast them only when counted to be few."""
-    staged, n = stage_counted(rows, "ranges")
-    return F.broadcast(staged) if n <= BROADCAST_ROWS else staged
-
-
 Expand = Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
@@ -171,7 +164,7 @@ def _quantiles_by_range(
     ).drop("__cell")
 
     # Rows outside the wanted ranges are dropped before anything is shuffled again.
-    inside = join_null_safe(ranged, _small_side(targets), [*keys, "__range"], "inner")
+    inside = join_null_safe(ranged, counted_side(targets, "ranges"), [*keys, "__range"], "inner")
     before = (
         Window.partitionBy(*keys, "__range")
         .orderBy("__v")
@@ -237,7 +230,7 @@ def _ranks_by_range(distinct: DataFrame, keys: list[str], name: str) -> DataFram
         *keys, "__range", F.coalesce(F.sum("__cell").over(above), F.lit(0)).alias("__base")
     )
     local = Window.partitionBy(*keys, "__range").orderBy(F.desc("__v"))
-    return join_null_safe(ranged, _small_side(cells), [*keys, "__range"], "inner").withColumn(
+    return join_null_safe(ranged, counted_side(cells, "ranges"), [*keys, "__range"], "inner").withColumn(
         name, (F.col("__base") + F.row_number().over(local)).cast("long")
     )
 

@@ -18,6 +18,7 @@ from fluxora.functions.text import (
 )
 from fluxora.operators.movement import movement_sums
 from fluxora.operators.order_stats import exact_quantiles, join_null_safe
+from fluxora.session import counted_side
 
 # Keys that stand for "no territory" (fixed values).
 NON_TERRITORIAL = ("IGNORADO",)
@@ -261,16 +262,18 @@ def enrich_codes(
 
     Adds ``situacao``: existing, filled, ignored or unmatched.
     """
-    keyed = df.withColumn("__key", join_key(F.col(name)))
-    ignored = F.coalesce(F.col("__key").isin(*non_territorial), F.lit(False))
-    missing = is_code_missing(F.col(code))
-    # Only rows that still need a code take part in the join.
-    needs = missing & ~ignored & F.col("__key").isNotNull()
-    joined = keyed.where(needs).join(
+    # Text is normalised once per distinct name, not once per row.
+    names = df.select(F.col(name).alias("__name")).where(F.col("__name").isNotNull()).distinct()
+    resolved = names.withColumn("__key", join_key(F.col("__name"))).join(
         lookup.withColumnsRenamed({"chave": "__key", "codigo": "__found"}), "__key", "left"
     )
-    rest = keyed.where(~needs).withColumn("__found", F.lit(None).cast("string"))
-    joined = joined.unionByName(rest)
+    side = counted_side(resolved, "place-names")
+    named = df.where(F.col(name).isNotNull()).join(side, F.col(name) == F.col("__name"), "left")
+    nothing = F.lit(None).cast("string")
+    unnamed = df.where(F.col(name).isNull()).withColumns({"__key": nothing, "__found": nothing})
+    joined = named.drop("__name").unionByName(unnamed)
+    missing = is_code_missing(F.col(code))
+    ignored = F.coalesce(F.col("__key").isin(*non_territorial), F.lit(False))
     filled = F.when(~missing, format_code(F.col(code))).when(~ignored, F.col("__found"))
     status = (
         F.when(ignored, "ignored")

@@ -75,6 +75,15 @@ def stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return staged, int(seen.get["rows"])
 
 
+BROADCAST_ROWS = 100_000
+
+
+def counted_side(rows: DataFrame, label: str, limit: int | None = None) -> DataFrame:
+    """Stage one side of a join and broadcast it only when counted to be few rows."""
+    staged, n = stage_counted(rows, label)
+    return F.broadcast(staged) if n <= (BROADCAST_ROWS if limit is None else limit) else staged
+
+
 def release(spark: SparkSession) -> None:
     """Delete everything :func:`stage` and the scratch sinks wrote for this folder."""
     jvm = spark.sparkContext._jvm

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fluxora.functions.text import upper_key
 from fluxora.operators import movement as mv
 from fluxora.operators import territory
-from fluxora.plans.binding import movements, suppliers, table
+from fluxora.plans.binding import movements, spread, suppliers, table
 from fluxora.session import stage
 from fluxora.workload.base import MOV, PLACES, SUMS, query, r, rounded
 
@@ -141,7 +141,7 @@ _ENRICH_IN = f"""{PLACES}, f AS (SELECT l_orderkey, l_linenumber, l_suppkey,
 
 def enrich_input(spark: SparkSession, sf: str) -> DataFrame:
     """Movements with a place name and a partly filled code."""
-    lines = table(spark, sf, "lineitem").select(
+    lines = spread(table(spark, sf, "lineitem"), "l_orderkey").select(
         "l_orderkey",
         "l_linenumber",
         "l_suppkey",

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fluxora import session
 from fluxora.operators import order_stats as os_
 from fluxora.operators import rank
 
@@ -67,7 +68,7 @@ def test_dense_rank_both_ways(skewed, small_rows):
 
 
 def test_ranges_without_broadcast(skewed, monkeypatch):
-    monkeypatch.setattr(os_, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
     got = os_.exact_quantiles(skewed, ["k"], "v", {"m": 0.5}, small_rows=0)
     plain = os_.exact_quantiles(skewed, ["k"], "v", {"m": 0.5})
     assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
