@@ -7,12 +7,14 @@ in an Arrow batch of such rows; the scores are column expressions again.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,9 @@ from fluxora.operators.rank import CLASS_MISSING, impute_median, minmax_score, q
 from fluxora.session import stage
 
 
+# Task functions travel with their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 @dataclass(frozen=True)
 class Dimension:
     name: str

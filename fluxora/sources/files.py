@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Task functions travel with their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PROBE_BYTES = 1 << 16
 CHUNK = 1 << 22
 POINTER = "CURRENT"  # not hidden, unlike names that start with an underscore
