@@ -24,10 +24,10 @@ from fluxora.operators.order_stats import dense_rank_desc, join_null_safe
 from fluxora.operators.rank import CLASS_MISSING, impute_median, minmax_score, quantile_classes
 from fluxora.session import stage
 
-
 # Task functions travel with their code, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+
 @dataclass(frozen=True)
 class Dimension:
     name: str
