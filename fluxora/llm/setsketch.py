@@ -7,19 +7,21 @@ of a union is the maximum of the sketches, and registers of similar sets tend to
 
 1. Equal sets are one class, named by its smallest document id.
 2. Registers are cut into bands; classes that agree in a band meet in a bucket.  Each member
-   is compared with the bucket's smallest member only (a star, never all pairs).
+   is compared with the bucket's hub only (the member that meets most others in all its
+   buckets): a star, never all pairs.
 3. A pair's similarity is estimated from its registers: the maximum of the joint likelihood
    of "larger, smaller, equal" given both set sizes.  Pairs far below the wanted similarity
    are dropped; of the rest each class goes to its best partner and is verified on the full
    sets of shingles.  Verified links give components.
-4. Buckets that still hold several components are searched for more: their members outside
-   the bucket's largest component meet all other members, in tiles of bounded size, and
-   estimates decide again.  First the best partner in each other component is verified,
-   then, where components are still apart, every remaining pair.  So each pair that meets in
-   a band is either inside one component, or estimated far too low, or verified.
+4. Buckets that still hold several components are searched to the end: buckets that share
+   members form a cluster, and in each cluster the members outside its largest component
+   meet all other members, in tiles of bounded size, on their full sets.  A tile returns the
+   links that join components, at most one per member.  So each pair that meets in a band is
+   inside one component or compared in full.
 
 A pair at the wanted similarity of 0.8 misses all 30 bands of 4 with a chance below 1e-6, and
-the estimate's margin is more than four of its standard errors; pairs above are safer still.
+pairs above are safer still.  The estimate's margin is more than four of its standard errors,
+and what it drops wrongly step 4 finds.
 
 Documents without words are linked with nothing.  Fewer words than a shingle count as one
 shingle.  Rows with one id are one document, linked by any of its texts.  A null id takes no
@@ -35,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxora.llm.common import doc_view, map_rows, staged, texts
@@ -291,112 +293,153 @@ def components(links: DataFrame) -> DataFrame:
             return spark.createDataFrame([], labels.schema).union(labels)
 
 
-def residual_pairs(
-    bands: DataFrame, labels: DataFrame, classes: DataFrame, config: Sketching
-) -> DataFrame:
-    """Pairs (a, b, near) of different components that share a bucket and look near."""
-    placed = bands.join(labels, "node", "left").select(
+def residue(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """cluster, node and comp of the members of buckets that hold several components."""
+    placed = shared.join(labels, "node", "left").select(
         "key", "node", F.coalesce("comp", "node").alias("comp")
     )
-    per_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = (
-        per_comp.groupBy("key")
-        .agg(
-            F.count(F.lit(1)).alias("comps"),
-            F.sum("n").alias("n"),
-            F.max("n").alias("most"),
-            F.max_by("comp", F.struct("n", "comp")).alias("major"),
-        )
-        .filter("comps > 1")
+        placed.groupBy("key")
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("b"))
+        .filter("low < high")
+        .select("key", "b")
+    )
+    rows = staged(placed.join(mixed, "key").select("node", "comp", "b").distinct(), "rest")
+    clusters = components(rows.filter("node != b").select(F.col("node").alias("a"), "b"))
+    return rows.select("node", "comp").distinct().join(
+        clusters.select("node", F.col("comp").alias("cluster")), "node"
+    )
+
+
+def meet(ours: list[np.ndarray], theirs: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections between two lists of sets."""
+    out = np.zeros((len(ours), len(theirs)))
+    common = np.intersect1d(np.concatenate(ours), np.concatenate(theirs))
+
+    def entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        joined = np.concatenate(sets)
+        at = np.searchsorted(common, joined)
+        at[at == len(common)] = 0
+        hit = common[at] == joined
+        return owner[hit], at[hit]
+
+    if not len(common):
+        return out
+    (a_owner, a_at), (b_owner, b_at) = entries(ours), entries(theirs)
+    step = 8192
+    for low in range(0, len(common), step):
+        width = min(step, len(common) - low)
+        a, b = np.zeros((len(ours), width), np.float32), np.zeros((len(theirs), width), np.float32)
+        for matrix, owner, at in ((a, a_owner, a_at), (b, b_owner, b_at)):
+            inside = (at >= low) & (at < low + width)
+            matrix[owner[inside], at[inside] - low] = 1
+        out += a @ b.T
+    return out
+
+
+def joining(
+    ours: pd.DataFrame, theirs: pd.DataFrame, percent: int
+) -> list[tuple[int, int]]:
+    """Links between the two sides that join components not yet joined by others."""
+    a, b = ([np.frombuffer(s, np.uint64) for s in side["members"]] for side in (ours, theirs))
+    both = meet(a, b)
+    sizes = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :]
+    linked = (both > 0) & (100 * both >= percent * (sizes - both))
+    linked &= ours["comp"].to_numpy()[:, None] != theirs["comp"].to_numpy()[None, :]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    nodes, comps = (ours["node"].tolist(), theirs["node"].tolist()), (ours["comp"].tolist(), theirs["comp"].tolist())
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
+        x, y = root(comps[0][i]), root(comps[1][j])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((nodes[0][i], nodes[1][j]))
+    return out
+
+
+def residual_links(rest: DataFrame, docs: DataFrame, config: Sketching) -> DataFrame:
+    """Links (a, b) inside the clusters that join different components, staged."""
+    texts_of = doc_view(docs, "doc_id", "text").join(rest, F.col("doc_id") == F.col("node"))
+
+    def make():
+        def work(batch: pa.RecordBatch) -> list[dict]:
+            columns = (batch.column(c).to_pylist() for c in ("node", "comp", "cluster"))
+            sets = [shingles(t, config.shingle).tobytes() for t in texts(batch)]
+            rows = zip(*columns, sets)
+            return [{"node": n, "comp": c, "cluster": k, "members": s} for n, c, k, s in rows]
+
+        return work
+
+    sets = staged(
+        map_rows(
+            texts_of.select("node", "comp", "cluster", "text"), make,
+            "node long, comp long, cluster long, members binary",
+        ),
+        "sets",
     )
-    wide = F.ceil(F.col("n") / config.tile).cast("int")
-    tall = F.ceil((F.col("n") - F.col("most")) / config.tile).cast("int")
-    rows = (
-        placed.join(mixed.select("key", "major", wide.alias("wide"), tall.alias("tall")), "key")
-        .join(classes.select("node", F.col("n").alias("size"), "registers"), "node")
-        .withColumn("hash", F.xxhash64("node"))
+    per_comp = rest.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
+    shape = per_comp.groupBy("cluster").agg(
+        F.sum("n").alias("n"),
+        F.max("n").alias("most"),
+        F.max_by("comp", F.struct("n", "comp")).alias("major"),
     )
-    at = F.pmod("hash", F.col("wide")).cast("int")
-    minor_at = F.pmod(F.shiftright("hash", 20), F.col("tall")).cast("int")
-    columns = ["key", "node", "comp", "size", "registers"]
+    shape = shape.select(
+        "cluster", "major",
+        F.ceil(F.col("n") / config.tile).cast("int").alias("wide"),
+        F.ceil((F.col("n") - F.col("most")) / config.tile).cast("int").alias("tall"),
+    ).filter("tall > 0")
+    rows = sets.join(shape, "cluster").withColumn("hash", F.xxhash64("node"))
+    columns = ["cluster", "node", "comp", "members"]
     every = rows.select(
-        *columns, F.lit(False).alias("minor"), at.alias("x"),
+        *columns, F.lit(False).alias("minor"),
+        F.pmod("hash", F.col("wide")).cast("int").alias("x"),
         F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("y"),
     )
     minor = rows.filter("comp != major").select(
         *columns, F.lit(True).alias("minor"),
-        F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"), minor_at.alias("y"),
+        F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"),
+        F.pmod(F.shiftright("hash", 20), F.col("tall")).cast("int").alias("y"),
     )
-    least = config.percent / 100 - config.margin
 
     def search(tile: pd.DataFrame) -> pd.DataFrame:
         ours, theirs = tile[tile["minor"]], tile[~tile["minor"]]
-        out = []
-        if len(ours) and len(theirs):
-            b = np.stack([np.frombuffer(r, np.uint16) for r in theirs["registers"]])
-            nb, nodes, comps = (theirs[c].to_numpy() for c in ("size", "node", "comp"))
-            for node, comp, size, raw in zip(ours["node"], ours["comp"], ours["size"], ours["registers"]):
-                # Sizes alone bound the similarity.
-                fits = (comps != comp) & (100 * np.minimum(nb, size) >= config.percent * np.maximum(nb, size))
-                if not fits.any():
-                    continue
-                a = np.broadcast_to(np.frombuffer(raw, np.uint16), (int(fits.sum()), b.shape[1]))
-                sizes = np.full(len(a), float(size))
-                near = estimate(a, b[fits], sizes, nb[fits].astype(float), config.base)
-                for other, c, z in zip(nodes[fits], comps[fits], near):
-                    if z >= least:
-                        out.append((node, comp, other, c, float(z)))
-        return pd.DataFrame(out, columns=["a", "a_comp", "b", "b_comp", "near"]).astype(
-            {"a": "int64", "a_comp": "int64", "b": "int64", "b_comp": "int64", "near": "float64"}
-        )
+        found = joining(ours, theirs, config.percent) if len(ours) and len(theirs) else []
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    found = every.unionByName(minor).groupBy("key", "x", "y").applyInPandas(
-        search, "a long, a_comp long, b long, b_comp long, near double"
+    found = every.unionByName(minor).groupBy("cluster", "x", "y").applyInPandas(
+        search, "a long, b long"
     )
-    return found.select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "near",
-        F.when(F.col("a") > F.col("b"), F.col("b_comp")).otherwise(F.col("a_comp")).alias("b_comp"),
-    ).distinct()
+    return staged(found, "links")
 
 
 def links_of(docs: DataFrame, classes: DataFrame, config: Sketching) -> DataFrame:
     """node and comp of every class that is linked with another."""
     bands = staged(banded(classes, config), "bands")
-    buckets = bands.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top"))
-    stars = (
-        bands.join(buckets.filter("top > b"), "key")
-        .filter("node != b")
-        .select(F.col("node").alias("a"), "b")
-        .distinct()
+    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = staged(bands.join(sizes, "key"), "shared")
+    hubs = shared.groupBy("node").agg(F.sum("n").alias("hub"))
+    centres = (
+        shared.join(hubs, "node")
+        .groupBy("key")
+        .agg(F.max_by("node", F.struct("hub", -F.col("node"))).alias("b"))
     )
-    near = estimated(stars, classes, config)
+    stars = shared.join(centres, "key").filter("node != b").select(F.col("node").alias("a"), "b")
+    near = estimated(stars.distinct(), classes, config)
     best = near.groupBy("a").agg(F.max_by("b", F.struct("near", -F.col("b"))).alias("b"))
     links = verified(staged(best, "pairs"), docs, config)
     labels = components(links)
-    shared = bands.join(
-        bands.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter("top > b").select("key"),
-        "key",
-    )
-    rest, n = stage_counted(residual_pairs(shared, labels, classes, config), "rest")
-    if not n:
-        return labels
-    order = Window.partitionBy("a", "b_comp").orderBy(F.desc("near"), "b")
-    first = rest.withColumn("rank", F.row_number().over(order)).filter("rank = 1").select("a", "b")
-    links = links.unionByName(verified(staged(first, "pairs"), docs, config))
-    labels = components(links)
-    side = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_now"))
-    apart = (
-        rest.select("a", "b")
-        .join(first, ["a", "b"], "left_anti")
-        .join(side("a"), "a", "left")
-        .join(side("b"), "b", "left")
-        .filter(F.coalesce("a_now", "a") != F.coalesce("b_now", "b"))
-        .select("a", "b")
-    )
-    apart, n = stage_counted(apart, "pairs")
+    rest, n = stage_counted(residue(shared, labels), "rest")
     if not n:
         return labels
-    return components(links.unionByName(verified(apart, docs, config)))
+    return components(links.unionByName(residual_links(rest, docs, config)))
 
 
 def near_duplicates(docs: DataFrame, config: Sketching | None = None) -> DataFrame:

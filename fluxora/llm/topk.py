@@ -178,10 +178,10 @@ def top_k(
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, max(list_transform(embedding, x -> floor(64 * x::DOUBLE))) AS v
+  SELECT vec_id, max([floor(64 * x::DOUBLE) for x in embedding]) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
   GROUP BY vec_id),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
