@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxora.llm.common import doc_view, map_rows, staged, texts
-from fluxora.session import stage_counted
+from fluxora.session import counted_side, stage_counted
 
 
 @dataclass(frozen=True)
@@ -226,11 +226,31 @@ def estimated(pairs: DataFrame, classes: DataFrame, config: Sketching) -> DataFr
     return map_rows(both.select(*columns), make, "a long, b long, near double")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, config: Sketching) -> DataFrame:
+def sets_of(docs: DataFrame, nodes: DataFrame, config: Sketching) -> DataFrame:
+    """node and members (its sorted shingles, 8 bytes each) of the named classes, staged.
+
+    The ids grow with the data, so the join is planned at every size as it has to run on a
+    large corpus: one shuffle of the texts, no broadcast.
+    """
+    rows = doc_view(docs, "doc_id", "text").join(
+        nodes.hint("shuffle_merge"), F.col("doc_id") == F.col("node")
+    )
+
+    def make():
+        def work(batch: pa.RecordBatch) -> list[dict]:
+            sets = [shingles(t, config.shingle).tobytes() for t in texts(batch)]
+            return [{"node": n, "members": s} for n, s in zip(batch.column("node").to_pylist(), sets)]
+
+        return work
+
+    return staged(map_rows(rows.select("node", "text"), make, "node long, members binary"), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, config: Sketching) -> DataFrame:
     """The pairs (a, b) whose full sets reach the wanted similarity, staged.
 
-    Pairs meet in groups around b of at most about ``star`` texts; a b with many partners
-    has several groups.
+    Pairs meet in groups around b of about ``star`` sets; a b with many partners has
+    several groups.
     """
     sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / config.star).alias("groups"))
     dealt = pairs.join(sizes, "b").select(
@@ -238,25 +258,27 @@ def verified(pairs: DataFrame, docs: DataFrame, config: Sketching) -> DataFrame:
     )
     members = dealt.select(F.col("a").alias("node"), "b", "salt")
     centres = dealt.select(F.col("b").alias("node"), "b", "salt").distinct()
-    rows = doc_view(docs, "doc_id", "text").join(
-        members.unionByName(centres), F.col("doc_id") == F.col("node")
-    )
+    rows = sets.hint("shuffle_merge").join(members.unionByName(centres), "node")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         b = int(group["b"].iloc[0])
         is_centre = group["node"] == b
-        centres = [shingles(t or "", config.shingle) for t in group.loc[is_centre, "text"]]
+        opened = [np.frombuffer(s, np.uint64) for s in group["members"]]
+        centres = [s for s, c in zip(opened, is_centre) if c]
         found = []
-        for node, text in zip(group.loc[~is_centre, "node"], group.loc[~is_centre, "text"]):
-            own = shingles(text or "", config.shingle)
+        for node, own, c in zip(group["node"], opened, is_centre):
+            if c:
+                continue
             for centre in centres:
                 both = len(np.intersect1d(own, centre, assume_unique=True))
                 if both and 100 * both >= config.percent * (len(own) + len(centre) - both):
                     found.append(int(node))
                     break
-        return pd.DataFrame({"a": pd.Series(found, dtype="int64"), "b": pd.Series([b] * len(found), dtype="int64")})
+        return pd.DataFrame(
+            {"a": pd.Series(found, dtype="int64"), "b": pd.Series([b] * len(found), dtype="int64")}
+        )
 
-    linked = rows.select("node", "b", "salt", "text").groupBy("b", "salt").applyInPandas(
+    linked = rows.select("node", "b", "salt", "members").groupBy("b", "salt").applyInPandas(
         compare, "a long, b long"
     )
     return staged(linked, "links")
@@ -265,47 +287,57 @@ def verified(pairs: DataFrame, docs: DataFrame, config: Sketching) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node and comp (the smallest node reachable) of all nodes that have links.
 
-    Each round takes the smallest label among the neighbours and then the label's own
-    label; sums run in each task first, and nothing but counts reaches the driver.
+    Each round gives every node the smallest label among itself and its neighbours, and
+    then that node's own label; links inside one label disappear and the rest goes on
+    between labels, so rounds and links shrink fast.  A component's smallest node keeps its
+    own label throughout.  Only counts reach the driver.
     """
-    spark = links.sparkSession
-    both = staged(
-        links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct(), "edges"
-    )
-    labels = staged(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp")), "labels")
+    rounds: list[DataFrame] = []
+    rest = links.select("a", "b")
     while True:
-        near = (
-            both.join(labels.toDF("other", "label"), "other")
-            .groupBy("node")
-            .agg(F.min("label").alias("label"))
+        rest, n = stage_counted(rest.filter("a <> b").distinct(), "edges")
+        if not n:
+            break
+        both = rest.union(rest.select("b", "a")).toDF("node", "other")
+        first = staged(
+            both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp")), "labels"
         )
-        lower = labels.join(near, "node").select(
-            "node", "comp", F.least("comp", "label").alias("label")
+        further = first.toDF("comp", "label")
+        labels = staged(
+            first.join(further, "comp", "left").select(
+                "node", F.coalesce("label", "comp").alias("comp")
+            ),
+            "labels",
         )
-        far = labels.toDF("label", "further")
-        moved = lower.join(far, "label", "left").select(
-            "node", "comp", F.least("label", F.coalesce("further", "label")).alias("label")
+        rounds.append(labels)
+        rest = (
+            rest.join(labels.toDF("a", "x"), "a")
+            .join(labels.toDF("b", "y"), "b")
+            .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
         )
-        done = staged(moved, "labels")
-        changed = done.filter("label < comp").count()
-        labels = done.select("node", F.col("label").alias("comp"))
-        if not changed:
-            return spark.createDataFrame([], labels.schema).union(labels)
+    if not rounds:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("comp")).limit(0)
+    out = rounds[0]
+    for later in rounds[1:]:
+        out = out.join(later.toDF("comp", "label"), "comp", "left").select(
+            "node", F.coalesce("label", "comp").alias("comp")
+        )
+    return staged(out, "labels")
 
 
-def residue(shared: DataFrame, labels: DataFrame) -> DataFrame:
+def residue(stars: DataFrame, labels: DataFrame) -> DataFrame:
     """cluster, node and comp of the members of buckets that hold several components."""
-    placed = shared.join(labels, "node", "left").select(
-        "key", "node", F.coalesce("comp", "node").alias("comp")
+    placed = stars.join(labels, "node", "left").select(
+        "key", "node", "b", F.coalesce("comp", "node").alias("comp")
     )
     mixed = (
         placed.groupBy("key")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("b"))
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
         .filter("low < high")
-        .select("key", "b")
+        .select("key")
     )
     rows = staged(placed.join(mixed, "key").select("node", "comp", "b").distinct(), "rest")
-    clusters = components(rows.filter("node != b").select(F.col("node").alias("a"), "b"))
+    clusters = components(rows.select(F.col("node").alias("a"), "b"))
     return rows.select("node", "comp").distinct().join(
         clusters.select("node", F.col("comp").alias("cluster")), "node"
     )
@@ -365,26 +397,8 @@ def joining(
     return out
 
 
-def residual_links(rest: DataFrame, docs: DataFrame, config: Sketching) -> DataFrame:
+def residual_links(rest: DataFrame, sets: DataFrame, config: Sketching) -> DataFrame:
     """Links (a, b) inside the clusters that join different components, staged."""
-    texts_of = doc_view(docs, "doc_id", "text").join(rest, F.col("doc_id") == F.col("node"))
-
-    def make():
-        def work(batch: pa.RecordBatch) -> list[dict]:
-            columns = (batch.column(c).to_pylist() for c in ("node", "comp", "cluster"))
-            sets = [shingles(t, config.shingle).tobytes() for t in texts(batch)]
-            rows = zip(*columns, sets)
-            return [{"node": n, "comp": c, "cluster": k, "members": s} for n, c, k, s in rows]
-
-        return work
-
-    sets = staged(
-        map_rows(
-            texts_of.select("node", "comp", "cluster", "text"), make,
-            "node long, comp long, cluster long, members binary",
-        ),
-        "sets",
-    )
     per_comp = rest.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
     shape = per_comp.groupBy("cluster").agg(
         F.sum("n").alias("n"),
@@ -396,14 +410,14 @@ def residual_links(rest: DataFrame, docs: DataFrame, config: Sketching) -> DataF
         F.ceil(F.col("n") / config.tile).cast("int").alias("wide"),
         F.ceil((F.col("n") - F.col("most")) / config.tile).cast("int").alias("tall"),
     ).filter("tall > 0")
-    rows = sets.join(shape, "cluster").withColumn("hash", F.xxhash64("node"))
-    columns = ["cluster", "node", "comp", "members"]
-    every = rows.select(
+    rest = rest.join(counted_side(shape, "shape"), "cluster").withColumn("hash", F.xxhash64("node"))
+    columns = ["cluster", "node", "comp"]
+    every = rest.select(
         *columns, F.lit(False).alias("minor"),
         F.pmod("hash", F.col("wide")).cast("int").alias("x"),
         F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("y"),
     )
-    minor = rows.filter("comp != major").select(
+    minor = rest.filter("comp != major").select(
         *columns, F.lit(True).alias("minor"),
         F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"),
         F.pmod(F.shiftright("hash", 20), F.col("tall")).cast("int").alias("y"),
@@ -414,7 +428,8 @@ def residual_links(rest: DataFrame, docs: DataFrame, config: Sketching) -> DataF
         found = joining(ours, theirs, config.percent) if len(ours) and len(theirs) else []
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    found = every.unionByName(minor).groupBy("cluster", "x", "y").applyInPandas(
+    placed = sets.hint("shuffle_merge").join(every.unionByName(minor), "node")
+    found = placed.groupBy("cluster", "x", "y").applyInPandas(
         search, "a long, b long"
     )
     return staged(found, "links")
@@ -431,15 +446,17 @@ def links_of(docs: DataFrame, classes: DataFrame, config: Sketching) -> DataFram
         .groupBy("key")
         .agg(F.max_by("node", F.struct("hub", -F.col("node"))).alias("b"))
     )
-    stars = shared.join(centres, "key").filter("node != b").select(F.col("node").alias("a"), "b")
-    near = estimated(stars.distinct(), classes, config)
+    stars = staged(shared.select("key", "node").join(centres, "key"), "stars")
+    sets = sets_of(docs, stars.select("node").distinct(), config)
+    pairs = stars.filter("node != b").select(F.col("node").alias("a"), "b").distinct()
+    near = estimated(pairs, classes, config)
     best = near.groupBy("a").agg(F.max_by("b", F.struct("near", -F.col("b"))).alias("b"))
-    links = verified(staged(best, "pairs"), docs, config)
+    links = verified(staged(best, "pairs"), sets, config)
     labels = components(links)
-    rest, n = stage_counted(residue(shared, labels), "rest")
+    rest, n = stage_counted(residue(stars, labels), "rest")
     if not n:
         return labels
-    return components(links.unionByName(residual_links(rest, docs, config)))
+    return components(links.unionByName(residual_links(rest, sets, config)))
 
 
 def near_duplicates(docs: DataFrame, config: Sketching | None = None) -> DataFrame:
