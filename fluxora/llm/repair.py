@@ -68,18 +68,24 @@ def choose(pairs: np.ndarray, counts: np.ndarray, base: int, grammar: Grammar) -
 
 def replace(seq: np.ndarray, pairs: np.ndarray, taken: np.ndarray, base: int, first: int) -> np.ndarray:
     """``seq`` with every taken pair (left to right) replaced by its nonterminal."""
-    where = np.searchsorted(taken, pairs)
-    where[where == len(taken)] = 0
-    at = np.flatnonzero(taken[where] == pairs)
+    lefts, rights = np.zeros(base, bool), np.zeros(base, bool)
+    lefts[taken // base], rights[taken % base] = True, True
+    maybe = np.flatnonzero(lefts[seq[:-1]] & rights[seq[1:]])
+    found = np.searchsorted(taken, pairs[maybe])
+    found[found == len(taken)] = 0
+    hit = taken[found] == pairs[maybe]
+    at, found = maybe[hit], found[hit]
     # In a run of one symbol only every other pair can be replaced.
-    same = taken[where[at]] // base == taken[where[at]] % base
+    same = taken[found] // base == taken[found] % base
     if same.any():
         run = at[same]
         begins = np.concatenate([[True], np.diff(run) > 1])
         starts = run[np.maximum.accumulate(np.where(begins, np.arange(len(run)), 0))]
-        at = np.sort(np.concatenate([at[~same], run[(run - starts) % 2 == 0]]))
+        keep = ~same
+        keep[same] = (run - starts) % 2 == 0
+        at, found = at[keep], found[keep]
     out = seq.copy()
-    out[at] = first + where[at]
+    out[at] = first + found
     return np.delete(out, at + 1)
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -23,7 +25,7 @@ LETTER = re.compile(f"[{LETTERS}]")
 # A piece of these letters alone is one word to either vocabulary.
 WORD = re.compile(f" ?[{LETTERS}]+")
 MARKS = ".,;:!?#$%&*|"
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 AT_ONCE = 1000
 MARK = "<|endoftext|>"
 
@@ -57,7 +59,14 @@ class Encoder:
         if self.lower:
             piece = piece.lower()
         spelled = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        return self.packed([t.id for t in self.model.tokenize(spelled)])
+
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -84,16 +93,21 @@ class Encoder:
         A word ends where marks follow a letter and begins after a line feed, so such
         pieces are encoded in parts, each only if it is not known.
         """
-        known, parts = self.known, {}
+        known, parts, out = self.known, {}, {}
         for p in pieces:
+            if WORD.fullmatch(p):
+                out[p] = self.word(p)
+                continue
             stem = p.rstrip(MARKS)
             cut = [stem, p[len(stem) :]] if stem and LETTER.match(stem[-1]) else [p]
             if len(p) > 1 and p[0] == "\n" and LETTER.match(p[1]):
                 cut = ["\n", cut[0][1:], *cut[1:]]
             parts[p] = [c for c in cut if c]
-        fresh = {c for cut in parts.values() for c in cut if c not in known}
-        out = {c: self.word(c) for c in fresh if WORD.fullmatch(c)}
-        out.update(self.bulk(sorted(c for c in fresh if c not in out)))
+        fresh = {c for cut in parts.values() for c in cut if c not in known and c not in out}
+        words = [c for c in fresh if WORD.fullmatch(c)]
+        out.update(self.bulk(sorted(fresh.difference(words))))
+        for c in words:
+            out[c] = self.word(c)
         for p, cut in parts.items():
             out[p] = b"".join([out[c] if c in out else known[c] for c in cut])
         if len(known) < REMEMBERED:
