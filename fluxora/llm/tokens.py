@@ -25,7 +25,7 @@ LETTER = re.compile(f"[{LETTERS}]")
 # A piece of these letters alone is one word to either vocabulary.
 WORD = re.compile(f" ?[{LETTERS}]+")
 MARKS = ".,;:!?#$%&*|"
-REMEMBERED = 800_000
+REMEMBERED = 300_000  # about 80 MB a worker
 AT_ONCE = 1000
 MARK = "<|endoftext|>"
 
@@ -46,8 +46,7 @@ class Encoder:
 
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
-        self.marking = Tokenizer.from_file(path)
-        self.mark = self.marking.token_to_id(MARK)
+        self.mark = self.plain.token_to_id(MARK)
         self.pieces = re.compile(r"[ \n]*[^ \n]+|[ \n]+" if spaces_count else r"[^ \n]+").findall
         self.known: dict[str, bytes] = {}
         self.model = self.plain.model
@@ -75,16 +74,18 @@ class Encoder:
         """Ids of pieces, encoded together: a special token between them tells them apart."""
         out = {p: self.whole(p) for p in pieces if "<|" in p}
         plain = [p for p in pieces if p not in out] if out else pieces
+        self.plain.encode_special_tokens = False
         for at in range(0, len(plain), AT_ONCE):
             part = plain[at : at + AT_ONCE]
             joined = MARK.join(part) + MARK
-            found = self.marking.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+            found = self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids
             ids = np.array(found, "<u4")
             ends = np.flatnonzero(ids == self.mark).tolist()
             raw, start = ids.tobytes(), 0
             for p, end in zip(part, ends, strict=True):
                 out[p] = raw[4 * start : 4 * end]
                 start = end + 1
+        self.plain.encode_special_tokens = True
         return out
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:

@@ -1,0 +1,361 @@
+"""The operators against brute force, round trips and held-out labels on small tables."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from fluxora.llm import mixing, packing, pages, quality, repair, secrets, setsketch, tokens, topk
+from fluxora.llm import toxicity, warc
+from scripts.check import compare
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows and columns with clashing names."""
+    long = " ".join(f"word{i % 977}" for i in range(30_000))
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "src1", 0), (3, long, "en", "src0", len(long)),
+        (3, long, "en", "src0", len(long)), (4, " \n\t ", "xx", "odd", 4), (None, "a b", "en", "src2", 3),
+        (5, "a\x0bb\x85c d <|endoftext|> e", "en", "src2", 9),
+    ]
+    df = spark.createDataFrame(rows, DOCS)
+    from pyspark.sql import functions as F
+
+    return df.withColumn("kept", F.lit("x")).withColumn("digest", F.lit(1)).withColumn("a", F.lit(2))
+
+
+def table(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.1, 8)]) for i in range(300)]
+    rows += [(i, rows[7][1]) for i in range(300, 380)]  # ties
+    rows += [(400, None), (401, [1.0, None]), (402, [float("nan")] * 8), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ids = [i for i, v in rows[:380]]
+    data = np.floor(64 * np.array([v for _, v in rows[:380]])).astype(int)
+    expected = set()
+    for q in ids[::20]:
+        scores = data @ data[q]
+        best = sorted((c for c in ids if c != q), key=lambda c: (-scores[c], c))[:20]
+        expected |= {(q, n + 1, c, int(scores[c])) for n, c in enumerate(best)}
+    found = topk.top_k(df, shard_rows=90, block_rows=7)
+    assert {tuple(r) for r in found.collect()} == expected
+    assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_top_k_large_components():
+    rows = np.array([[1 << 29, 3], [1 << 29, 4], [-(1 << 30), 1]], dtype=np.int64)
+    ids = np.array([5, 3, 4])
+    found = list(topk.threshold_search(np.array([9]), rows[:1], ids, rows, 2))
+    assert found[0][1].tolist() == [3, 5]
+
+
+@pytest.mark.parametrize("name", [tokens.BYTE_BPE, tokens.WORD_BPE])
+def test_tokens_equal_whole_texts(docs, name):
+    encode = tokens.encoder(name)
+    texts = [r.text or "" for r in docs.limit(120).collect()]
+    texts += [
+        "", " ", "\n\n", "a  b \n c\n\nd ", "it's we'll x're's", "Don't!?# ok,no", "\nÉté’s", "1st 2²! §x",
+        "日本語 テキスト Wort", "tab\there\x0bnow", "<|endoftext|> x<|y", "İstanbul Straße ΣΑΣ", "é á!",
+        "word###,foo.bar\n\tq", " lead", "x\n y", " z",
+    ]
+    got = encode.encode_all(texts) + [encode.encode(t) for t in texts]
+    assert got == [encode.whole(t) for t in texts] * 2
+
+
+def test_repair_round_trip(spark, docs, odd):
+    grammar = repair.Grammar(least=2)
+    encode = tokens.encoder(tokens.BYTE_BPE)
+    for df in (docs, odd, docs.limit(0)):
+        shards = repair.write_shards(df, grammar, size=5000)
+        found = sorted(tuple(r) for r in repair.read_shards(shards).fillna(-1, ["doc_id"]).collect())
+        texts = sorted(
+            (-1 if r.doc_id is None else r.doc_id, encode.whole(r.text or "") + repair.END)
+            for r in df.collect()
+        )
+        assert [(f[0], f[2], f[3]) for f in found] == [
+            (i, len(raw) // 4, zlib.crc32(raw)) for i, raw in sorted(texts, key=lambda x: x[0])
+        ]
+        places = sorted((f[1], f[2]) for f in found)
+        assert [p for p, _ in places] == list(np.cumsum([0] + [n for _, n in places])[:-1])
+
+
+def test_repair_stretch():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 5, n).astype("<u4") for n in (0, 1, 7, 400, 2000)]
+    raws = [t.tobytes() + repair.END for t in texts]
+    shard = repair.open_shard(repair.shard_bytes([1, 2, None, 4, 5], raws, repair.Grammar(first=5, least=2)))
+    assert len(shard.rules) and len(shard.symbols) < sum(map(len, raws)) // 4
+    for d, raw in enumerate(raws):
+        ids = np.frombuffer(raw, "<u4")
+        for a, b in ((0, len(ids)), (3, 9), (0, 1), (len(ids) - 1, len(ids))):
+            assert repair.stretch(shard, d, a, min(b, len(ids))).tolist() == ids[a:b].tolist()
+
+
+def test_mixing_twin(spark, docs, odd):
+    duckdb = pytest.importorskip("duckdb")
+    for df in (docs, odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
+        con = duckdb.connect()
+        con.register("documents", df.select("doc_id", "text", "lang", "source").toPandas())
+        found = mixing.mixture(df)
+        cur = con.execute(mixing.oracle())
+        cols, kinds = [d[0] for d in cur.description], [str(d[1]) for d in cur.description]
+        rows = [tuple(r) for r in found.collect()]
+        verdict = compare(rows, found.columns, [t for _, t in found.dtypes], cur.fetchall(), cols, kinds)
+        assert verdict.startswith("ok"), verdict
+
+
+def test_mixing_docs_follow_the_plan(docs, odd):
+    total = mixing.mixture(docs).groupBy().sum("take_tokens").first()[0]
+    texts = [r.text for r in mixing.mixed_docs(docs).collect()]
+    assert sum(len(t.encode().split()) for t in texts) == total
+    assert mixing.mixed_docs(odd).columns == odd.columns
+    assert mixing.mixed_docs(docs.limit(0)).count() == 0
+
+
+def brute_base(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = Counter(zip(words, words[1:], words[2:]))
+    covered = {k for i, w in enumerate(zip(words, words[1:], words[2:])) if windows[w] > 1 for k in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (
+        len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)),
+        len(lines) - len(set(lines)), len(covered),
+    )
+
+
+def test_quality_base_and_labels(spark, docs, odd):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    for df in (docs, odd, docs.limit(0)):
+        text = {r.doc_id: r.text or "" for r in df.collect()}
+        rows = quality.quality(df).collect()
+        assert len(rows) == df.count()
+        for r in rows:
+            base = brute_base(text[r.doc_id])
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base
+            assert r.base_failed == (base[0] < 50 or 100 * base[4] > 50 * base[0])
+            assert not (r.base_failed and r.kept)
+    judged = [r for r in quality.quality(docs).collect() if r.doc_id in labels and not r.base_failed]
+    assert sum(r.kept == bool(labels[r.doc_id]) for r in judged) >= 0.95 * len(judged)
+    kept = {r.doc_id for r in quality.quality(docs).filter("kept").collect()}
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == kept
+
+
+PAGE = """<html><head><title>t</title><script>var a="</p><p>no</p>";</script></head><body class="has-sidebar">
+<header><h1>Site</h1></header><nav><ul><li>Menu</li></ul></nav><div class="cookie-notice">We use</div>
+<article><header><h1>Title &amp; more</h1></header><p>One  <b>two</b><br>three<p>Four &eacute;
+<div class=ad>BUY</div><ul><li>i1<li>i2</ul><!-- c --><div id="comments"><p>c1</p></div></article>
+<aside>side</aside><form>f<input></form><footer>foot</footer></body></html>"""
+
+
+def test_page_blocks():
+    kept, _ = pages.main_lines(pages.pack(pages.lines_of(PAGE)), [])
+    assert kept == ["Title & more", "One two three", "Four é", "i1", "i2"]
+
+
+def test_page_differencing(spark):
+    plain = "<div>Menu of this site</div><p>{}</p><p>{}</p><div>All rights kept</div>"
+    rows = [(i, f"http://h.example/a/{i}", plain.format(f"body {i}", f"more {i}")) for i in range(9)]
+    rows += [(20, None, None), (21, "http://other/x", ""), (22, "http://h.example/a/3", PAGE), (0, *rows[0][1:])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {(r.page_id, r.text) for r in pages.main_text(df).collect()}
+    expected = {(i, f"body {i}\n\nmore {i}") for i in range(9)}
+    assert expected <= found and (20, "") in found and (21, "") in found
+    assert pages.main_text(df.limit(0)).count() == 0
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        a, b = rng.permutation(12)[:9].tolist(), rng.permutation(12)[:9].tolist()
+        best = np.zeros((10, 10), int)
+        for i in range(9):
+            for j in range(9):
+                best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
+        places = pages.aligned(a, b)
+        assert len(places) == best[9, 9] and places == sorted(places)
+
+
+def brute_near(rows, size, percent):
+    sets = {}
+    for i, text in rows:
+        words = (text or "").encode().lower().split()
+        n = max(1, len(words) - size + 1) if words else 0
+        sets[i] = {tuple(words[k : k + size]) for k in range(n)}
+    comp = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if i < j and a and b and 100 * len(a & b) >= percent * len(a | b):
+                    low = min(comp[i], comp[j])
+                    changed |= comp[i] != low or comp[j] != low
+                    comp[i] = comp[j] = low
+    return {(i, len(s), comp[i], comp[i] == i) for i, s in sets.items()}
+
+
+def test_near_duplicates(spark, docs, odd):
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    rows = [(r.doc_id, r.text) for r in docs.limit(120).collect()]
+    for i in range(60):  # a large group around the wanted similarity
+        words = list(base)
+        for k in rng.integers(0, 120, i % 7):
+            words[k] = f"x{i}-{k}"
+        rows.append((10_000 + i, " ".join(words)))
+    rows += [(20_000, "One two"), (20_001, "one  TWO"), (20_002, ""), (20_003, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    config = setsketch.Sketching(shingle=4, tile=16, star=8)
+    found = {tuple(r) for r in setsketch.near_duplicates(df, config).collect()}
+    assert found == brute_near(rows, 4, 80)
+    strange = setsketch.near_duplicates(odd, config)
+    assert strange.count() == odd.count() and strange.filter("doc_id IS NULL").first().kept
+    assert setsketch.near_duplicates(df.limit(0), config).count() == 0
+    assert setsketch.first_of_each(odd).columns == odd.columns
+
+
+def test_sketches_merge_and_estimate():
+    config = setsketch.Sketching()
+    rng = np.random.default_rng(2)
+    pool = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
+    a, b = pool[:2000], pool[200:2200]
+    ra, rb, rc = setsketch.sketches([a, b, np.union1d(a, b)], config)
+    assert (np.maximum(ra, rb) == rc).all()
+    near = setsketch.estimate(ra[None], rb[None], np.array([2000.0]), np.array([2000.0]), config.base)
+    assert abs(near[0] - 1800 / 2200) < 0.15
+
+
+def test_warc_twin_and_salvage(spark):
+    duckdb = pytest.importorskip("duckdb")
+    big = "<p>" + "x" * 200 + "é</p>"
+    rows = [(i, f"http://a/{i}", big if i % 3 else f"{big}{i}") for i in range(1, 30)]
+    rows += [(40, None, None), (41, "u v", "small"), (42, "u", "small"), (43, "http://a\r\nX: y", big)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    key = lambda r: tuple(str(x) for x in r)
+    expected = sorted((tuple(r) for r in con.execute(warc.ORACLE).fetchall()), key=key)
+    assert sorted((tuple(r) for r in warc.archived(df).collect()), key=key) == expected
+    assert warc.archived(df.limit(0)).count() == 0
+
+
+def test_salvage_logs_gaps():
+    import gzip
+
+    bodies = [b"a" * 50, b"b" * 50, b"c" * 50]
+    raw = [warc.record(i, "http://x/", b, hashlib.sha256(b).hexdigest(), None) for i, b in enumerate(bodies)]
+    packed = [gzip.compress(r, mtime=0) for r in raw]
+    damaged = packed[1][:40] + b"\x00" * 9 + packed[1][49:]
+    data = packed[0] + damaged + b"junk" + raw[2] + packed[0][:30]
+    found = list(warc.salvage(data))
+    assert ["gap" in f for f in found] == [False, True, False, True]
+    assert [f["start"] for f in found[1:]] == [f["end"] for f in found[:-1]]
+    assert found[-1]["end"] == len(data) and found[2]["headers"]["warc-record-id"] == "<urn:page:2>"
+    assert [f for f in warc.salvage(raw[0].replace(b"aaa", b"aab", 1))][0]["gap"]
+
+
+def test_packing(spark, docs, odd):
+    encode = tokens.encoder(tokens.WORD_BPE)
+    for df in (docs, odd, docs.limit(0)):
+        rows = packing.packed(df, room=512, group_rows=60).collect()
+        expected = []
+        for r in df.collect():
+            ids = encode.whole(r.text or "") + packing.END
+            for n in range(-(-len(ids) // 2048)):
+                part = ids[2048 * n : 2048 * (n + 1)]
+                expected.append((str(r.doc_id), n, 512 * n, len(part) // 4, zlib.crc32(part)))
+        found = [(str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in rows]
+        assert sorted(found) == sorted(expected)
+        bins = {}
+        for r in rows:
+            bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for parts in bins.values():
+            parts.sort()
+            assert [o for o, _ in parts] == list(np.cumsum([0] + [n for _, n in parts])[:-1])
+            assert sum(n for _, n in parts) <= 512
+        lengths = np.array([r.length for r in rows], dtype=np.int64)
+        assert len(bins) <= 1.02 * packing.lower_bound(lengths, 512) + 1
+
+
+def test_lower_bound():
+    assert packing.lower_bound(np.array([60, 60, 60]), 100) == 3
+    assert packing.lower_bound(np.array([34, 34, 34, 34]), 100) == 2
+    assert packing.lower_bound(np.array([], dtype=np.int64), 100) == 0
+
+
+def test_toxicity(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert len(rows) == docs.select("doc_id").distinct().count()
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in rows.items())
+    marked = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [(rows[i].score, y) for i, y in marked.items() if rows[i].held_out]
+    toxic, clean = [s for s, y in held if y], [s for s, y in held if not y]
+    assert np.mean([a > b for a in toxic for b in clean]) > 0.95
+
+
+def test_toxicity_odd(spark, odd):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    rows = toxicity.toxicity(odd, labels).collect()
+    assert len(rows) == odd.count() and all(r.score == 0.0 and r.predicted == 0 for r in rows)
+
+
+def test_secrets(spark, docs, odd):
+    rng = np.random.default_rng(4)
+    key = "".join(secrets.ALNUM_ALPHABET[i] for i in rng.integers(0, 62, 36))
+    cases = [
+        (1, 'Password: "hunter2hunter2" API-KEY=x api_key=abcdefghijkl.=='), (2, "AKIA" + "A" * 14 + " AKIA123"),
+        (3, "0123456789abcdef deadbeef"), (4, f"see {key} there"), (5, None), (6, "token: secret=abcdefghijklmno"),
+        (7, "paſſword=abcdefghijklmnop"),
+    ]
+    df = spark.createDataFrame(cases, "doc_id long, text string")
+    rows = {r.doc_id: r for r in secrets.secrets(df).collect()}
+    assert (rows[1].n_assign, rows[2].n_access, rows[3].n_hex, rows[5].spans) == (2, 1, 1, "")
+    assert rows[6].spans.startswith("assign:0:") and rows[7].n_assign == 0
+    assert f"random:4:{4 + len(key)}" in rows[4].spans
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in secrets.secrets(docs).collect():
+        for kind, start, end in (x.split(":") for x in r.spans.split(",") if x):
+            if kind == "assign":
+                assert secrets.ASSIGN.fullmatch(text[r.doc_id][int(start) : int(end)])
+    assert secrets.secrets(odd).count() == odd.count()
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(df).collect()}
+    assert masked[4] == "see [secret] there" and masked[5] is None
+    assert secrets.mask_secrets(odd).columns == odd.columns
+
+
+def test_pipeline(spark, docs):
+    steps = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, steps, SF)
+        assert after.columns == docs.columns, name
+        steps = spark.createDataFrame(after.collect(), docs.schema)
+    ids = {r.doc_id for r in steps.collect()}
+    packed = corpus_pipeline.STAGES[-1][1](spark, steps, SF).collect()
+    assert {r.doc_id for r in packed} == ids
+    good = {r.doc_id for r in quality.quality(docs).filter("kept").collect()}
+    assert ids <= good
+    near = setsketch.near_duplicates(docs.filter(docs.doc_id.isin(sorted(good))))
+    assert ids <= {r.doc_id for r in near.filter("kept").collect()}
+    texts = [r.text for r in steps.collect()]
+    assert not any(secrets.ACCESS.search(t) for t in texts)
