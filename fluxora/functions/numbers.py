@@ -5,21 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluxora.functions.text import BLANKS
+
 # Cell texts read as missing numbers (fixed values).
 NULL_TOKENS = ("", "nan", "None", "NA", "N/A", "<NA>", "-", "--")
 
 
+# Digits, an optional point and exponent; type letters such as ``12d`` are not numbers.
+PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def stripped(col: Column) -> Column:
+    """Text without blanks of any kind (no-break spaces too) at either end."""
+    return F.regexp_replace(col.cast("string"), f"^{BLANKS}|{BLANKS}$", "")
+
+
 def parse_number_br(col: Column) -> Column:
     """``1.234,56`` -> 1234.56; ``R$`` and blanks are dropped, bad text becomes NULL."""
-    text = F.trim(col.cast("string"))
+    text = stripped(col)
     text = F.when(~text.isin(*NULL_TOKENS), text)
-    text = F.replace(F.regexp_replace(text, r"\s+", ""), F.lit("R$"), F.lit(""))
+    text = F.replace(F.regexp_replace(text, BLANKS, ""), F.lit("R$"), F.lit(""))
     text = F.translate(F.replace(text, F.lit("."), F.lit("")), ",", ".")
-    return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text).try_cast("double")
+    return F.when(text.rlike(PLAIN_NUMBER), text).try_cast("double")
 
 
 def parse_number_plain(col: Column) -> Column:
-    return finite(F.trim(col.cast("string")))
+    return finite(stripped(col))
 
 
 def textual_columns(df: DataFrame, columns: list[str]) -> list[str]:
@@ -32,9 +43,9 @@ def textual_columns(df: DataFrame, columns: list[str]) -> list[str]:
         return []
 
     def not_plain(name: str) -> Column:
-        text = F.trim(F.col(name).cast("string"))
+        text = stripped(F.col(name))
         present = text.isNotNull() & ~text.isin(*NULL_TOKENS)
-        return F.max(present & text.try_cast("double").isNull())
+        return F.max(present & finite(text).isNull())
 
     row = df.agg(*[not_plain(c).alias(c) for c in columns]).first()
     return [c for c in columns if row[c]]
@@ -60,7 +71,8 @@ def to_numbers(df: DataFrame, columns: list[str], mode: str = "auto") -> DataFra
 
 def finite(col: Column) -> Column:
     """Number or NULL: text that does not parse, NaN and infinities are missing."""
-    number = col.try_cast("double")
+    text = stripped(col)
+    number = F.when(text.rlike(PLAIN_NUMBER), text).try_cast("double")
     return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
 
 

@@ -144,7 +144,14 @@ def eligible_wages(df: DataFrame, spec: IndexSpec) -> DataFrame:
         wage, is_yes(F.col("indtrabintermitente")), F.col("salario_minimo"),
         spec.wage_low, spec.wage_high,
     )
-    return join_floor(df, spec).where((F.col("admissao") == 1) & ok)
+    # A year without a floor fails the job: its wages must not vanish silently.
+    unknown = F.col("ano").isNotNull() & F.col("salario_minimo").isNull()
+    message = F.concat(F.lit("no wage floor for year "), F.col("ano").cast("string"))
+    joined = join_floor(df, spec).withColumn(
+        "salario_minimo",
+        F.when(unknown, F.raise_error(message).cast("double")).otherwise(F.col("salario_minimo")),
+    )
+    return joined.where((F.col("admissao") == 1) & ok)
 
 
 def relative_wages(

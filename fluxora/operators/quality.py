@@ -61,6 +61,12 @@ def validate_clean(df: DataFrame, period: Sequence[str], expected: Column) -> Da
     ``competenciamov``.
     """
     cols = set(df.columns)
+    # A missing column is reported by its check and counts as all NULL here.
+    kinds = {"competenciamov": "string", "faixa_etaria": "string"}
+    needed = ("saldomovimentacao", "admissao", "desligamento", *kinds)
+    df = df.withColumns(
+        {c: F.lit(None).cast(kinds.get(c, "int")) for c in needed if c not in cols}
+    )
     sign = F.col("saldomovimentacao")
     hires = (sign == 1).cast("int")
     leaves = (sign == -1).cast("int")
@@ -79,7 +85,7 @@ def validate_clean(df: DataFrame, period: Sequence[str], expected: Column) -> Da
         *[F.count(c).alias(f"__nn_{c}") for c in {*CRITICAL, *CATEGORICAL} if c in cols],
     )
     net = F.col("admissao_sum") - F.col("desligamento_sum")
-    checks = column_checks(df.columns)
+    checks = column_checks([c for c in df.columns if c in cols])
     checks += [
         ("error", f"all_null:{c}", F.col(f"__nn_{c}") == 0) for c in CRITICAL if c in cols
     ]

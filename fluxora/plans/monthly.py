@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fluxora.operators import movement as mv
 from fluxora.operators import quality
-from fluxora.operators.clean import clean_movements
+from fluxora.operators.clean import clean_movements, period_text
 from fluxora.session import stage
 from fluxora.sources.files import write_json
 from fluxora.sources.lake import read_delimited, write_table
@@ -17,6 +17,32 @@ from fluxora.sources.lake import read_delimited, write_table
 PERIOD = ("ano", "mes")
 
 
+def with_folder_period(
+    raw: DataFrame, dictionary: DataFrame, decoded: dict[str, str], number_mode: str
+) -> DataFrame:
+    """Clean rows stamped with the period of their folder; every row stays.
+
+    What a row says of its own period is left in ``competenciamov``, where validation
+    holds it against the folder.  Without folder columns the rows' own period counts.
+    """
+    if not set(PERIOD) <= set(raw.columns):
+        return clean_movements(raw, dictionary, decoded, number_mode)
+    folder = {c: f"__folder_{c}" for c in PERIOD}
+    kept = raw.withColumnsRenamed(folder)
+    cleaned = clean_movements(kept, dictionary, decoded, number_mode)
+    year, month = (F.col(folder[c]).cast("int") for c in PERIOD)
+    return cleaned.withColumns(
+        {
+            "ano": year,
+            "mes": month,
+            "competencia_date": F.make_date(year, month, F.lit(1)).cast(
+                cleaned.schema["competencia_date"].dataType
+            ),
+            "competencia_str": period_text(year, month),
+        }
+    ).drop(*folder.values())
+
+
 def clean_stage(
     spark: SparkSession, landing: str, clean_path: str, dictionary: DataFrame,
     decoded: dict[str, str], number_mode: str = "auto", sidecar: str | None = None,
@@ -26,10 +52,8 @@ def clean_stage(
     ``sidecar`` names where the validation is kept as JSON, one document per period.
     """
     raw = read_delimited(spark, landing)
-    # Folder columns say where a file lies; the period comes from the rows themselves.
-    raw = raw.drop(*[c for c in PERIOD if c in raw.columns])
-    cleaned = clean_movements(raw, dictionary, decoded, number_mode)
-    write_table(cleaned.where(F.col("ano").isNotNull()), clean_path, PERIOD)
+    cleaned = with_folder_period(raw, dictionary, decoded, number_mode)
+    write_table(cleaned, clean_path, PERIOD)
     clean = spark.read.parquet(clean_path)
     expected = F.format_string("%04d%02d", F.col("ano"), F.col("mes"))
     validation = stage(quality.validate_clean(clean, PERIOD, expected), "validation")

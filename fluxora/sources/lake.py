@@ -70,6 +70,10 @@ def read_partition(spark: SparkSession, path: str, year: int, month: int) -> Dat
     return spark.read.parquet(path).where((F.col("ano") == year) & (F.col("mes") == month))
 
 
+# What the Parquet reader says of a damaged file (fixed values).
+CORRUPT_MARKS = ("Could not read footer", "is not a Parquet file", "CANNOT_READ_FILE_FOOTER")
+
+
 def read_with_fallback(
     spark: SparkSession, root: str, name: str, schema: T.StructType
 ) -> DataFrame:
@@ -83,8 +87,13 @@ def read_with_fallback(
         spark.read.option("mergeSchema", True).parquet(parquet)
         df = spark.read.schema(schema).parquet(parquet)
         return df.withColumn("_source", F.lit("parquet"))
-    except Exception as error:  # missing path, bad footer or an unreadable file system
-        if not isinstance(error, AnalysisException) and "parquet" not in str(error).lower():
+    except Exception as error:
+        # A missing path or an unreadable file falls back; any other failure (a lost
+        # connection, say) must not turn into a stale copy.
+        condition = (getattr(error, "getCondition", lambda: None)() or "").upper()
+        unreadable = condition.startswith(("CANNOT_READ_FILE", "FAILED_READ_FILE", "CANNOT_MERGE"))
+        corrupt = any(mark in str(error) for mark in CORRUPT_MARKS)
+        if not (isinstance(error, AnalysisException) or unreadable or corrupt):
             raise
     csv = f"{root}/csv/{name}"
     if not exists(spark, csv):
