@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxora.functions.text import BLANKS
+from fluxora.operators.order_stats import join_null_safe
+from fluxora.session import counted_side
 
 # Cell texts read as missing numbers (fixed values).
 NULL_TOKENS = ("", "nan", "None", "NA", "N/A", "<NA>", "-", "--")
@@ -41,24 +45,40 @@ def textual_columns(df: DataFrame, columns: list[str]) -> list[str]:
     """
     if not columns:
         return []
+    row = df.agg(*[any_not_plain(c).alias(c) for c in columns]).first()
+    return [c for c in columns if row[c]]
 
-    def not_plain(name: str) -> Column:
-        text = stripped(F.col(name))
-        present = text.isNotNull() & ~text.isin(*NULL_TOKENS)
-        return F.max(present & finite(text).isNull())
 
-    row = df.agg(*[not_plain(c).alias(c) for c in columns]).first()
-    return [c for c in columns if row[c]]
+def any_not_plain(name: str) -> Column:
+    """Aggregate: does any present cell of the column fail to read as a plain number?"""
+    text = stripped(F.col(name))
+    present = text.isNotNull() & ~text.isin(*NULL_TOKENS)
+    return F.max(present & finite(text).isNull())
 
 
-def to_numbers(df: DataFrame, columns: list[str], mode: str = "auto") -> DataFrame:
+def to_numbers(
+    df: DataFrame, columns: list[str], mode: str = "auto", per: Sequence[str] = ()
+) -> DataFrame:
     """Convert text columns to double with one rule per column.
 
-    ``mode``: "br" and "plain" force a rule; "auto" inspects each whole column first.
+    ``mode``: "br" and "plain" force a rule; "auto" inspects each whole column first, or,
+    with ``per``, the column within each group of those keys (the period of a file).
     """
     if mode not in ("auto", "br", "plain"):
         raise ValueError(f"unknown number mode: {mode!r}")
     present = [c for c in columns if c in df.columns]
+    if mode == "auto" and per and present:
+        flags = {c: f"__br_{c}" for c in present}
+        rules = df.groupBy(*per).agg(*[any_not_plain(c).alias(f) for c, f in flags.items()])
+        ruled = join_null_safe(df, counted_side(rules, "number-rules"), list(per))
+        return ruled.withColumns(
+            {
+                c: F.when(F.col(f), parse_number_br(F.col(c))).otherwise(
+                    parse_number_plain(F.col(c))
+                )
+                for c, f in flags.items()
+            }
+        ).drop(*flags.values())
     text_cols = set(textual_columns(df, present)) if mode == "auto" else set()
     use_br = {c: mode == "br" or c in text_cols for c in present}
     return df.withColumns(

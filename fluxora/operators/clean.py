@@ -121,13 +121,18 @@ def clean_movements(
     dictionary: DataFrame,
     decoded: dict[str, str],
     number_mode: str = "auto",
+    file_period: Sequence[str] = ("ano", "mes"),
 ) -> DataFrame:
-    """Raw delimited rows (all text) to typed, decoded movements."""
+    """Raw delimited rows (all text) to typed, decoded movements.
+
+    ``file_period`` names the columns that tell monthly files apart: the number format is
+    decided for each of them.
+    """
     df = normalize_headers(raw)
     if "saldomovimentacao" not in df.columns:
         raise ValueError("column saldomovimentacao is required")
     df = stamp_period(df, "competenciamov")
-    df = to_numbers(df, list(MEASURES), number_mode)
+    df = to_numbers(df, list(MEASURES), number_mode, file_period)
     df = df.withColumn(
         "faixa_etaria",
         age_band(F.col("idade")) if "idade" in df.columns else F.lit("Ignorado"),

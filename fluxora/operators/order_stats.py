@@ -25,6 +25,7 @@ from fluxora.session import counted_side, stage_counted
 SMALL_ROWS = 1_000_000
 N_RANGES = 128  # a power of two
 SAMPLE_ROWS = 2048
+NULL_SALTS = 256
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -214,8 +215,17 @@ def dense_rank_desc(
         ranked = distinct.withColumn(name, F.row_number().over(order).cast("long"))
     else:
         ranked = _ranks_by_range(distinct, keys, name)
-    ranks = ranked.select(*keys, F.col("__v").alias(score), name)
-    return join_null_safe(df, ranks, [*keys, score], "left")
+    ranks = ranked.select(
+        *keys,
+        F.col("__v").alias(score),
+        name,
+        F.when(F.col("__v").isNull(), 1).otherwise(0).cast("long").alias("__salt"),
+    )
+    # Rows without a score match nothing; the salt keeps them from meeting in one task.
+    hashed = [c for c, t in df.dtypes if "map<" not in t and t != "variant"]
+    salt = F.pmod(F.xxhash64(*hashed), F.lit(NULL_SALTS)) + 1
+    salted = df.withColumn("__salt", F.when(F.col(score).isNull(), salt).otherwise(F.lit(0)).cast("long"))
+    return join_null_safe(salted, ranks, [*keys, score, "__salt"], "left").drop("__salt")
 
 
 def _ranks_by_range(distinct: DataFrame, keys: list[str], name: str) -> DataFrame:

@@ -29,7 +29,9 @@ def with_folder_period(
         return clean_movements(raw, dictionary, decoded, number_mode)
     folder = {c: f"__folder_{c}" for c in PERIOD}
     kept = raw.withColumnsRenamed(folder)
-    cleaned = clean_movements(kept, dictionary, decoded, number_mode)
+    cleaned = clean_movements(
+        kept, dictionary, decoded, number_mode, list(folder.values())
+    )
     year, month = (F.col(folder[c]).cast("int") for c in PERIOD)
     return cleaned.withColumns(
         {

@@ -72,18 +72,22 @@ def _open(path: str):
 def probe(files: DataFrame, sample_lines: int = 100) -> DataFrame:
     """First lines of each listed file: (path, length, codificacao, cabecalho, linhas).
 
-    Only the first 64 KiB of a file are read, by the task that holds its listing row.
-    UTF-8 is tried first, then Latin-1.
+    Only the header and ``sample_lines`` lines of a file are read, whatever their length, by
+    the task that holds its listing row.  UTF-8 is tried first, then Latin-1.
     """
 
+    def first_lines(path: str) -> bytes:
+        raw, wanted = bytearray(), sample_lines + 1
+        with _open(path) as stream:
+            while raw.count(b"\n") < wanted and (chunk := stream.read(PROBE_BYTES)):
+                raw += chunk
+        return b"\n".join(bytes(raw).split(b"\n")[:wanted])
+
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, length in zip(batch["path"], batch["length"]):
-                with _open(path) as stream:
-                    raw = stream.read(PROBE_BYTES)
-                if len(raw) == PROBE_BYTES and b"\n" in raw:
-                    raw = raw[: raw.rindex(b"\n")]
+                raw = first_lines(path)
                 try:
                     text, encoding = raw.decode("utf-8"), "utf-8"
                 except UnicodeDecodeError:
@@ -144,13 +148,33 @@ def publish(
     found = problems(written)
     if found:
         return None, found
-    fs, pointer = _fs(spark, f"{root}/{POINTER}")
-    stream = fs.create(pointer, True)
+    _replace_file(spark, f"{root}/{POINTER}", version)
+    return version, []
+
+
+def _replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write aside, then rename over the old file, so that no reader meets half a file."""
+    jvm = spark.sparkContext._jvm
+    fs, target = _fs(spark, path)
+    _, aside = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(aside, True)
     try:
-        stream.write(bytearray(version, "utf-8"))
+        stream.write(bytearray(text, "utf-8"))
     finally:
         stream.close()
-    return version, []
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    overwrite = spark.sparkContext._gateway.new_array(rename, 1)
+    overwrite[0] = rename.valueOf("OVERWRITE")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf())
+    context.rename(fs.makeQualified(aside), fs.makeQualified(target), overwrite)
+
+
+def remove_folders(spark: SparkSession, uris: list[str]) -> None:
+    """Delete folders named by URI; one that is gone already is no error."""
+    jvm = spark.sparkContext._jvm
+    for uri in uris:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:

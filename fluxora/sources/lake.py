@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from fluxora.operators.clean import normalize_headers
 from fluxora.operators.territory import last_per_key
-from fluxora.session import stage
-from fluxora.sources.files import exists
+from fluxora.session import counted_side, stage
+from fluxora.sources.files import exists, remove_folders
 
 
 def month_text(col: Column) -> Column:
@@ -172,15 +172,30 @@ def append_once(
     spark: SparkSession, path: str, source: DataFrame, partition: Sequence[str], key: str,
     order: Sequence[Column],
 ) -> None:
-    """Insert rows by key, the last one winning; delivering them again changes nothing."""
-    source = last_per_key(source, [key], order)
-    if exists(spark, path):
-        old = _same_columns(spark.read.parquet(path), source)
-        touched = source.select(*partition).distinct()
-        # Size bound: one row per calendar partition.
-        old = old.join(F.broadcast(touched), list(partition), "left_semi")
-        source = last_per_key(old.unionByName(source), [key], order)
-    write_table(stage(source, "append"), path, partition)
+    """Insert rows by key, the last one winning; delivering them again changes nothing.
+
+    A key may come back in another partition: the partitions that hold its old row are
+    rewritten too, and one that is left without rows is removed.
+    """
+    source = stage(last_per_key(source, [key], order), "arrived")
+    if not exists(spark, path):
+        write_table(source, path, partition)
+        return
+    stored = spark.read.parquet(path)
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("__folder")
+    old = stored.select(*[F.col(c).cast(t).alias(c) for c, t in source.dtypes], folder)
+    hit = old.join(source.select(key), key, "left_semi").select(*partition)
+    touched = source.select(*partition).unionByName(hit).distinct()
+    old = old.join(counted_side(touched, "touched"), list(partition), "left_semi")
+    merged = last_per_key(old.drop("__folder").unionByName(source), [key], order)
+    merged = stage(merged, "append")
+    # Folders of calendar partitions: few.
+    emptied = old.select("__folder", *partition).distinct().join(
+        merged.select(*partition).distinct(), list(partition), "left_anti"
+    )
+    gone = sorted({r["__folder"] for r in emptied.collect()})
+    write_table(merged, path, partition)
+    remove_folders(spark, gone)
 
 
 def backfill_plan(

@@ -152,3 +152,32 @@ def test_stream_delivers_once(spark, tmp_path):
     stream = landing.landing_files(spark, source, schema, "*.parquet")
     landing.land(stream, target, str(tmp_path / "s2"), ["d"], "id", lambda: [F.col("v")])
     assert rows_of(spark.read.parquet(target).select("id", "v")) == [(1, 5), (2, 7), (3, 1)]
+
+def test_append_moves_a_key_between_partitions(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "id int, v int, mes int"
+
+    def add(*rows):
+        source = spark.createDataFrame(list(rows), schema)
+        lake.append_once(spark, path, source, ["mes"], "id", [F.col("v")])
+        return rows_of(spark.read.parquet(path).select("id", "v", "mes"))
+
+    assert add((1, 1, 1), (2, 1, 2), (3, 1, 2)) == [(1, 1, 1), (2, 1, 2), (3, 1, 2)]
+    moved = [(1, 2, 3), (2, 1, 2), (3, 2, 3)]
+    assert add((1, 2, 3), (3, 2, 3)) == moved
+    assert not (tmp_path / "t" / "mes=1").exists()
+    assert add((1, 2, 3), (3, 2, 3)) == moved
+
+
+def test_probe_reads_whole_lines(spark, tmp_path):
+    header = ";".join(["coluna_é"] * 20_000)
+    (tmp_path / "long.csv").write_bytes((header + "\n" + "1;2\n" * 5).encode())
+    found = files.probe(files.listing(spark, str(tmp_path), "*.csv"), 3).first()
+    assert found["codificacao"] == "utf-8" and found["cabecalho"] == header
+    assert found["linhas"] == ["1;2"] * 3
+
+
+def test_pointer_is_replaced_not_truncated(spark, tmp_path):
+    for n in (1, 2):
+        version, _ = files.publish(spark.range(n), str(tmp_path), lambda df: [])
+        assert files.current_version(spark, str(tmp_path)) == version
+    assert [p.name for p in tmp_path.glob("CURRENT*")] == ["CURRENT"]

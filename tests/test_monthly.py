@@ -70,3 +70,19 @@ def test_fallback_only_for_unreadable_files(spark, tmp_path, monkeypatch):
 
     with pytest.raises(RuntimeError, match="connection reset"):
         lake.read_with_fallback(spark, str(tmp_path), "t", StructType())
+
+
+def test_number_format_is_decided_per_month(spark, tmp_path):
+    base = landing([("2026", "01", "202601"), ("2026", "02", "202602")], spark)
+    wage = F.when(F.col("mes") == "01", "2530.98").otherwise("2.530,98")
+    lake.write_delimited(
+        base.withColumn("salário", wage), f"{tmp_path}/landing", ["ano", "mes"]
+    )
+    dictionary = spark.createDataFrame([("sexo", "F", "x")], "domain string, code string, label string")
+    monthly.clean_stage(
+        spark, f"{tmp_path}/landing", f"{tmp_path}/clean", dictionary, {"sexo": "sexo"}
+    )
+    clean = spark.read.parquet(f"{tmp_path}/clean")
+    assert {(r.mes, r.salario, r.horascontratuais) for r in clean.collect()} == {
+        (1, 2530.98, 44.0), (2, 2530.98, 44.0),
+    }
