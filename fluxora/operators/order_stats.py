@@ -190,10 +190,11 @@ def _quantiles_by_range(
     )
 
     def between(name: str, p: float) -> Column:
+        # The weighted form of the built-in percentile, so both paths give the same bits.
         place = (F.col("__total") - 1) * F.lit(float(p))
-        part = place - F.floor(place)
         low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        return low + (high - low) * part
+        mixed = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
+        return F.when(low == high, low).otherwise(mixed)
 
     return found.select(*keys, *[between(n, p).alias(n) for n, p in probs.items()])
 

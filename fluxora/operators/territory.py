@@ -225,18 +225,26 @@ def expand_to_universe(
     return joined.fillna(0, subset=[c for c in zero_filled if c in joined.columns])
 
 
-def code_lookup(places: DataFrame, name: str, code: str) -> DataFrame:
-    """One row per join key with its formatted code; colliding keys are dropped here and
-    reported by :func:`lookup_collisions`."""
+def code_lookup(places: DataFrame, name: str, code: str, collisions: str = "raise") -> DataFrame:
+    """One row per join key with its formatted code.
+
+    A key that leads to several codes fails the job.  A caller who takes the table of
+    :func:`lookup_collisions` may pass ``collisions="drop"`` to leave such keys out.
+    """
+    if collisions not in ("raise", "drop"):
+        raise ValueError(f"unknown handling of collisions: {collisions}")
     keyed = places.select(
         join_key(F.col(name)).alias("chave"), format_code(F.col(code)).alias("codigo")
     ).where(F.col("chave").isNotNull() & F.col("codigo").isNotNull())
-    return (
-        keyed.groupBy("chave")
-        .agg(F.min("codigo").alias("codigo"), F.max("codigo").alias("__max"))
-        .where(F.col("codigo") == F.col("__max"))
-        .drop("__max")
+    found = keyed.groupBy("chave").agg(
+        F.min("codigo").alias("codigo"), F.max("codigo").alias("__max")
     )
+    unique = F.col("codigo") == F.col("__max")
+    if collisions == "drop":
+        return found.where(unique).drop("__max")
+    message = F.concat(F.lit("several codes for the key "), F.col("chave"))
+    one = F.when(unique, F.col("codigo")).otherwise(F.raise_error(message).cast("string"))
+    return found.select("chave", one.alias("codigo"))
 
 
 def lookup_collisions(places: DataFrame, name: str, code: str) -> DataFrame:
@@ -257,11 +265,15 @@ def enrich_codes(
     name: str,
     code: str,
     non_territorial: Sequence[str] = NON_TERRITORIAL,
+    strict: bool = False,
 ) -> DataFrame:
     """Fill missing codes by normalised name; existing codes are kept and formatted.
 
-    Adds ``situacao``: existing, filled, ignored or unmatched.
+    Adds ``situacao``: existing, filled, ignored or unmatched; a code column that is absent
+    is created.  With ``strict`` an unmatched name fails the job.
     """
+    if code not in df.columns:
+        df = df.withColumn(code, F.lit(None).cast("string"))
     # Text is normalised once per distinct name, not once per row.
     names = df.select(F.col(name).alias("__name")).where(F.col("__name").isNotNull()).distinct()
     resolved = names.withColumn("__key", join_key(F.col("__name"))).join(
@@ -281,11 +293,23 @@ def enrich_codes(
         .when(F.col("__found").isNotNull(), "filled")
         .otherwise("unmatched")
     )
+    if strict:
+        message = F.concat(F.lit("no code for the name "), F.coalesce(F.col(name), F.lit("NULL")))
+        status = F.when(status == "unmatched", F.raise_error(message).cast("string")).otherwise(status)
     return joined.select(
         *[c for c in df.columns if c != code], filled.alias(code), status.alias("situacao")
     )
 
 
+def unmatched_names(enriched: DataFrame, name: str) -> DataFrame:
+    """Names that :func:`enrich_codes` found no code for, with their rows."""
+    return (
+        enriched.where(F.col("situacao") == "unmatched")
+        .groupBy(F.col(name).alias("nome"))
+        .agg(F.count(F.lit(1)).alias("linhas"))
+    )
+
+
 def enrichment_report(before: DataFrame, after: DataFrame, code: str) -> DataFrame:
     """Row counts before and after :func:`enrich_codes` as one row."""
     prior = before.agg(

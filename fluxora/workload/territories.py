@@ -191,6 +191,17 @@ def enrich_report(spark: SparkSession, sf: str) -> DataFrame:
     return territory.enrichment_report(before, after, "cod_municipio")
 
 
+@query(
+    "enrich_unmatched",
+    f"""WITH {_ENRICH_IN} SELECT lugar AS nome, count(*) AS linhas FROM e
+    WHERE NOT ign AND NOT tem AND achado IS NULL GROUP BY 1""",
+)
+def enrich_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    lookup = territory.code_lookup(suppliers(spark, sf), "municipio", "cod_municipio")
+    after = territory.enrich_codes(enrich_input(spark, sf), lookup, "lugar", "cod_municipio")
+    return territory.unmatched_names(after, "lugar")
+
+
 @query(
     "lookup_collisions",
     """SELECT upper(p_name) AS chave, count(DISTINCT p_partkey) AS n_codigos FROM part

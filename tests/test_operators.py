@@ -107,10 +107,29 @@ def test_enrichment(spark):
     }
 
 
+def test_enrichment_strict_names_and_absent_code(spark):
+    lookup = spark.createDataFrame([("B", "0000002")], "chave string, codigo string")
+    df = spark.createDataFrame([("b",), ("Z",), ("Z",)], "m string")
+    out = territory.enrich_codes(df, lookup, "m", "c")
+    assert sorted((r["m"], r["c"]) for r in out.collect()) == [("Z", None), ("Z", None), ("b", "0000002")]
+    assert [tuple(r) for r in territory.unmatched_names(out, "m").collect()] == [("Z", 2)]
+    with pytest.raises(Exception, match="no code for the name Z"):
+        territory.enrich_codes(df, lookup, "m", "c", strict=True).collect()
+
+
+def test_collisions_fail_unless_dropped(spark):
+    places = spark.createDataFrame([("A", 1), ("Á", 2), ("B", 3)], "n string, c int")
+    with pytest.raises(Exception, match="several codes for the key A"):
+        territory.code_lookup(places, "n", "c").collect()
+    df = spark.createDataFrame([("a", None)], "m string, c string")
+    with pytest.raises(Exception, match="several codes for the key A"):
+        territory.enrich_codes(df, territory.code_lookup(places, "n", "c"), "m", "c").collect()
+
+
 def test_collisions_are_reported_and_dropped(spark):
     places = spark.createDataFrame([("A", 1), ("Á", 2), ("B", 3)], "n string, c int")
     assert [r["chave"] for r in territory.lookup_collisions(places, "n", "c").collect()] == ["A"]
-    assert [r["chave"] for r in territory.code_lookup(places, "n", "c").collect()] == ["B"]
+    assert [r["chave"] for r in territory.code_lookup(places, "n", "c", "drop").collect()] == ["B"]
 
 
 def test_decode_keeps_unmapped(spark):

@@ -172,3 +172,15 @@ def test_period_delta_lists(spark):
     delta = rank.period_delta(df, rank.period_pairs(df, "p"), "m", "p", "v")
     got = {r["m"]: (r["delta"], r["delta_pct"]) for r in rank.largest_changes(delta, "m", "p").collect()}
     assert got == {"a": (4.0, 80.0), "b": (-2.0, None)}
+
+
+def test_both_quantile_paths_give_the_same_bits(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice([2601.17, 2601.18, 0.1, rng.uniform(1, 9999)])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = {f"q{i}": i / 40 for i in range(41)}
+    small, ranged = (
+        {r["k"]: tuple(r) for r in os_.exact_quantiles(df, ["k"], "v", probs, small_rows=n).collect()}
+        for n in (None, 0)
+    )
+    assert small == ranged
