@@ -50,7 +50,8 @@ class Grammar:
 def choose(pairs: np.ndarray, counts: np.ndarray, base: int, grammar: Grammar) -> np.ndarray:
     """Frequent pairs none of which can overlap another, as a sorted array."""
     often = np.flatnonzero(counts >= grammar.least)
-    order = often[np.lexsort((pairs[often], -counts[often]))][: 2 * grammar.pairs]
+    # The pairs come sorted, so a stable order by count leaves ties in the order of the pairs.
+    order = often[np.argsort(-counts[often], kind="stable")][: 2 * grammar.pairs]
     lefts: set[int] = set()
     rights: set[int] = set()
     taken = []

@@ -27,6 +27,7 @@ WORD = re.compile(f" ?[{LETTERS}]+")
 MARKS = ".,;:!?#$%&*|"
 REMEMBERED = 300_000  # about 80 MB a worker
 AT_ONCE = 1000
+BIG_ENDIAN = sys.byteorder == "big"
 MARK = "<|endoftext|>"
 
 
@@ -52,18 +53,23 @@ class Encoder:
         self.model = self.plain.model
         self.lower = not spaces_count
         self.letters = byte_letters()
+        self.space = self.letters[0x20]
 
     def word(self, piece: str) -> bytes:
         """Ids of a single word: the library's model on the word's byte letters."""
         if self.lower:
             piece = piece.lower()
-        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        if piece.isascii():
+            # ASCII letters stand for themselves; only the space in front has another letter.
+            spelled = self.space + piece[1:] if piece[0] == " " else piece
+        else:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
         return self.packed([t.id for t in self.model.tokenize(spelled)])
 
     @staticmethod
     def packed(ids: list[int]) -> bytes:
         out = array("I", ids)
-        if sys.byteorder == "big":
+        if BIG_ENDIAN:
             out.byteswap()
         return out.tobytes()
 
@@ -95,9 +101,10 @@ class Encoder:
         pieces are encoded in parts, each only if it is not known.
         """
         known, parts, out = self.known, {}, {}
+        word, is_word = self.word, WORD.fullmatch
         for p in pieces:
-            if WORD.fullmatch(p):
-                out[p] = self.word(p)
+            if is_word(p):
+                out[p] = word(p)
                 continue
             stem = p.rstrip(MARKS)
             cut = [stem, p[len(stem) :]] if stem and LETTER.match(stem[-1]) else [p]
@@ -127,7 +134,7 @@ class Encoder:
             pieces = self.pieces(text)
             found = list(map(self.known.get, pieces))
             if None in found:
-                missing.update(p for p, f in zip(pieces, found) if f is None)
+                missing.update([p for p, f in zip(pieces, found) if f is None])
                 cut.append((i, pieces, found))
                 out.append(None)
             else:
