@@ -2,7 +2,10 @@
 
 Base spans (kinds ``assign``, ``access``, ``hex``) come from fixed patterns and always
 stay.  The method adds spans of kind ``random``: unbroken tokens of 16 and more symbols
-whose encoding is inferred (hex, base32, alphanumeric, base64) and which pass a battery:
+whose encoding is inferred (hex, base32, alphanumeric, base64) and which pass a battery.
+A token with marks of both base64 forms ("+/" and "-_", as in a URL's path) is in neither:
+it is read whole, over all four marks, and in its parts of each form, between the marks of
+the other.  Readings that are found and overlap make one span.  The battery:
 
 * uniformity: chi-squared of the symbol counts over the encoding's alphabet,
 * runs: number of changes between lower case, upper case, digits and marks,
@@ -50,6 +53,8 @@ BASE32_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 ALNUM_ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASE64_ALPHABET = ALNUM_ALPHABET + "+/"
 URL_ALPHABET = ALNUM_ALPHABET + "-_"
+MARKED_ALPHABET = ALNUM_ALPHABET + "+/-_"
+PARTS = (re.compile(r"[^+/]{16,}"), re.compile(r"[^_-]{16,}"))
 BINS = 60  # p-values are counted by -log10, half a unit each
 
 
@@ -72,7 +77,9 @@ def encoding(token: str) -> tuple[str, str]:
         return "base32", BASE32_ALPHABET
     if symbols <= set(ALNUM_ALPHABET):
         return "alnum", ALNUM_ALPHABET
-    return "base64", URL_ALPHABET if symbols & set("-_") else BASE64_ALPHABET
+    if symbols & set("-_"):
+        return ("marked", MARKED_ALPHABET) if symbols & set("+/") else ("base64", URL_ALPHABET)
+    return "base64", BASE64_ALPHABET
 
 
 def symbol_class(c: str) -> int:
@@ -148,20 +155,30 @@ def p_bin(p: float) -> int:
     return min(BINS - 1, int(-2 * math.log10(max(p, 1e-300))))
 
 
-def candidates(text: str, battery: Battery) -> Iterator[tuple[int, int, int, int, bool]]:
-    """start, end, length class, bin of p and whether the token passes as random."""
+def readings(text: str) -> Iterator[tuple[int, int]]:
+    """start and end of each token, and of its parts if it holds marks of both base64 forms."""
     for m in TOKEN.finditer(text):
+        yield m.span()
         token = m.group()
-        core = token.strip("=")
+        if ("+" in token or "/" in token) and ("-" in token or "_" in token):
+            for part in PARTS:
+                for n in part.finditer(token):
+                    yield m.start() + n.start(), m.start() + n.end()
+
+
+def candidates(text: str, battery: Battery) -> Iterator[tuple[int, int, int, int, bool]]:
+    """start, end, length class, bin of p and whether the token passes as random."""
+    for start, end in readings(text):
+        core = text[start:end].strip("=")
         if len(core) < 16:
             continue
         if core.isalpha() and (core.islower() or core.isupper() or core.istitle()):
             # One class throughout: no change, no digit, p = 1 and never reported.
-            yield m.start(), m.end(), length_class(len(core)), 0, False
+            yield start, end, length_class(len(core)), 0, False
             continue
         p = text_p(core, battery)
         likely = min(random_tests(core.replace("=", ""), encoding(core.replace("=", ""))[1]))
-        yield m.start(), m.end(), length_class(len(core)), p_bin(p), likely >= battery.reject
+        yield start, end, length_class(len(core)), p_bin(p), likely >= battery.reject
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -222,10 +239,13 @@ def cut_bins(docs: DataFrame, battery: Battery) -> Cuts:
 def spans_of(text: str, cuts: Cuts, battery: Battery) -> tuple[list, list]:
     """Base spans, and all spans; a random token that a base span touches adds nothing."""
     base = base_spans(text)
-    extra = []
-    for start, end, size, at, likely in candidates(text, battery):
+    extra: list[tuple[int, int, int]] = []
+    for start, end, size, at, likely in sorted(candidates(text, battery)):
         if likely and size in cuts and at >= cuts[size]:
             if not any(s < end and start < e for s, _, e in base):
+                if extra and start < extra[-1][2]:
+                    start, _, last = extra.pop()
+                    end = max(end, last)
                 extra.append((start, 3, end))
     return base, sorted(base + extra)
 

@@ -344,6 +344,21 @@ def test_secrets(spark, docs, odd):
     assert secrets.mask_secrets(odd).columns == odd.columns
 
 
+def test_secrets_marks_of_both_forms(spark):
+    rng = np.random.default_rng(6)
+    key, marked = ("".join(a[i] for i in rng.integers(0, len(a), 40))
+                   for a in (secrets.URL_ALPHABET, secrets.MARKED_ALPHABET))
+    cases = [
+        (1, "see https://example.com/some-long/path-name and input/output-oriented"),
+        (2, f"https://example.com/reset-it/{key}/again"), (3, f"say {marked} now"),
+    ]
+    df = spark.createDataFrame(cases, "doc_id long, text string")
+    rows = {r.doc_id: r for r in secrets.secrets(df).collect()}
+    assert rows[1].spans == "" and rows[2].n_random == rows[3].n_random == 1
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(df).collect()}
+    assert masked[1] == cases[0][1] and key not in masked[2] and masked[3] == "say [secret] now"
+
+
 def test_pipeline(spark, docs):
     steps = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
