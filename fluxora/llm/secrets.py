@@ -2,7 +2,8 @@
 
 Base spans (kinds ``assign``, ``access``, ``hex``) come from fixed patterns and always
 stay.  The method adds spans of kind ``random``: unbroken tokens of 16 and more symbols
-whose encoding is inferred (hex, base32, alphanumeric, base64) and which pass a battery.
+whose encoding is inferred and which pass a battery.  The encoding is the narrowest of
+hex, base32, base36 (each in lower or upper case), alphanumeric and base64.
 A token with marks of both base64 forms ("+/" and "-_", as in a URL's path) is in neither:
 it is read whole, over all four marks, and in its parts of each form, between the marks of
 the other.  Readings that are found and overlap make one span.  The battery:
@@ -50,11 +51,18 @@ KINDS = ("assign", "access", "hex", "random")
 
 HEX_ALPHABET = "0123456789abcdef"
 BASE32_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+BASE36_ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALNUM_ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASE64_ALPHABET = ALNUM_ALPHABET + "+/"
 URL_ALPHABET = ALNUM_ALPHABET + "-_"
 MARKED_ALPHABET = ALNUM_ALPHABET + "+/-_"
 PARTS = (re.compile(r"[^+/]{16,}"), re.compile(r"[^_-]{16,}"))
+# One-case encodings, the narrowest first.
+NARROW = tuple(
+    (name, cased, frozenset(cased))
+    for name, alphabet in (("hex", HEX_ALPHABET), ("base32", BASE32_ALPHABET), ("base36", BASE36_ALPHABET))
+    for cased in (alphabet.lower(), alphabet.upper())
+)
 BINS = 60  # p-values are counted by -log10, half a unit each
 
 
@@ -71,10 +79,9 @@ class Battery:
 def encoding(token: str) -> tuple[str, str]:
     """Name and alphabet of the narrowest encoding that holds the token."""
     symbols = set(token)
-    if symbols <= set(HEX_ALPHABET) or symbols <= set(HEX_ALPHABET.upper()):
-        return "hex", HEX_ALPHABET if symbols <= set(HEX_ALPHABET) else HEX_ALPHABET.upper()
-    if symbols <= set(BASE32_ALPHABET):
-        return "base32", BASE32_ALPHABET
+    for name, alphabet, held in NARROW:
+        if symbols <= held:
+            return name, alphabet
     if symbols <= set(ALNUM_ALPHABET):
         return "alnum", ALNUM_ALPHABET
     if symbols & set("-_"):

@@ -344,6 +344,18 @@ def test_secrets(spark, docs, odd):
     assert secrets.mask_secrets(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("length", [16, 24, 40, 64, 128, 256])
+def test_secrets_of_every_encoding(length):
+    rng = np.random.default_rng(length)
+    upper = [secrets.HEX_ALPHABET.upper(), secrets.BASE32_ALPHABET, secrets.BASE36_ALPHABET]
+    alphabets = upper + [a.lower() for a in upper]
+    alphabets += [secrets.ALNUM_ALPHABET, secrets.BASE64_ALPHABET, secrets.URL_ALPHABET]
+    for alphabet in alphabets:
+        keys = ["".join(alphabet[i] for i in rng.integers(0, len(alphabet), length)) for _ in range(400)]
+        passed = sum(min(secrets.random_tests(k, secrets.encoding(k)[1])) >= 1e-4 for k in keys)
+        assert passed >= 0.98 * len(keys), alphabet
+
+
 def test_secrets_marks_of_both_forms(spark):
     rng = np.random.default_rng(6)
     key, marked = ("".join(a[i] for i in rng.integers(0, len(a), 40))
