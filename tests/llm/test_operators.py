@@ -171,6 +171,22 @@ def test_page_blocks():
     assert kept == ["Title & more", "One two three", "Four é", "i1", "i2"]
 
 
+def test_page_wrappers_of_the_container_are_layout():
+    def text(page):
+        return pages.main_lines(pages.pack(pages.lines_of(page)), [])[0]
+
+    story = "<article><h1>Title</h1><p>Story</p><div class='ad'>BUY</div></article>"
+    for begin, end in (
+        ("<div class='layout with-sidebar'>", "</div>"), ("<body><form><div class='search-page'>", "</div></form>"),
+        ("<div id='no-comments'>", "</div>"), ("<fieldset role='form'>", "</fieldset>"),
+    ):
+        assert text(f"{begin}{story}{end}") == ["Title", "Story"]
+        assert text(begin + story.replace("article", "main") + end) == ["Title", "Story"]
+    beside = "<div class='comments'><article>c</article></div><div class='related'><article>r</article></div>"
+    assert text(f"<div class='layout with-sidebar'>{story}</div>{beside}") == ["Title", "Story"]
+    assert text(f"<nav>{story}</nav><p>Text</p><div class='sidebar'>s</div>") == ["Text"]
+
+
 def test_page_differencing(spark):
     plain = "<div>Menu of this site</div><p>{}</p><p>{}</p><div>All rights kept</div>"
     rows = [(i, f"http://h.example/a/{i}", plain.format(f"body {i}", f"more {i}")) for i in range(9)]
