@@ -198,6 +198,51 @@ def test_page_differencing(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
+def differenced(spark, sites):
+    """Texts by (host, number) of pages given per host in the order of their URLs."""
+    rows = [
+        (1000 * h + i, f"http://h{h}/{i:04d}", page) for h, site in enumerate(sites) for i, page in enumerate(site)
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {divmod(r.page_id, 1000): r.text.split("\n\n") for r in pages.main_text(df).collect()}
+
+
+def story(i, n=4):
+    return [f"{w}{i} tells what the {w} of day {i} saw near town {w}{i}" for w in ("fox", "owl", "cat", "elk")[:n]]
+
+
+def test_page_copies_are_told_by_what_is_left(spark):
+    def site(furniture, bodies):
+        return [f"{furniture}{''.join(f'<p>{x}</p>' for x in b)}" for b in bodies]
+
+    menu = "".join(f"<div>Entry {k}</div>" for k in range(20))
+    marked = "<nav>" + "".join(f"<p>Entry {k} of the long menu of this site</p>" for k in range(40)) + "</nav><div>All</div>"
+    terms = "".join(f"<div>{'legal words ' * 20}{k}</div>" for k in range(4))
+    bodies = [story(i) for i in range(9)]
+    short = [[f"Item {i} was sold to {i} buyers from town {i}, {i} of them new. {'abc'[i % 3] * 40}"] for i in range(9)]
+    long = [f"part {k} of the one long article that has {k} sides" for k in range(30)]
+    run = [story(100)] + [long + [f"seen {i}"] for i in range(9)] + [story(101)]
+    edited = [story(100)] + [long[:15] + [f"{x[:30]} v{i} {x[30:]}" for x in long[15:]] for i in range(5)]
+    found = differenced(
+        spark, [site(menu, bodies), site(marked, bodies), site(terms, short), site(menu, run), site(menu, edited)]
+    )
+    for i in range(9):
+        assert found[0, i] == found[1, i] == bodies[i]
+        assert found[2, i] == short[i]
+    for i, body in enumerate(run):
+        assert found[3, i] == body
+    for i, body in enumerate(edited):
+        assert found[4, i] == [" ".join(x.split()) for x in body]
+
+
+def test_page_neighbours_beyond_the_block(spark):
+    light = [(i, "h", f"/{i:03d}", [7, 8, 9 if 10 <= i < 50 else 100 + i], [9, 9, 900], [0, 0, 0]) for i in range(60)]
+    schema = "row_key long, host string, path string, digests array<long>, chars array<int>, edges array<long>"
+    found = pages.shared_lines(spark.createDataFrame(light, schema), block=8).collect()
+    assert sorted(r.row_key for r in found) == list(range(60))
+    assert all(list(r.shared) == [0, 1] for r in found)
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = np.random.default_rng(5)
     for _ in range(50):
