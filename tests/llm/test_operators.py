@@ -243,6 +243,21 @@ def test_page_neighbours_beyond_the_block(spark):
     assert all(list(r.shared) == [0, 1] for r in found)
 
 
+def test_page_text_beside_containers(spark):
+    head = "<div>Menu of this site</div>"
+    lead = [
+        f"{head}<main><h1>Title {i}</h1><p>Lead {i}</p><article>{''.join(f'<p>{x}</p>' for x in story(i))}</article></main>"
+        for i in range(4)
+    ]
+    teaser = [
+        f"{head}<div>{''.join(f'<p>{x}</p>' for x in story(i))}</div><article>Read also this</article>" for i in range(4)
+    ]
+    found = differenced(spark, [lead, teaser])
+    for i in range(4):
+        assert found[0, i] == [f"Title {i}", f"Lead {i}", *story(i)]
+        assert found[1, i] == story(i)
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = np.random.default_rng(5)
     for _ in range(50):
