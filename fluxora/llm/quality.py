@@ -5,14 +5,16 @@ documents: the shares of character classes, and the shares of the language's mos
 words (what is not among them is one more class).  The Jensen-Shannon distance (base 2,
 0 to 1) to either reference must stay below a bound.  Shares of short documents scatter,
 so the bound has a slack that falls with the square root of the number of words, and
-documents below ``min_words`` are left to the base rules.
+documents below ``min_words`` are left to the base rules.  A reference scatters as well
+while its language has fewer than ``least_words`` words: a second slack grows from 0 as
+they shrink.  A distance is at most 1, so where the bound reaches 1 the reference is no
+longer held against anyone and the base rules decide; there is no other reference.
 
 Two passes over the texts and no shuffle of them: the first counts words and classes per
 language (summed in each task before the shuffle), the second judges row by row.
 
 Null or empty texts have no words and fail the base rule.  A null language is a language
-of its own; languages with fewer than ``least_words`` words use the reference of all
-languages together.  Repeated rows are judged each alone; empty tables give empty results.
+of its own.  Repeated rows are judged each alone; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ class Rules:
     char_bound: float = 0.25
     word_bound: float = 0.42
     slack: float = 0.5
+    scatter: float = 10.0
     repeat_percent: int = 50
 
 
@@ -155,11 +158,11 @@ class _Tally:
         yield self.flush()
 
 
-References = dict[str | None, tuple[np.ndarray, list[str], np.ndarray]]
+References = dict[str | None, tuple[np.ndarray, list[str], np.ndarray, int]]
 
 
 def references(docs: DataFrame, rules: Rules) -> References:
-    """Per language (key "*": all) class shares, common words and their shares.
+    """Per language class shares, common words, their shares and the number of words.
 
     One small row set per language comes to the driver: ``common`` words and the classes.
     """
@@ -187,21 +190,14 @@ def references(docs: DataFrame, rules: Rules) -> References:
 
     def reference(shares: np.ndarray, words: list[tuple[str, int]], total: int):
         known = np.array([n for _, n in words] + [max(0, total - sum(n for _, n in words))], float)
-        return shares / max(1, shares.sum()), [w for w, _ in words], known / max(1, total)
-
-    out: References = {}
-    merged: Counter = Counter()
-    for lang, words in top.items():
-        merged.update(dict(words))
-        if totals[lang] >= rules.least_words:
-            out[lang] = reference(classes[lang], words, totals[lang])
-    if totals:
-        out["*"] = reference(
-            sum(classes.values()),
-            sorted(merged.items(), key=lambda x: (-x[1], x[0]))[: rules.common],
-            sum(totals.values()),
-        )
-    return out
+        return shares / max(1, shares.sum()), [w for w, _ in words], known / max(1, total), total
+
+    return {lang: reference(classes[lang], words, totals[lang]) for lang, words in top.items()}
+
+
+def reference_slack(total: int, rules: Rules) -> float:
+    """What the bounds are widened by for a reference of so many words."""
+    return max(0.0, rules.scatter * (max(1, total) ** -0.5 - rules.least_words**-0.5))
 
 
 class _Judge:
@@ -210,8 +206,10 @@ class _Judge:
     def __init__(self, refs: References, rules: Rules) -> None:
         self.rules, self.table = rules, class_table()
         self.refs = {
-            lang: (shares, {w.encode(): i for i, w in enumerate(words)}, known)
-            for lang, (shares, words, known) in refs.items()
+            lang: (
+                shares, {w.encode(): i for i, w in enumerate(words)}, known, reference_slack(total, rules)
+            )
+            for lang, (shares, words, known, total) in refs.items()
         }
 
     def __call__(self, text: str, lang: str | None) -> dict:
@@ -221,15 +219,16 @@ class _Judge:
         chars, symbols, dup_lines, repeated = base_counts(text, words)
         failed = n < 50 or 100 * repeated > rules.repeat_percent * n
         char_gap = word_gap = None
-        if n >= rules.min_words and self.refs:
-            shares, index, known = self.refs.get(lang) or self.refs["*"]
+        slack = rules.slack / max(1, n) ** 0.5
+        if n >= rules.min_words:
+            shares, index, known, scatter = self.refs[lang]
+            slack += scatter
             char_gap = distance(class_counts(text, self.table), shares)
             counts = np.zeros(len(known))
             other = len(known) - 1
             for w, k in Counter(words_of(text.lower())).items():
                 counts[index.get(w, other)] += k
             word_gap = distance(counts, known)
-        slack = rules.slack / max(1, n) ** 0.5
         passed = char_gap is None or (
             char_gap <= rules.char_bound + slack and word_gap <= rules.word_bound + slack
         )

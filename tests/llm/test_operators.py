@@ -159,6 +159,25 @@ def test_quality_base_and_labels(spark, docs, odd):
     assert {r.doc_id for r in quality.keep_good(docs).collect()} == kept
 
 
+def test_quality_of_small_languages(spark, docs):
+    rng = np.random.default_rng(8)
+    common = "и в не на что с как это по но из у за от так же для вы бы то".split()
+    rare = ["".join("абвгдежзиклмнопрст"[k] for k in rng.integers(0, 18, 7)) for _ in range(400)]
+
+    def prose(n):
+        return " ".join(str(rng.choice(common if rng.random() < 0.45 else rare)) for _ in range(n))
+
+    small = [(10_000 + i, prose(120), "uk", "s", 0) for i in range(3)]
+    larger = [(20_000 + i, prose(300), "ru", "s", 0) for i in range(20)]
+    rubbish = " ".join(f"{a:x}#{b:x}|%" for a, b in rng.integers(0, 1 << 30, (120, 2)))
+    rows = small + larger + [(30_000, rubbish, "ru", "s", 0)]
+    both = docs.unionByName(spark.createDataFrame(rows, DOCS))
+    kept = {r.doc_id for r in quality.quality(both).filter("kept").collect()}
+    assert {r[0] for r in small + larger} <= kept and 30_000 not in kept
+    slacks = [quality.reference_slack(n, quality.Rules()) for n in (50, 500, 5000, 19_999, 20_000, 10**9)]
+    assert slacks == sorted(slacks, reverse=True) and slacks[0] > 0.75 and slacks[3] < 1e-3 and slacks[4:] == [0, 0]
+
+
 PAGE = """<html><head><title>t</title><script>var a="</p><p>no</p>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li>Menu</li></ul></nav><div class="cookie-notice">We use</div>
 <article><header><h1>Title &amp; more</h1></header><p>One  <b>two</b><br>three<p>Four &eacute;
