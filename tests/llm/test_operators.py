@@ -409,6 +409,12 @@ def test_toxicity(spark):
     assert np.mean([a > b for a in toxic for b in clean]) > 0.95
 
 
+def test_language_guess_counts_every_word():
+    words = ["the" if i % 4 == 0 else "und" for i in range(1600)]
+    assert toxicity.guess(words) == toxicity.guess(words[:799]) == "de"
+    assert toxicity.guess(["x", "the", "of", "x"] * 400) == "en"
+
+
 def test_toxicity_odd(spark, odd):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     rows = toxicity.toxicity(odd, labels).collect()
