@@ -5,6 +5,7 @@ Texts are encoded, each document ends with id 0, and documents are written in as
 each shard frequent pairs of symbols are replaced by nonterminals, again and again.  One
 round counts all pairs and replaces many at once: the most frequent first, each unless it
 could overlap one already taken, so a round equals replacing its pairs one after the other.
+Rounds go on until no pair reaches the least count.
 Pairs never reach across a document's end, so every document is a run of symbols.
 
 A shard's bytes hold the header, the rules with the length each expands to, the table of
@@ -39,10 +40,9 @@ NO_ID = -(1 << 63)
 
 @dataclass(frozen=True)
 class Grammar:
-    """How far to compress: rounds, pairs of a round, and the least count of a pair."""
+    """How far to compress: pairs of a round, and the least count of a pair."""
 
     first: int = 50257
-    rounds: int = 4
     pairs: int = 4096
     least: int = 4
 
@@ -93,9 +93,7 @@ def replace(seq: np.ndarray, pairs: np.ndarray, taken: np.ndarray, base: int, fi
 def compress(seq: np.ndarray, grammar: Grammar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (left, right) and the length each rule expands to."""
     rules = np.zeros((0, 2), np.int64)
-    for _ in range(grammar.rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) >= 2:
         base = grammar.first + len(rules)
         pairs = seq[:-1] * base + seq[1:]
         pairs[(seq[:-1] == 0) | (seq[1:] == 0)] = -1

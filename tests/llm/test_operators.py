@@ -110,6 +110,20 @@ def test_repair_stretch():
             assert repair.stretch(shard, d, a, min(b, len(ids))).tolist() == ids[a:b].tolist()
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    grammar = repair.Grammar()
+    rng = np.random.default_rng(7)
+    copies = [np.arange(1, 101, dtype="<u4")] * 500 + [np.full(5000, 7, "<u4"), rng.integers(1, 40, 3000).astype("<u4")]
+    raws = [x.tobytes() + repair.END for x in copies]
+    seq, rules, lengths = repair.compress(np.frombuffer(b"".join(raws), "<u4").astype(np.int64), grammar)
+    assert lengths.max() >= 100 and len(seq) < 2 * len(copies) + 3000
+    inner = (seq[:-1] != 0) & (seq[1:] != 0)
+    pairs = Counter(zip(seq[:-1][inner].tolist(), seq[1:][inner].tolist()))
+    assert all(n < grammar.least for n in pairs.values())
+    shard = repair.open_shard(repair.shard_bytes(list(range(len(raws))), raws, grammar))
+    assert repair.expand(shard.symbols, shard).astype("<u4").tobytes() == b"".join(raws)
+
+
 def test_mixing_twin(spark, docs, odd):
     duckdb = pytest.importorskip("duckdb")
     for df in (docs, odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
