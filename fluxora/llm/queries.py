@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxora.llm import mixing, packing, pages, quality, repair, secrets, setsketch, topk, toxicity, warc
+from fluxora.llm import mixing, negatives, packing, pages, quality, repair, resampling, secrets
+from fluxora.llm import setsketch, simhash, topk, toxicity, warc
 from fluxora.llm.common import load
 
 
@@ -52,6 +53,18 @@ def op10_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(load(spark, sf_dir, "documents"))
 
 
+def op11_angular_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(load(spark, sf_dir, "embeddings"))
+
+
+def op12_bracketed_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op13_bktree_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -65,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_convolutional_toxicity,
         op10_randomness_secrets,
+        op11_angular_negatives,
+        op12_bracketed_resampling,
+        op13_bktree_simhash,
     )
 }
 
@@ -72,4 +88,6 @@ ORACLES: dict[str, str] = {
     "op1_exact_topk": topk.ORACLE,
     "op3_hierarchical_mix": mixing.oracle(),
     "op7_warc_salvage": warc.ORACLE,
+    "op11_angular_negatives": negatives.ORACLE,
+    "op12_bracketed_resampling": resampling.oracle(),
 }
