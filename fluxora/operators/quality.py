@@ -11,6 +11,7 @@ from fluxora.functions.labels import AGE_UNKNOWN
 from fluxora.operators.clean import CRITICAL, DERIVED, RECOMMENDED_INPUT, REQUIRED_INPUT
 from fluxora.operators.order_stats import join_null_safe
 from fluxora.operators.territory import _scalars
+from fluxora.sources.files import path_value
 
 CATEGORICAL = (
     "uf", "municipio", "secao", "cbo2002ocupacao", "sexo", "racacor", "graudeinstrucao",
@@ -54,6 +55,65 @@ def column_checks(columns: Sequence[str]) -> list[tuple[str, str, Column]]:
     ]
 
 
+def validate_landing(
+    parsed: DataFrame, min_bytes: int = 50_000, required: Sequence[str] = REQUIRED_INPUT,
+    recommended: Sequence[str] = RECOMMENDED_INPUT,
+) -> DataFrame:
+    """Issue codes, columns and status of every month of landing files; the worst file decides.
+
+    ``parsed`` has a row per file, with its first lines and its parsed header; the month is
+    that of the file's folder.
+    """
+    year, month = (path_value(c).try_cast("int") for c in ("ano", "mes"))
+    place = F.array_position("colunas", "competenciamov")
+    cells = F.transform("linhas", lambda x: F.split(x, F.concat(F.lit("\\Q"), F.col("separador"), F.lit("\\E")), -1))
+    values = F.transform(cells, lambda x: F.trim(F.translate(F.get(x, (place - 1).cast("int")), '"', "")))
+
+    def absent(names: Sequence[str]) -> Column:
+        return F.array_except(F.array(*[F.lit(c) for c in names]), "colunas")
+
+    known = F.array(*[F.lit(c) for c in dict.fromkeys([*required, *recommended])])
+    has_header = F.size("colunas") > 0
+    checks = [
+        ("error", "empty", F.col("length") == 0),
+        ("warning", "small", (F.col("length") > 0) & (F.col("length") < min_bytes)),
+        ("warning", "encoding", F.col("codificacao") != "utf-8"),
+        ("error", "separator", ~F.col("separador_ok")),
+        ("error", "missing_required", F.size(absent(required)) > 0),
+        ("error", "no_rows", F.size("linhas") == 0),
+        (
+            "error",
+            "period_mismatch",
+            (place > 0) & F.exists(values, lambda v: v != F.format_string("%04d%02d", year, month)),
+        ),
+    ]
+    named = parsed.select(
+        year.alias("ano"), month.alias("mes"), issue_list(checks).alias("__issues"),
+        F.when(has_header, absent(required)).alias("__sem"),
+        F.when(has_header, absent(recommended)).alias("__rec"),
+        F.when(has_header, F.array_except("colunas", known)).alias("__mais"),
+    )
+
+    def united(column: str) -> Column:
+        """The names of all files of a month: as many as the headers have columns."""
+        every = F.array_distinct(F.flatten(F.collect_set(column)))
+        return F.array_join(F.sort_array(every), ",")
+
+    merged = named.groupBy("ano", "mes").agg(
+        # At most one struct per check and file remains after the set union.
+        F.array_distinct(F.flatten(F.collect_set("__issues"))).alias("__issues"),
+        united("__sem").alias("sem_obrigatorias"),
+        united("__rec").alias("sem_recomendadas"),
+        united("__mais").alias("extras"),
+        F.count(F.lit(1)).alias("arquivos"),
+    )
+    return merged.select(
+        "ano", "mes", codes_of(F.col("__issues")).alias("codigos"),
+        status_of(F.col("__issues")).alias("status"),
+        "arquivos", "sem_obrigatorias", "sem_recomendadas", "extras",
+    )
+
+
 def validate_clean(df: DataFrame, period: Sequence[str], expected: Column) -> DataFrame:
     """One row per period: counters, issue codes and status of the cleaned table.
 

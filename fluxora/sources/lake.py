@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluxora.operators.clean import normalize_headers
 from fluxora.operators.territory import last_per_key
 from fluxora.session import counted_side, stage
+from fluxora.sources.delimited import scan
 from fluxora.sources.files import exists, remove_folders
 
 
@@ -21,11 +21,14 @@ def month_text(col: Column) -> Column:
 
 
 def read_delimited(
-    spark: SparkSession, path: str, sep: str = ";", encoding: str = "UTF-8"
+    spark: SparkSession, path: str, sep: str = ";", encoding: str | None = None
 ) -> DataFrame:
-    """Delimited rows, all columns as text, headers normalised."""
-    reader = spark.read.option("sep", sep).option("header", True).option("encoding", encoding)
-    return normalize_headers(reader.csv(path, inferSchema=False))
+    """Delimited rows, all columns as text, headers normalised, each file by its own header.
+
+    A file without the separator, an empty one or a line of another width is an error;
+    :func:`fluxora.sources.delimited.scan` sets such files and lines aside instead.
+    """
+    return scan(spark, path, separators=(sep,), encoding=encoding, pattern="*").strict
 
 
 def write_delimited(

@@ -119,4 +119,5 @@ MODULES: list[str] = [
     "indices",
     "validation",
     "layers",
+    "landing",
 ]

@@ -14,12 +14,12 @@ from fluxora.functions.text import header_key
 from fluxora.operators import clean
 from fluxora.operators import movement as mv
 from fluxora.operators import quality
-from fluxora.operators.clean import REQUIRED_INPUT
 from fluxora.plans import monthly
 from fluxora.plans.binding import movements, scopes, suppliers, table
 from fluxora.session import scratch_path, stage
 from fluxora.sources import catalog as cat
 from fluxora.sources import files, geo, lake
+from fluxora.sources.delimited import parsed_headers
 from fluxora.streaming import landing
 from fluxora.workload.base import IN_PR, IN_RMC, MOV, PLACES, SUMS, query, r, rounded
 
@@ -99,17 +99,6 @@ def landing_probe(spark: SparkSession, sf: str) -> DataFrame:
     return files.probe(files.listing(spark, root, "*.csv"))
 
 
-def parsed_headers(probed: DataFrame) -> DataFrame:
-    """Separator check and normalised header of every probed file."""
-    has = F.col("cabecalho").contains(";")
-    names = F.transform(F.split("cabecalho", ";"), lambda h: header_key(h))
-    return probed.select(
-        "*",
-        has.alias("separador_ok"),
-        F.when(has, names).otherwise(F.array().cast("array<string>")).alias("colunas"),
-    )
-
-
 _HEADER = "competenciamov,saldomovimentacao,horascontratuais,salario,{}uf,regiao,secao,sexo"
 _BY_MONTH = """SELECT CAST(year(l_shipdate) AS INTEGER) AS ano, CAST(month(l_shipdate) AS INTEGER) AS mes FROM lineitem GROUP BY ALL"""
 
@@ -161,45 +150,8 @@ def normalize_header(spark: SparkSession, sf: str) -> DataFrame:
       CASE WHEN ano IN (1998, 1999) THEN 'error' WHEN ano = 1997 THEN 'warning' ELSE 'ok' END AS status FROM ({_BY_MONTH})""",
 )
 def validate_landing(spark: SparkSession, sf: str) -> DataFrame:
-    return landing_status(landing_probe(spark, sf), min_bytes=1)
-
-
-def landing_status(probed: DataFrame, min_bytes: int = 50_000) -> DataFrame:
-    """Status of every landing file; the worst file decides for its month."""
-    parsed = parsed_headers(probed)
-    year = files.path_value("ano").cast("int")
-    month = files.path_value("mes").cast("int")
-    expected = F.format_string("%04d%02d", year, month)
-    place = F.array_position("colunas", "competenciamov")
-    values = F.transform("linhas", lambda x: F.trim(F.get(F.split(x, ";"), (place - 1).cast("int"))))
-    required = F.array(*[F.lit(c) for c in REQUIRED_INPUT])
-    has_column = place > 0
-    checks = [
-        ("error", "empty", F.col("length") == 0),
-        ("warning", "small", (F.col("length") > 0) & (F.col("length") < min_bytes)),
-        ("warning", "encoding", F.col("codificacao") != "utf-8"),
-        ("error", "separator", ~F.col("separador_ok")),
-        ("error", "missing_required", F.size(F.array_except(required, "colunas")) > 0),
-        ("error", "no_rows", F.size("linhas") == 0),
-        (
-            "error",
-            "period_mismatch",
-            has_column & F.exists(values, lambda v: v != expected),
-        ),
-    ]
-    issues = parsed.select(
-        year.alias("ano"), month.alias("mes"), quality.issue_list(checks).alias("__issues")
-    )
-    # At most one struct per check remains after the set union.
-    merged = issues.select("ano", "mes", F.explode_outer("__issues").alias("i")).groupBy(
-        "ano", "mes"
-    ).agg(F.collect_set("i").alias("__issues"))
-    return merged.select(
-        "ano",
-        "mes",
-        quality.codes_of(F.col("__issues")).alias("codigos"),
-        quality.status_of(F.col("__issues")).alias("status"),
-    )
+    found = quality.validate_landing(parsed_headers(landing_probe(spark, sf)), min_bytes=1)
+    return found.select("ano", "mes", "codigos", "status")
 
 
 @query("file_digests", "SELECT DISTINCT o_orderstatus, TRUE AS iguais FROM orders")
