@@ -289,6 +289,56 @@ def validate_gold(totals: DataFrame, clean: DataFrame, required: Sequence[str])
     )
 
 
+def validate_gold_months(
+    tables: DataFrame, copy: DataFrame, clean: DataFrame, required: Sequence[str], period: Sequence[str]
+) -> DataFrame:
+    """:func:`validate_gold` for every month at once, with the parity of both copies.
+
+    ``tables`` and ``copy`` are the published matrix in either format, ``clean`` its movements.
+    """
+    keys = ["tabela", *period]
+    totals = tables.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("linhas"),
+        F.count_if(F.col("saldo") != F.col("admissoes") - F.col("desligamentos")).alias("__net"),
+        *[F.sum(m).alias(m) for m in METRICS],
+    )
+    copied = copy.groupBy(*keys).agg(F.count(F.lit(1)).alias("__copy"))
+    both = totals.join(copied, keys, "full")
+    is_total = F.col("tabela") == "tabela_resumo"
+    months = both.groupBy(*period).agg(
+        F.count("linhas").alias("tabelas"),
+        F.sum("linhas").alias("linhas"),
+        # Table names are a list fixed by the matrix specification.
+        F.array_except(
+            F.array(*[F.lit(n) for n in required]),
+            F.collect_set(F.when(F.col("linhas").isNotNull(), F.col("tabela"))),
+        ).alias("__missing"),
+        F.sum("__net").alias("__net"),
+        F.count_if(~F.col("linhas").eqNullSafe(F.col("__copy"))).alias("copias_divergentes"),
+        *[F.max(F.when(is_total, F.col(m))).alias(m) for m in METRICS],
+    )
+    sums = clean.groupBy(*period).agg(
+        F.sum(F.col("admissao").cast("long")).alias("__admissoes"),
+        F.sum(F.col("desligamento").cast("long")).alias("__desligamentos"),
+        F.sum(F.col("saldomovimentacao").cast("long")).alias("__saldo"),
+    )
+    checks = [
+        ("error", "missing_tables", F.size("__missing") > 0),
+        ("error", "net_differs", F.col("__net") > 0),
+        ("error", "copies_differ", F.col("copias_divergentes") > 0),
+    ]
+    checks += [
+        ("warning", f"clean_{m}", F.col(m).isNotNull() & ~F.col(m).eqNullSafe(F.col(f"__{m}")))
+        for m in METRICS
+    ]
+    out = months.join(sums, list(period), "left").withColumn("__issues", issue_list(checks))
+    return out.select(
+        *period, "tabelas", "linhas", "copias_divergentes",
+        F.array_join(F.sort_array("__missing"), ",").alias("faltando"), *METRICS,
+        codes_of(F.col("__issues")).alias("codigos"), status_of(F.col("__issues")).alias("status"),
+    )
+
+
 def compare_copies(
     left: DataFrame,
     right: DataFrame,

@@ -37,7 +37,10 @@ def write_delimited(
 ) -> None:
     writer = balanced(df, partition).write.mode("overwrite").option("sep", sep)
     writer = writer.option("header", True).option("encoding", encoding)
-    (writer.partitionBy(*partition) if partition else writer).csv(path)
+    if partition:
+        # Only the folders present in the rows are replaced.
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition)
+    writer.csv(path)
 
 
 def balanced(df: DataFrame, partition: Sequence[str]) -> DataFrame:

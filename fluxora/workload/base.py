@@ -120,4 +120,5 @@ MODULES: list[str] = [
     "validation",
     "layers",
     "landing",
+    "jobs",
 ]
