@@ -9,7 +9,7 @@ from fluxora.operators import movement as mv
 from fluxora.plans import job as jobs
 from fluxora.plans.binding import movements, scopes, suppliers
 from fluxora.session import scratch_path, stage
-from fluxora.sources import lake
+from fluxora.sources import lake, manifest
 from fluxora.workload.base import IN_PR, IN_RMC, MOV, SUMS, query
 
 SPECS = [
@@ -144,3 +144,49 @@ def backfill_run(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(
         "ano", "mes", "situacao", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("limpas", "rejeitadas")]
     )
+
+
+@query(
+    "publish_set",
+    f"""WITH {MOV}, t AS (
+      SELECT ano, mes, 'tabela_uf' AS tabela, CAST(count(DISTINCT uf) AS BIGINT) AS linhas, {SUMS} FROM mov GROUP BY ano, mes
+      UNION ALL SELECT ano, mes, 'tabela_resumo', 1, {SUMS} FROM mov GROUP BY ano, mes)
+    SELECT 'em_vigor' AS conjunto, tabela, ano, mes, linhas,
+      admissoes + CASE WHEN tabela = 'tabela_uf' THEN linhas ELSE 0 END AS admissoes, desligamentos, saldo FROM t
+    UNION ALL SELECT 'anterior', tabela, ano, mes, linhas, admissoes, desligamentos, saldo FROM t""",
+)
+def publish_set(spark: SparkSession, sf: str) -> DataFrame:
+    """Two tables published together, one failed set, one corrected table, one roll-back."""
+    root = scratch_path(spark, "published-set")
+    flags = ["ano", "mes", "uf", "admissao", "desligamento", "saldomovimentacao"]
+    df = movements(spark, sf, flags)
+    by_state = stage(mv.movement_aggregate(df, ["ano", "mes", "uf"]), "by-state")
+    total = by_state.groupBy("ano", "mes").agg(*[F.sum(m).alias(m) for m in mv.METRICS])
+    tables = {"tabela_resumo": total, "tabela_uf": by_state}
+
+    def sound(_name: str, written: DataFrame) -> list[str]:
+        row = written.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("saldo") != F.col("admissoes") - F.col("desligamentos")).alias("net"),
+        ).first()
+        return [c for c, bad in (("empty", row["n"] == 0), ("net", row["net"] > 0)) if bad]
+
+    manifest.publish_set(tables, root, lambda name, written: [])
+    spoilt = by_state.withColumn("admissoes", F.col("admissoes") + 1)
+    name, refused = manifest.publish_set({"tabela_resumo": total.limit(1), "tabela_uf": spoilt}, root, sound)
+    if name is not None or refused != {"tabela_uf": ["net"]}:
+        raise AssertionError(f"a bad set was published: {refused}")
+    manifest.publish_set({"tabela_uf": spoilt}, root, lambda name, written: [])
+
+    def summary(which: str) -> DataFrame:
+        out = None
+        for table, written in manifest.read_set(spark, root).items():
+            one = written.groupBy("ano", "mes").agg(
+                F.count(F.lit(1)).alias("linhas"), *[F.sum(m).alias(m) for m in mv.METRICS]
+            ).select(F.lit(which).alias("conjunto"), F.lit(table).alias("tabela"), "*")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    now = summary("em_vigor")
+    manifest.roll_back(spark, root)
+    return now.unionByName(summary("anterior"))
