@@ -204,6 +204,25 @@ def test_page_blocks():
     assert kept == ["Title & more", "One two three", "Four é", "i1", "i2"]
 
 
+def test_no_class_word_cuts_an_article():
+    kept = lambda page: [t for t, outside, _ in pages.lines_of(page) if not outside]
+    assert kept("<p title=it's>one</p><p a=\">\" b='x>' c=d/e>two</p><p q=\"open>three</p>") == ["one", "two", "three"]
+    assert kept('<article class="post related-posts"><p>Text</p></article>') == ["Text"]
+    assert kept('<article id="comment-policy-post"><p>Text</p></article>') == ["Text"]
+    story = "Notice was given to all who lived in the old town by the river."
+    assert kept(
+        '<article><p class="ad-hoc">Ad hoc story</p><section class="social-history">It was told</section>'
+        f'<p class="notice">{story}</p><div class="skip-intro"><p>{story}</p></div></article>'
+    ) == ["Ad hoc story", "It was told", story, story]
+    # A name and the line itself, two names, or a name that means one thing only.
+    assert kept(
+        '<article><p>Text</p><div class="related-posts"><a href="/x">Another story of the town</a></div>'
+        '<div class="share-bar">Share this</div><div class="ad">Buy</div><nav>a</nav>'
+        '<div class="newsletter-signup">Get it by mail</div></article>'
+        '<ol class="comments"><li><article class="comment-body"><p>First!</p></article></li></ol>'
+    ) == ["Text"]
+
+
 def test_page_wrappers_of_the_container_are_layout():
     def text(page):
         return pages.main_lines(pages.pack(pages.lines_of(page)), [])[0]
