@@ -288,8 +288,8 @@ def test_page_copies_are_told_by_what_is_left(spark):
 
 
 def test_page_neighbours_beyond_the_block(spark):
-    light = [(i, "h", f"/{i:03d}", [7, 8, 9 if 10 <= i < 50 else 100 + i], [9, 9, 900], [0, 0, 0]) for i in range(60)]
-    schema = "row_key long, host string, path string, digests array<long>, chars array<int>, edges array<long>"
+    light = [(i, "h", f"/{i:03d}", [7, 8, 9 if 10 <= i < 50 else 100 + i], [9, 9, 900], [0, 0, 0], [0, 1, 2]) for i in range(60)]
+    schema = "row_key long, host string, path string, digests array<long>, chars array<int>, edges array<long>, open array<int>"
     found = pages.shared_lines(spark.createDataFrame(light, schema), block=8).collect()
     assert sorted(r.row_key for r in found) == list(range(60))
     assert all(list(r.shared) == [0, 1] for r in found)
