@@ -47,16 +47,29 @@ class Grammar:
     least: int = 4
 
 
+def frequent(pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs that occur ``least`` times and more, ascending, and their counts.
+
+    Pairs are counted by a hash first: what shares its place with fewer cannot be frequent, so
+    only the rest, ever fewer from round to round, is sorted.
+    """
+    place = (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
+    place = place.astype(np.int64)
+    counts = np.bincount(place, minlength=1 << 18)
+    found, counts = np.unique(pairs[counts[place] >= least], return_counts=True)
+    often = counts >= least
+    return found[often], counts[often]
+
+
 def choose(pairs: np.ndarray, counts: np.ndarray, base: int, grammar: Grammar) -> np.ndarray:
     """Frequent pairs none of which can overlap another, as a sorted array."""
-    often = np.flatnonzero(counts >= grammar.least)
     # The pairs come sorted, so a stable order by count leaves ties in the order of the pairs.
-    order = often[np.argsort(-counts[often], kind="stable")][: 2 * grammar.pairs]
+    order = np.argsort(-counts, kind="stable")[: 2 * grammar.pairs]
     lefts: set[int] = set()
     rights: set[int] = set()
     taken = []
-    for p in pairs[order].tolist():
-        a, b = divmod(p, base)
+    pairs = pairs[order]
+    for p, a, b in zip(pairs.tolist(), (pairs // base).tolist(), (pairs % base).tolist()):
         if a in rights or b in lefts or a == b and (a in lefts or b in rights):
             continue
         lefts.add(a)
@@ -87,25 +100,27 @@ def replace(seq: np.ndarray, pairs: np.ndarray, taken: np.ndarray, base: int, fi
         at, found = at[keep], found[keep]
     out = seq.copy()
     out[at] = first + found
-    return np.delete(out, at + 1)
+    kept = np.ones(len(out), bool)
+    kept[at + 1] = False
+    return out[kept]
 
 
 def compress(seq: np.ndarray, grammar: Grammar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (left, right) and the length each rule expands to."""
     rules = np.zeros((0, 2), np.int64)
+    lengths = np.ones(grammar.first, np.int64)
     while len(seq) >= 2:
-        base = grammar.first + len(rules)
+        base = len(lengths)
         pairs = seq[:-1] * base + seq[1:]
         pairs[(seq[:-1] == 0) | (seq[1:] == 0)] = -1
-        found, counts = np.unique(pairs[pairs >= 0], return_counts=True)
+        found, counts = frequent(pairs[pairs >= 0], grammar.least)
         taken = choose(found, counts, base, grammar)
         if not len(taken):
             break
         seq = replace(seq, pairs, taken, base, base)
-        rules = np.concatenate([rules, np.stack([taken // base, taken % base], axis=1)])
-    lengths = np.ones(grammar.first + len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        lengths[grammar.first + i] = lengths[a] + lengths[b]
+        left, right = taken // base, taken % base
+        rules = np.concatenate([rules, np.stack([left, right], axis=1)])
+        lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
     return seq, rules, lengths[grammar.first :]
 
 
