@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxora.sources.files import listing, path_value
+from fluxora.sources.files import footers, listing, path_value
 
 # Granularity by exact base name, then by the first matching part (fixed values).
 EXACT_GRANULARITY = {
@@ -55,7 +55,7 @@ def is_legacy(name: Column) -> Column:
 def catalog(
     spark: SparkSession, root: str, current: Sequence[str], period: Sequence[str] = ("ano", "mes")
 ) -> DataFrame:
-    """One row per (table, period) from the file listing and one pass over the Parquet copy.
+    """One row per (table, period) from the file listing and the footers of the Parquet copy.
 
     Layout: ``root/{parquet,csv}/tabela=<name>/<period folders>/``.
     """
@@ -81,13 +81,17 @@ def catalog(
         F.sum("length").alias("bytes"),
         F.max("modificationTime").alias("modificado"),
     )
-    data = spark.read.parquet(f"{root}/parquet")
-    columns = [c for c in data.columns if c not in keys]
-    counted = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.array_compact(
-            F.array(*[F.when(F.count(c) > 0, F.lit(c)) for c in columns])
-        ).alias("columns"),
+    # Folder columns are in no footer, so a file's columns are the table's own.
+    parquet = files.where((F.col("formato") == "parquet") & (F.col("length") > 0))
+    told = footers(parquet.repartition(F.col("path"))).select(
+        path_value("tabela").alias("tabela"),
+        *[path_value(p).try_cast("int").alias(p) for p in period],
+        "row_count", "present",
+    )
+    counted = told.groupBy(*keys).agg(
+        F.sum("row_count").alias("row_count"),
+        # The columns of one table: as many as its schema has.
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("present")))).alias("columns"),
     )
     name = F.col("tabela")
     known = name.isin(*current)

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fluxora.operators.order_stats import join_null_safe
 from fluxora.operators.territory import last_per_key
-from fluxora.session import counted_side, stage
+from fluxora.session import stage
 from fluxora.sources.delimited import scan
 from fluxora.sources.files import exists, remove_folders
 
@@ -174,34 +175,85 @@ def upsert(
     write_table(merged, path, period)
 
 
+def key_bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def touched_only(df: DataFrame, touched: DataFrame, partition: Sequence[str]) -> DataFrame:
+    """Rows of the touched folders, pruned by literals before any file is opened.
+
+    ``touched`` has one row per folder; the driver that plans a scan holds their names anyway.
+    """
+    rows = touched.collect()
+    for c in partition:
+        values = sorted({r[c] for r in rows if r[c] is not None}, key=str)
+        kept = F.col(c).isin(values)
+        df = df.where(kept | F.col(c).isNull() if any(r[c] is None for r in rows) else kept)
+    return join_null_safe(df, F.broadcast(touched), list(partition), "left_semi")
+
+
 def append_once(
     spark: SparkSession, path: str, source: DataFrame, partition: Sequence[str], key: str,
-    order: Sequence[Column],
+    order: Sequence[Column], buckets: int = 64,
 ) -> None:
     """Insert rows by key, the last one winning; delivering them again changes nothing.
 
     A key may come back in another partition: the partitions that hold its old row are
     rewritten too, and one that is left without rows is removed.
+
+    Where a key lies is told by an index beside the target, in hash buckets: a batch reads the
+    buckets of its keys and the partitions these name, never the whole target.  The places a
+    batch will write to are added to the index before the target is written and the places it
+    left are dropped after, so at any moment the index names at least every true place.
     """
+    partition = list(partition)
+    index = f"{path.rstrip('/')}__index"
     source = stage(last_per_key(source, [key], order), "arrived")
-    if not exists(spark, path):
-        write_table(source, path, partition)
-        return
-    stored = spark.read.parquet(path)
-    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("__folder")
-    old = stored.select(*[F.col(c).cast(t).alias(c) for c, t in source.dtypes], folder)
-    hit = old.join(source.select(key), key, "left_semi").select(*partition)
-    touched = source.select(*partition).unionByName(hit).distinct()
-    old = old.join(counted_side(touched, "touched"), list(partition), "left_semi")
-    merged = last_per_key(old.drop("__folder").unionByName(source), [key], order)
-    merged = stage(merged, "append")
-    # Folders of calendar partitions: few.
-    emptied = old.select("__folder", *partition).distinct().join(
-        merged.select(*partition).distinct(), list(partition), "left_anti"
-    )
-    gone = sorted({r["__folder"] for r in emptied.collect()})
+    stored = spark.read.parquet(path) if exists(spark, path) else None
+    types = dict(source.dtypes)
+    columns = [F.col(c).cast(types[c]).alias(c) for c in (key, *partition)]
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.select(*columns, key_bucket(key, buckets).alias("__bucket")).distinct()
+
+    def write_index(rows: DataFrame, mode: str) -> None:
+        rows.repartition("__bucket").write.mode(mode).option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("__bucket").parquet(index)
+
+    if stored is not None and not exists(spark, index):
+        write_index(placed(stored), "overwrite")
+    arriving = placed(source)
+    # At most ``buckets`` numbers.
+    hit = sorted(r[0] for r in arriving.select("__bucket").distinct().collect())
+    known = None
+    if exists(spark, index):
+        read = spark.read.schema(arriving.schema).parquet(index)
+        known = stage(read.where(F.col("__bucket").isin(hit)), "index-read")
+    write_index(arriving, "append")
+    touched = source.select(*partition)
+    if known is not None:
+        before = known.join(source.select(key), key, "left_semi")
+        touched = touched.unionByName(before.select(*partition))
+    touched = stage(touched.distinct(), "touched")
+    merged, gone = source, []
+    if stored is not None:
+        folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("__folder")
+        old = touched_only(stored.select("*", folder), touched, partition)
+        old = old.select(*[F.col(c).cast(t).alias(c) for c, t in source.dtypes], "__folder")
+        merged = last_per_key(old.drop("__folder").unionByName(source), [key], order)
+        merged = stage(merged, "append")
+        emptied = join_null_safe(
+            old.select("__folder", *partition).distinct(), merged.select(*partition).distinct(),
+            partition, "left_anti",
+        )
+        gone = sorted({r["__folder"] for r in emptied.collect()})
     write_table(merged, path, partition)
     remove_folders(spark, gone)
+    now = placed(merged.join(source.select(key), key, "left_semi"))
+    if known is not None:
+        now = now.unionByName(known.join(source.select(key), key, "left_anti"))
+    write_index(now, "overwrite")
 
 
 def backfill_plan(

@@ -416,11 +416,23 @@ _SMALL = f"""WITH {MOV}, t AS (
     "catalog",
     f"""{_SMALL} SELECT tabela, ano, scope, CASE WHEN tabela LIKE '%setor%' THEN 'setor' WHEN tabela LIKE '%sexo%' THEN 'perfil_sexo'
       ELSE replace(tabela, 'tabela_', '') END AS granularity, has_csv, TRUE AS has_parquet, row_count, NOT is_legacy AS is_current, is_legacy,
-      concat_ws(';', CASE WHEN is_legacy THEN 'not_current;legacy' END, CASE WHEN NOT has_csv THEN 'parquet_only' END) AS notes FROM c""",
+      concat_ws(';', CASE WHEN is_legacy THEN 'not_current;legacy' END, CASE WHEN NOT has_csv THEN 'parquet_only' END) AS notes,
+      'admissoes,desligamentos,' || CASE WHEN tabela = 'tabela_perfil' THEN 'graudeinstrucao,saldo,sexo' WHEN tabela LIKE '%setor%' THEN 'saldo,secao'
+        WHEN tabela LIKE '%sexo%' THEN 'saldo,sexo' WHEN tabela = 'tabela_uf' THEN 'saldo,uf' ELSE 'saldo' END AS columns,
+      CAST(CASE WHEN tabela = 'tabela_perfil' THEN 5 WHEN tabela = 'tabela_resumo' THEN 3 ELSE 4 END AS INTEGER) AS column_count,
+      TRUE AS tem_bytes, TRUE AS tem_hora FROM c""",
 )
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
     found = cat.catalog(spark, small_lake(spark, sf), CURRENT, ["ano"])
-    return found.drop("bytes", "modificado", "columns", "column_count")
+    told = found.withColumns(
+        {
+            "columns": F.array_join("columns", ","),
+            "tem_bytes": F.col("bytes") > 100,
+            # Written just now, by this query.
+            "tem_hora": F.col("modificado") > F.current_timestamp() - F.expr("INTERVAL 1 DAY"),
+        }
+    )
+    return told.drop("bytes", "modificado")
 
 
 @query(
@@ -620,7 +632,7 @@ def stream_event_counts(spark: SparkSession, sf: str) -> DataFrame:
         _events_stream(spark, sf), ["event_type", "user_id"], F.count(F.lit(1)),
         target, scratch_path(spark, "stream-state"),
     )
-    return spark.read.parquet(target)
+    return landing.read_counts(spark, target, ["event_type", "user_id"])
 
 
 RUN_SPECS = [s for s in mv.TABLES if s.name in ("tabela_resumo", "tabela_uf", "tabela_perfil_sexo")]

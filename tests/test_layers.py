@@ -181,3 +181,25 @@ def test_pointer_is_replaced_not_truncated(spark, tmp_path):
         version, _ = files.publish(spark.range(n), str(tmp_path), lambda df: [])
         assert files.current_version(spark, str(tmp_path)) == version
     assert [p.name for p in tmp_path.glob("CURRENT*")] == ["CURRENT"]
+
+
+def test_footers_tell_rows_and_columns(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, [1], "x"), (2, None, None, None)], "a int, b string, c array<int>, d string")
+    df.coalesce(1).write.parquet(str(tmp_path / "t"))
+    found = files.footers(files.listing(spark, str(tmp_path), "*.parquet")).first()
+    assert (found["row_count"], found["columns"], found["present"]) == (2, ["a", "b", "c", "d"], ["a", "c", "d"])
+
+
+def test_catalogue_reads_no_data_page(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2026, "x", None), (2, 2026, "y", None)], "n int, ano int, k string, z string")
+    lake.write_table(rows.withColumn("tabela", F.lit("tabela_uf")), str(tmp_path / "parquet"), ["tabela", "ano"])
+    lake.write_delimited(rows.withColumn("tabela", F.lit("tabela_uf")), str(tmp_path / "csv"), ["tabela", "ano"], sep=",")
+    for part in (tmp_path / "parquet").rglob("*.parquet"):
+        raw = bytearray(part.read_bytes())
+        raw[4:20] = b"\xff" * 16  # the first data page
+        part.write_bytes(bytes(raw))
+    for crc in (tmp_path / "parquet").rglob(".*.crc"):
+        crc.unlink()
+    row = cat.catalog(spark, str(tmp_path), ["tabela_uf"], ["ano"]).first()
+    assert (row["row_count"], row["columns"], row["column_count"]) == (2, ["k", "n"], 2)
+    assert row["bytes"] > 0 and row["modificado"] is not None
