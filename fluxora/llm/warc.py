@@ -12,6 +12,9 @@ marks, payload digest).  Where a check fails it searches for the next member or
 line that begins a valid record, goes on there, and logs the bytes between as a gap with
 the reason of the first failure.  It reads plain records as well.
 
+:func:`salvaged` writes the gaps to a log table; :func:`archived` fails when pages are lost.
+Segments can be written as ``.warc.gz`` files and read from them.
+
 A null page is an empty payload.  Rows that share the smallest id and the payload are all
 responses; a null id is never the smallest unless all are null.  Empty tables give no rows.
 """
@@ -21,15 +24,17 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxora.llm.common import map_rows, slices, staged
+from fluxora.session import scratch_path
 
 LEAST = 100
 SEGMENT = 1 << 20
@@ -259,9 +264,73 @@ def page_of(column: str):
     return F.when(found != "", found.cast("long"))
 
 
+class PagesLost(ValueError):
+    """Archives hold fewer records than pages were written; the gaps are logged."""
+
+
+GAP_COLUMNS = ["archive", "segment", "start", "end", "gap"]
+
+
+def salvaged(segments: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """Records (without payloads), the log of quarantined gaps, and where that log is kept.
+
+    Both are written tables; a gap names its archive, segment, byte range and first reason.
+    """
+    read = staged(read_archives(segments).drop("payload"), "records")
+    path = scratch_path(segments.sparkSession, "warc-gaps")
+    read.filter("gap IS NOT NULL").select(*GAP_COLUMNS).write.parquet(path)
+    gaps = segments.sparkSession.read.parquet(path)
+    return read.filter("gap IS NULL"), gaps, path
+
+
+def write_files(segments: DataFrame, folder: str) -> DataFrame:
+    """One ``.warc.gz`` file per segment; returns path and size of each.
+
+    A file is written aside and moved to its name, so a task that runs twice leaves one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        system.create_dir(base, recursive=True)
+        for batch in slices(batches, 4):
+            paths, sizes = [], []
+            columns = (batch.column(c).to_pylist() for c in ("archive", "segment", "data"))
+            for archive, number, data in zip(*columns):
+                path = f"{base}/{archive}-{number:05d}.warc.gz"
+                aside = f"{path}.{uuid.uuid4().hex}"
+                with system.open_output_stream(aside, compression=None) as out:
+                    out.write(data)
+                system.move(aside, path)
+                paths.append(path)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["path", "bytes"]
+            )
+
+    return staged(segments.mapInArrow(run, "path string, bytes long"), "warc-files")
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The segments of ``.warc.gz`` files, for :func:`read_archives`."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    name = F.regexp_extract("path", r"([^/]*)-([0-9]+)\.warc\.gz$", 1)
+    number = F.regexp_extract("path", r"-([0-9]+)\.warc\.gz$", 1).cast("int")
+    return files.select(name.alias("archive"), number.alias("segment"), F.col("content").alias("data"))
+
+
 def archived(pages: DataFrame) -> DataFrame:
-    """Write the pages to archives, read those back, one row per record."""
-    rows = read_archives(write_archives(pages)).filter("gap IS NULL")
+    """Write the pages to archives, read those back, one row per record.
+
+    Damage does not pass silently: gaps are logged, and fewer records than pages are an error
+    that names the log and how many bytes it holds.
+    """
+    rows, gaps, path = salvaged(write_archives(pages))
+    found, wanted = rows.count(), pages.count()
+    if found < wanted:
+        n, size = gaps.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()
+        raise PagesLost(f"{wanted - found} of {wanted} pages lost in {n} gaps of {size} bytes, see {path}")
     return rows.select(
         page_of("record_id").alias("page_id"),
         "payload_bytes",
