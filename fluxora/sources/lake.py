@@ -109,19 +109,14 @@ def read_with_fallback(
     return df.withColumn("_source", F.lit("csv"))
 
 
-def merge_rows(
-    target: DataFrame,
-    source: DataFrame,
-    period: Sequence[str],
-    code: str,
-    natural: Sequence[str],
+def resolved_rows(
+    target: DataFrame, source: DataFrame, period: Sequence[str], code: str, natural: Sequence[str]
 ) -> DataFrame:
-    """Target rows updated by source rows: by (period, code) first, else by natural key.
+    """Source rows with ``__key``: the natural key of the target row that each takes over.
 
     A source row that finds its code in the target takes over that row, whatever its
     names say; otherwise it replaces the row with its natural key or is new.
     """
-    period, natural = list(period), list(natural)
     by_code = target.where(F.col(code).isNotNull()).select(
         *period, code, F.struct(*natural).alias("__hit")
     )
@@ -129,20 +124,44 @@ def merge_rows(
     # meet in one task.
     coded = source.where(F.col(code).isNotNull()).join(by_code, [*period, code], "left")
     own_key = F.struct(*natural)
-    resolved = coded.withColumn("__key", F.coalesce("__hit", own_key)).drop("__hit").unionByName(
+    return coded.withColumn("__key", F.coalesce("__hit", own_key)).drop("__hit").unionByName(
         source.where(F.col(code).isNull()).withColumn("__key", own_key)
     )
+
+
+def merge_rows(
+    target: DataFrame,
+    source: DataFrame,
+    period: Sequence[str],
+    code: str,
+    natural: Sequence[str],
+) -> DataFrame:
+    """Target rows updated by source rows: by (period, code) first, else by natural key.
+
+    ``__action`` tells what became of each row: inserted, updated, unchanged or kept (no
+    source row names it); ``__given`` how many source rows it had, of which the largest counts.
+    """
+    period, natural = list(period), list(natural)
     columns = target.columns
-    old = target.withColumn("__key", F.struct(*natural)).withColumn("__prio", F.lit(0))
-    new = resolved.withColumn("__prio", F.lit(1))
-    both = old.select(*columns, "__key", "__prio").unionByName(
-        new.select(*columns, "__key", "__prio")
+    row = F.struct(*[F.col(c) for c in columns if c not in period])
+    nothing = F.lit(None).cast(target.select(row.alias("r")).schema["r"].dataType)
+    old = target.select(*period, F.struct(*natural).alias("__key"), row.alias("__old"), nothing.alias("__new"))
+    new = resolved_rows(target, source, period, code, natural).select(
+        *period, "__key", nothing.alias("__old"), row.alias("__new")
     )
-    values = [F.col(c) for c in columns if c not in period]
-    flat = both.select(*period, "__key", F.struct("__prio", *values).alias("__row"))
-    merged = flat.groupBy(*period, "__key").agg(F.max_by("__row", "__row").alias("__row"))
-    return merged.select(
-        *[F.col(c) if c in period else F.col("__row")[c].alias(c) for c in columns]
+    merged = old.unionByName(new).groupBy(*period, "__key").agg(
+        F.max("__old").alias("__old"), F.max("__new").alias("__new"), F.count("__new").alias("__given")
+    )
+    action = (
+        F.when(F.col("__new").isNull(), "kept")
+        .when(F.col("__old").isNull(), "inserted")
+        .when(F.col("__old") == F.col("__new"), "unchanged")
+        .otherwise("updated")
+    )
+    both = merged.withColumn("__row", F.coalesce("__new", "__old"))
+    return both.select(
+        *[F.col(c) if c in period else F.col("__row")[c].alias(c) for c in columns],
+        action.alias("__action"), "__given",
     )
 
 
@@ -151,28 +170,66 @@ def _same_columns(stored: DataFrame, source: DataFrame) -> DataFrame:
     return stored.select(*[F.col(c).cast(t).alias(c) for c, t in source.dtypes])
 
 
-def upsert(
+ACTIONS = ("inserted", "updated", "unchanged")
+
+
+def load(
     spark: SparkSession,
     path: str,
     source: DataFrame,
     period: Sequence[str],
     code: str,
     natural: Sequence[str],
-) -> None:
-    """Idempotent upsert into a table partitioned by ``period``.
+    required: Sequence[str] = (),
+    dry_run: bool = False,
+) -> DataFrame:
+    """Idempotent merge into a table partitioned by ``period``, with an account of it.
+
+    One row per period of the source: rows inserted, updated, unchanged, repeated (another
+    source row of the same target row counted) and skipped (a ``required`` column is NULL or
+    blank).  The account comes from the rows that are written, not from another pass over the
+    inputs.  A dry run gives the same account and writes nothing.
 
     Only touched partitions are read and rewritten; the merged rows are staged first
     because Spark must not overwrite files it is still reading.
     """
+    lacking = F.lit(False)
+    for c in required:
+        lacking = lacking | F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+    source = stage(source.withColumn("__skip", lacking), "load")
+    usable = source.where(~F.col("__skip")).drop("__skip")
     if exists(spark, path):
-        target = _same_columns(spark.read.parquet(path), source)
+        # Folder values in the source's types: read as numbers, ``01`` would not be ``01``.
+        target = _same_columns(spark.read.schema(usable.schema).parquet(path), usable)
     else:
-        target = source.limit(0)
-    touched = source.select(*period).distinct()
+        target = usable.limit(0)
+    touched = usable.select(*period).distinct()
     # Size bound: one row per calendar period; it prunes the target's folders.
     affected = target.join(F.broadcast(touched), list(period), "left_semi")
-    merged = stage(merge_rows(affected, source, period, code, natural), "upsert")
-    write_table(merged, path, period)
+    merged = stage(merge_rows(affected, usable, period, code, natural), "upsert")
+    if not dry_run:
+        write_table(merged.drop("__action", "__given"), path, period)
+    counted = merged.groupBy(*period).agg(
+        *[F.count_if(F.col("__action") == a).alias(a) for a in ACTIONS],
+        F.sum(F.greatest(F.col("__given") - 1, F.lit(0))).alias("repeated"),
+    )
+    skipped = source.groupBy(*period).agg(F.count_if("__skip").alias("skipped"))
+    zero = F.lit(0).cast("long")
+    return join_null_safe(skipped, counted, period, "left").select(
+        *period, *[F.coalesce(c, zero).alias(c) for c in (*ACTIONS, "repeated", "skipped")]
+    )
+
+
+def upsert(
+    spark: SparkSession,
+    path: str,
+    source: DataFrame,
+    period: Sequence[str],
+    code: str,
+    natural: Sequence[str],
+) -> None:
+    """:func:`load` for callers that need no account."""
+    load(spark, path, source, period, code, natural)
 
 
 def key_bucket(key: str, buckets: int) -> Column:
@@ -209,7 +266,7 @@ def append_once(
     partition = list(partition)
     index = f"{path.rstrip('/')}__index"
     source = stage(last_per_key(source, [key], order), "arrived")
-    stored = spark.read.parquet(path) if exists(spark, path) else None
+    stored = spark.read.schema(source.schema).parquet(path) if exists(spark, path) else None
     types = dict(source.dtypes)
     columns = [F.col(c).cast(types[c]).alias(c) for c in (key, *partition)]
 

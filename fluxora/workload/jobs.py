@@ -190,3 +190,49 @@ def publish_set(spark: SparkSession, sf: str) -> DataFrame:
     now = summary("em_vigor")
     manifest.roll_back(spark, root)
     return now.unionByName(summary("anterior"))
+
+
+FACT_KEY = (["ano", "mes"], "cod_municipio", ["uf", "municipio"])
+
+
+@query(
+    "load_summary",
+    f"""WITH {MOV}, f AS (SELECT ano, mes, cod_municipio, uf FROM mov GROUP BY ALL),
+    c AS (SELECT ano, mes, count(*) AS n, count(CASE WHEN uf = 'NATION_3' THEN 1 END) AS s FROM f GROUP BY ano, mes)
+    SELECT 1 AS carga, ano, mes, n AS inserted, 0::BIGINT AS updated, 0::BIGINT AS unchanged, 0::BIGINT AS repeated, 0::BIGINT AS skipped FROM c WHERE ano <= 1999
+    UNION ALL SELECT k, ano, mes, CASE WHEN ano >= 2000 THEN n - s ELSE 0 END, CASE WHEN ano = 1999 AND mes <= 6 THEN n - s ELSE 0 END,
+      CASE WHEN ano = 1999 AND mes > 6 THEN n - s ELSE 0 END, 0, s FROM c, (VALUES (2), (3)) t(k) WHERE ano >= 1999
+    UNION ALL SELECT 4, ano, mes, 0, 0, n - s, n - s, s FROM c WHERE ano >= 1999""",
+)
+def load_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Loads of facts with their accounts: new, corrected (first dry, then real), and repeated.
+
+    Rows of one state lack their code from the second load on and are skipped.
+    """
+    path = scratch_path(spark, "loaded")
+    columns = ["ano", "mes", "uf", "municipio", "cod_municipio"]
+    flags = ["admissao", "desligamento", "saldomovimentacao"]
+    facts = stage(mv.movement_aggregate(movements(spark, sf, [*columns, *flags]), columns), "facts")
+    later = facts.filter("ano >= 1999").withColumns(
+        {
+            "admissoes": F.col("admissoes") + F.when((F.col("ano") == 1999) & (F.col("mes") <= 6), 1).otherwise(0),
+            "cod_municipio": F.when(F.col("uf") != "NATION_3", F.col("cod_municipio")),
+        }
+    )
+
+    def load(number: int, rows: DataFrame, dry_run: bool = False) -> DataFrame:
+        told = lake.load(spark, path, rows, *FACT_KEY, required=["cod_municipio"], dry_run=dry_run)
+        return told.withColumn("carga", F.lit(number))
+
+    accounts = [
+        load(1, facts.filter("ano <= 1999")),
+        load(2, later, dry_run=True),
+        load(3, later),
+        load(4, later.unionByName(later).filter("cod_municipio IS NOT NULL").unionByName(
+            later.filter("cod_municipio IS NULL")
+        )),
+    ]
+    out = accounts[0]
+    for more in accounts[1:]:
+        out = out.unionByName(more)
+    return out.filter("carga <> 1 OR ano <= 1999")

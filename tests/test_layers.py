@@ -203,3 +203,29 @@ def test_catalogue_reads_no_data_page(spark, tmp_path):
     row = cat.catalog(spark, str(tmp_path), ["tabela_uf"], ["ano"]).first()
     assert (row["row_count"], row["columns"], row["column_count"]) == (2, ["k", "n"], 2)
     assert row["bytes"] > 0 and row["modificado"] is not None
+
+
+def test_load_accounts_for_every_row(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    columns = ["ano", "mes", "uf", "municipio", "cod", "admissoes"]
+
+    def load(*rows, **options):
+        df = spark.createDataFrame(list(rows), FACTS)
+        told = lake.load(spark, path, df, *KEY, required=["cod", "municipio"], **options)
+        return rows_of(told.select("mes", *lake.ACTIONS, "repeated", "skipped"))
+
+    def stored():
+        return rows_of(spark.read.schema(FACTS).parquet(path).select(*columns))
+
+    first = [(2026, "01", "PR", "A", "1", 5), (2026, "01", "PR", "B", "2", 6), (2026, "02", "PR", "A", "1", 7)]
+    bad = [(2026, "02", "PR", "C", None, 1), (2026, "03", "PR", " ", "9", 1)]
+    account = [("01", 2, 0, 0, 0, 0), ("02", 1, 0, 0, 0, 1), ("03", 0, 0, 0, 0, 1)]
+    assert load(*first, *bad, dry_run=True) == account and not (tmp_path / "facts").exists()
+    assert load(*first, *bad) == account
+    before = stored()
+    again = [("01", 0, 0, 2, 0, 0), ("02", 0, 0, 1, 0, 1), ("03", 0, 0, 0, 0, 1)]
+    assert load(*first, *bad) == again and stored() == before
+    change = [(2026, "01", "PR", "A novo", "1", 50), (2026, "01", "PR", "A novo", "1", 49), (2026, "01", "PR", "D", "4", 1)]
+    assert load(*change, dry_run=True) == [("01", 1, 1, 0, 1, 0)] and stored() == before
+    assert load(*change) == [("01", 1, 1, 0, 1, 0)]
+    assert [r[3:] for r in stored() if r[1] == "01"] == [("A novo", "1", 50), ("B", "2", 6), ("D", "4", 1)]
