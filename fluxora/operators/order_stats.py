@@ -47,7 +47,7 @@ def join_null_safe(
     return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
 
 
-def _with_range(staged: DataFrame, value: str) -> DataFrame:
+def with_range(staged: DataFrame, value: str) -> DataFrame:
     """Add ``__range``: how many splitters lie below the value (monotone in the value)."""
     order = F.xxhash64(*[F.col(c) for c in staged.columns])
     sample = (
@@ -134,7 +134,7 @@ def quantiles_of_counts(
 def _quantiles_by_range(
     counts: DataFrame, keys: list[str], probs: dict[str, float], expand: Expand | None
 ) -> DataFrame:
-    ranged = _with_range(counts, "__v")
+    ranged = with_range(counts, "__v")
     fine = [c for c in counts.columns if c not in ("__v", "__n")] if expand else keys
     cells = ranged.groupBy(*fine, "__range").agg(F.sum("__n").alias("__cell"))
     if expand:
@@ -230,7 +230,7 @@ def dense_rank_desc(
 
 
 def _ranks_by_range(distinct: DataFrame, keys: list[str], name: str) -> DataFrame:
-    ranged = _with_range(distinct, "__v")
+    ranged = with_range(distinct, "__v")
     cells = ranged.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__cell"))
     above = (
         Window.partitionBy(*keys)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxora.functions.numbers import finite, ratio
-from fluxora.operators.order_stats import exact_quantiles, join_null_safe
+from fluxora.operators.order_stats import exact_quantiles, join_null_safe, with_range
 
 # Class labels from lowest to highest (fixed values).
 CLASS_LABELS = ("Muito baixo", "Baixo", "Médio", "Alto", "Muito alto")
@@ -133,6 +134,89 @@ def page(
     return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
 
 
+def deep_page(
+    df: DataFrame,
+    limit: int,
+    offset: int,
+    sort_by: str,
+    descending: bool = True,
+    tiebreak: Sequence[str] = (),
+    leaf: int = 100_000,
+) -> DataFrame:
+    """:func:`page` at any depth: the rows before the page are counted, not sorted.
+
+    The sort key is cut into ranges by splitters drawn from the data.  Their counts (a row per
+    range) tell which ranges hold the page; only their rows are read again, by a filter on the
+    key that reaches the scan, and cut further until at most ``leaf`` rows are left to sort.  A
+    value with more rows than that is cut by the next column of the order.  Every pass narrows
+    the rows some hundredfold, and only the page itself is ever collected into an order.
+    """
+    if not 1 <= limit <= PAGE_LIMIT:
+        raise ValueError(f"limit must be 1..{PAGE_LIMIT}")
+    if offset < 0:
+        raise ValueError("offset must not be negative")
+    unknown = [c for c in (sort_by, *tiebreak) if c not in df.columns]
+    if unknown:
+        raise ValueError(f"unknown sort column: {unknown[0]}")
+    keys = [(sort_by, descending), *[(c, False) for c in tiebreak]]
+    order = [F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in keys]
+    total = df.count()
+
+    def parts(rows: DataFrame, n: int, begin: int, end: int, at: int) -> list[DataFrame]:
+        """The rows at the places ``begin`` to ``end`` of ``n``, which agree before key ``at``."""
+        if begin >= end:
+            return []
+        if n <= leaf or at == len(keys):
+            return [rows.orderBy(*order).offset(begin).limit(end - begin)]
+        hit, base = [], 0
+        for inside, single, size in _key_ranges(rows, keys[at:], n):
+            if base < end and base + size > begin:
+                hit.append((inside, single, size, base))
+            base += size
+        if sum(size for _, _, size, _ in hit) <= leaf:
+            first = hit[0][3]
+            some = rows.where(reduce(lambda a, b: a | b, [inside for inside, *_ in hit]))
+            return [some.orderBy(*order).offset(begin - first).limit(end - begin)]
+        out = []
+        for inside, single, size, before in hit:
+            places = max(begin - before, 0), min(end - before, size)
+            out += parts(rows.where(inside), size, *places, at + single)
+        return out
+
+    found = parts(df, total, offset, min(offset + limit, total), 0) or [df.limit(0)]
+    rows = reduce(lambda a, b: a.unionByName(b), found)
+    return rows.orderBy(*order).withColumn("total", F.lit(total).cast("long"))
+
+
+def _key_ranges(
+    rows: DataFrame, keys: Sequence[tuple[str, bool]], n: int
+) -> list[tuple[Column, bool, int]]:
+    """(condition, whether it is one value, rows) of every range of the first key, in order.
+
+    NULL comes last.  The other keys only mix the sample that the splitters come from.
+    """
+    column, down = keys[0]
+    value = F.col(column)
+    key = rows.select(value.alias("__v"), *[F.col(c).alias(f"__{i}") for i, (c, _) in enumerate(keys)])
+    told = (F.min("__v").alias("low"), F.max("__v").alias("high"), F.count(F.lit(1)).alias("n"))
+    cells = with_range(key.where(F.col("__v").isNotNull()), "__v").groupBy("__range").agg(*told).collect()
+    nulls = n - sum(r["n"] for r in cells)
+    out = []
+    for r in sorted(cells, key=lambda r: r["__range"]):
+        low, high = F.lit(r["low"]), F.lit(r["high"])
+        if r["low"] == r["high"]:
+            out.append((value == low, True, r["n"]))
+        elif r["n"] < n:
+            out.append((value.between(low, high), False, r["n"]))
+        else:
+            # No splitter lies inside: a value with nearly all rows.  Its ends go apart.
+            ends = rows.agg(F.count_if(value == low), F.count_if(value == high)).first()
+            out.append((value == low, True, ends[0]))
+            out.append(((value > low) & (value < high), False, r["n"] - sum(ends)))
+            out.append((value == high, True, ends[1]))
+    return (out[::-1] if down else out) + ([(value.isNull(), True, nulls)] if nulls else [])
+
+
 def top_k(
     df: DataFrame,
     k: int,

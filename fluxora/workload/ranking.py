@@ -192,6 +192,32 @@ def page(spark: SparkSession, sf: str) -> DataFrame:
     return rank.page(df, 25, 30, "saldo", True, ["municipio"])
 
 
+_DEEP = """SELECT '{0}' AS ordem, l_orderkey, l_linenumber, l_quantity, CAST(total AS BIGINT) AS total FROM
+    (SELECT *, row_number() OVER (ORDER BY {1}, l_orderkey, l_linenumber) AS n, count(*) OVER () AS total FROM lineitem) t
+    WHERE n > {2} AND n <= {2} + 500"""
+
+
+@query(
+    "deep_page",
+    " UNION ALL ".join(
+        _DEEP.format(*x) for x in (
+            ("quantidade", "l_quantity DESC", 4000), ("preco", "l_extendedprice", 3000), ("fim", "l_shipdate", 5900),
+        )
+    ),
+)
+def deep_page(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages far into the line items: by a key of few values, by one of many, by a date."""
+    lines = table(spark, sf, "lineitem")
+    out = None
+    for name, column, down, offset in (
+        ("quantidade", "l_quantity", True, 4000), ("preco", "l_extendedprice", False, 3000), ("fim", "l_shipdate", False, 5900),
+    ):
+        found = rank.deep_page(lines, 500, offset, column, down, ["l_orderkey", "l_linenumber"], leaf=1000)
+        one = found.select(F.lit(name).alias("ordem"), "l_orderkey", "l_linenumber", "l_quantity", "total")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     "top_k",
     f"""WITH {MOV} SELECT municipio, {SUMS} FROM mov GROUP BY municipio

@@ -166,6 +166,26 @@ def test_page_checks(spark):
             rank.page(df, **bad)
 
 
+@pytest.mark.parametrize("down", [True, False])
+def test_deep_pages_match_the_whole_order(spark, down):
+    rng = np.random.default_rng(6)
+    values = [int(x) for x in rng.integers(0, 300, 900)] + [7] * 1500 + [None] * 200  # one hot value, NULLs
+    rows = [(i, v, i % 3) for i, v in enumerate(values)]
+    hot = [(i, 5 if i else 1, 0) for i in range(700)] + [(701, 9, 0)]  # no splitter but the hot value
+    for data, offsets in ((rows, (0, 3, 450, 1200, 2350, 2400, 2595, 2600, 9000)), (hot, (0, 1, 350, 690, 700))):
+        df = spark.createDataFrame(data, "k int, v int, z int")
+        keyed = sorted(data, key=lambda r: (r[1] is None, (-1 if down else 1) * (r[1] or 0), r[0]))
+        for offset in offsets:
+            found = rank.deep_page(df, 20, offset, "v", down, ["k"], leaf=50).collect()
+            assert [r["k"] for r in found] == [r[0] for r in keyed[offset : offset + 20]], offset
+            assert all(r["total"] == len(data) for r in found)
+    for bad in ({"limit": 0, "offset": 0}, {"limit": 1, "offset": -1}):
+        with pytest.raises(ValueError):
+            rank.deep_page(df, sort_by="v", **bad)
+    with pytest.raises(ValueError, match="zz"):
+        rank.deep_page(df, 1, 0, "v", True, ["zz"])
+
+
 def test_period_delta_lists(spark):
     rows = [("a", "1", 5), ("a", "2", 9), ("b", "1", 0), ("b", "2", -2), ("c", "2", 4), ("", "1", 1), ("", "2", 2)]
     df = spark.createDataFrame(rows, "m string, p string, v long")
