@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxora.functions.numbers import finite, ratio
-from fluxora.operators.order_stats import exact_quantiles, join_null_safe, with_range
+from fluxora.operators.order_stats import _with_range, exact_quantiles, join_null_safe
 
 # Class labels from lowest to highest (fixed values).
 CLASS_LABELS = ("Muito baixo", "Baixo", "Médio", "Alto", "Muito alto")
@@ -199,7 +199,7 @@ def _key_ranges(
     value = F.col(column)
     key = rows.select(value.alias("__v"), *[F.col(c).alias(f"__{i}") for i, (c, _) in enumerate(keys)])
     told = (F.min("__v").alias("low"), F.max("__v").alias("high"), F.count(F.lit(1)).alias("n"))
-    cells = with_range(key.where(F.col("__v").isNotNull()), "__v").groupBy("__range").agg(*told).collect()
+    cells = _with_range(key.where(F.col("__v").isNotNull()), "__v").groupBy("__range").agg(*told).collect()
     nulls = n - sum(r["n"] for r in cells)
     out = []
     for r in sorted(cells, key=lambda r: r["__range"]):
