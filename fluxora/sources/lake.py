@@ -173,6 +173,22 @@ def _same_columns(stored: DataFrame, source: DataFrame) -> DataFrame:
 ACTIONS = ("inserted", "updated", "unchanged")
 
 
+def _merged(
+    spark: SparkSession, path: str, source: DataFrame, period: Sequence[str], code: str,
+    natural: Sequence[str],
+) -> DataFrame:
+    """The touched partitions after the merge, staged: Spark must not overwrite what it reads."""
+    if exists(spark, path):
+        # Folder values in the source's types: read as numbers, ``01`` would not be ``01``.
+        target = _same_columns(spark.read.schema(source.schema).parquet(path), source)
+    else:
+        target = source.limit(0)
+    touched = source.select(*period).distinct()
+    # Size bound: one row per calendar period; it prunes the target's folders.
+    affected = target.join(F.broadcast(touched), list(period), "left_semi")
+    return stage(merge_rows(affected, source, period, code, natural), "upsert")
+
+
 def load(
     spark: SparkSession,
     path: str,
@@ -190,23 +206,14 @@ def load(
     blank).  The account comes from the rows that are written, not from another pass over the
     inputs.  A dry run gives the same account and writes nothing.
 
-    Only touched partitions are read and rewritten; the merged rows are staged first
-    because Spark must not overwrite files it is still reading.
+    Only touched partitions are read and rewritten.
     """
     lacking = F.lit(False)
     for c in required:
         lacking = lacking | F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
     source = stage(source.withColumn("__skip", lacking), "load")
     usable = source.where(~F.col("__skip")).drop("__skip")
-    if exists(spark, path):
-        # Folder values in the source's types: read as numbers, ``01`` would not be ``01``.
-        target = _same_columns(spark.read.schema(usable.schema).parquet(path), usable)
-    else:
-        target = usable.limit(0)
-    touched = usable.select(*period).distinct()
-    # Size bound: one row per calendar period; it prunes the target's folders.
-    affected = target.join(F.broadcast(touched), list(period), "left_semi")
-    merged = stage(merge_rows(affected, usable, period, code, natural), "upsert")
+    merged = _merged(spark, path, usable, period, code, natural)
     if not dry_run:
         write_table(merged.drop("__action", "__given"), path, period)
     counted = merged.groupBy(*period).agg(
@@ -229,7 +236,8 @@ def upsert(
     natural: Sequence[str],
 ) -> None:
     """:func:`load` for callers that need no account."""
-    load(spark, path, source, period, code, natural)
+    merged = _merged(spark, path, source, period, code, natural)
+    write_table(merged.drop("__action", "__given"), path, period)
 
 
 def key_bucket(key: str, buckets: int) -> Column:
