@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxora.functions.text import format_code, upper_key
+from fluxora.operators.territory import key_coverage
 
 POLYGON = "array<array<array<double>>>"
 MULTIPOLYGON = "array<array<array<array<double>>>>"
@@ -98,3 +99,30 @@ def standard_properties(
         return out
     marks = allowed.select("municipio_norm").distinct().withColumn("na_lista", F.lit(True))
     return out.join(marks, "municipio_norm", "left").fillna(False, subset=["na_lista"])
+
+
+def payload(features: DataFrame, code: str) -> DataFrame:
+    """Rows to load into a geometry table: the code in one form, the shape as GeoJSON text, its box.
+
+    ``geometria`` is NULL where a feature has no polygon with at least one position, so that a
+    load with ``required`` code and shape skips and counts it.  White space in the coordinates
+    does not count as a change.
+    """
+    numbers = F.regexp_replace("geometry.coordinates", r"\s", "")
+    text = F.concat(F.lit('{"type":"'), F.col("geometry.type"), F.lit('","coordinates":'), numbers, F.lit("}"))
+    boxes = bounds(features.withColumn("__text", text))
+    return boxes.withColumn(
+        "geometria", F.when(F.col("min_lon").isNotNull() & F.col("min_lat").isNotNull(), F.col("__text"))
+    ).withColumn(code, F.when(F.trim(code) != "", format_code(F.col(code)))).drop("__text")
+
+
+def geometry_coverage(shapes: DataFrame, facts: DataFrame, code: str) -> DataFrame:
+    """Rows of :func:`payload` without a code or a shape, and how facts and usable shapes match."""
+    told = shapes.agg(
+        F.count(F.lit(1)).alias("features"),
+        F.count_if(F.col(code).isNull()).alias("without_code"),
+        F.count_if(F.col("geometria").isNull()).alias("without_geometry"),
+    )
+    usable = shapes.where(F.col("geometria").isNotNull())
+    # Both sides are one row.
+    return told.join(F.broadcast(key_coverage(facts, usable, code)))

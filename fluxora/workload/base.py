@@ -121,4 +121,5 @@ MODULES: list[str] = [
     "layers",
     "landing",
     "jobs",
+    "geography",
 ]

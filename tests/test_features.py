@@ -155,3 +155,28 @@ def test_documents_are_written_by_task(spark, tmp_path):
         assert json.loads(part.read_text())["type"] == "FeatureCollection"
     found = features.scan_collections(spark, str(tmp_path / "out"), KINDS)
     assert sorted(int(r["n"]) for r in found.rows.collect()) == list(range(40))
+
+
+def test_payload_skips_what_cannot_be_stored(spark, tmp_path):
+    def line(code, shape):
+        return json.dumps({"type": "Feature", "properties": {"c": code}, "geometry": shape})
+
+    ring = [[[0, 0], [2, 0], [2, 3], [0, 0]]]
+    lines = [
+        line("12.0", {"type": "Polygon", "coordinates": ring}),
+        line(" ", {"type": "Polygon", "coordinates": ring}),
+        line("14", None),
+        line("15", {"type": "Polygon", "coordinates": []}),
+        line("16", {"type": "Point", "coordinates": [1, 2]}),
+        line("17", {"type": "MultiPolygon", "coordinates": [ring]}),
+    ]
+    (tmp_path / "l.json").write_text("\n".join(lines))
+    shapes = geo.payload(geo.read_lines(spark, str(tmp_path), {"c": "string"}), "c")
+    got = {r["c"]: r["geometria"] for r in shapes.collect() if r["c"] is not None}
+    assert json.loads(got["0000012"]) == {"type": "Polygon", "coordinates": ring}
+    assert got["0000014"] is got["0000015"] is got["0000016"] is None
+    assert json.loads(got["0000017"])["coordinates"] == [ring]
+    facts = spark.createDataFrame([("0000012",), ("0000014",), ("9999999",)], "c string")
+    told = geo.geometry_coverage(shapes, facts, "c").first()
+    assert (told["features"], told["without_code"], told["without_geometry"]) == (6, 1, 3)
+    assert (told["matched"], told["unmatched_fact"], told["ok"]) == (1, 2, False)
