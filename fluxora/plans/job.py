@@ -151,7 +151,7 @@ def make_gold(spark: SparkSession, job: MonthlyJob, periods: list[Period]) -> di
     clean = spark.read.parquet(job.path("clean")).filter(of_periods(periods))
     matrix = stage(mv.table_matrix(clean, job.scopes, job.specs, PERIOD), "matrix")
     write_table(matrix, job.path("gold/parquet"), ("tabela", *PERIOD))
-    write_delimited(matrix, job.path("gold/csv"), ["tabela", *PERIOD], sep=",")
+    write_delimited(matrix, job.path("gold/csv"), ["tabela", *PERIOD], sep=",", bom=True)
     return check_gold(spark, job, periods)
 
 

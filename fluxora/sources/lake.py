@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fluxora.functions.labels import parse_period
 from fluxora.operators.order_stats import join_null_safe
 from fluxora.operators.territory import last_per_key
 from fluxora.session import stage
@@ -32,10 +33,18 @@ def read_delimited(
     return scan(spark, path, separators=(sep,), encoding=encoding, pattern="*").strict
 
 
+BYTE_ORDER_MARK = "\ufeff"
+
+
 def write_delimited(
     df: DataFrame, path: str, partition: Sequence[str] = (), sep: str = ";",
-    encoding: str = "UTF-8",
+    encoding: str = "UTF-8", bom: bool = False,
 ) -> None:
+    """Delimited files with a header; ``bom`` starts each with a byte-order mark, for spreadsheets."""
+    if bom:
+        # The header line is the first thing in a file; readers take the mark off again.
+        first = next(c for c in df.columns if c not in partition)
+        df = df.withColumnRenamed(first, BYTE_ORDER_MARK + first)
     writer = balanced(df, partition).write.mode("overwrite").option("sep", sep)
     writer = writer.option("header", True).option("encoding", encoding)
     if partition:
@@ -68,10 +77,57 @@ def write_both(df: DataFrame, root: str, name: str, partition: Sequence[str] = (
     write_table(staged, f"{root}/parquet/{name}", partition) if partition else staged.write.mode(
         "overwrite"
     ).parquet(f"{root}/parquet/{name}")
-    write_delimited(staged, f"{root}/csv/{name}", partition, sep=",")
+    write_delimited(staged, f"{root}/csv/{name}", partition, sep=",", bom=True)
     return True
 
 
+def prepare_months(
+    source: DataFrame,
+    path: str,
+    column: str,
+    prepare: Callable[[DataFrame], DataFrame],
+    months: Sequence[tuple[int, int]] | None = None,
+    dry_run: bool = False,
+) -> DataFrame:
+    """Rows of a ``YYYYMM`` column prepared and written as delimited months, with an account.
+
+    The account has one row per month: rows filtered, rows saved (read back from the files),
+    the columns and whether it was a dry run.  Rows without a period belong to the month NULL,
+    which is never written.  A wanted month without rows is an error before anything is written.
+    A dry run prepares every row all the same, so it fails where the real one would, and writes
+    nothing at ``path``.
+    """
+    start = parse_period(F.col(column))
+    keyed = source.withColumns({"ano": F.year(start), "mes": F.month(start)})
+    if months is not None:
+        wanted = F.lit(False)
+        for year, month in months:
+            wanted = wanted | ((F.col("ano") == year) & (F.col("mes") == month))
+        keyed = keyed.where(wanted)
+    rows = stage(prepare(keyed), "prepared")
+    columns = [c for c in rows.columns if c not in ("ano", "mes")]
+    # One row per calendar month.
+    counted = stage(rows.groupBy("ano", "mes").agg(F.count(F.lit(1)).alias("filtradas")), "prepared-months")
+    if months is not None:
+        found = {(r["ano"], r["mes"]) for r in counted.collect()}
+        empty = sorted(set(months) - found)
+        if empty:
+            raise ValueError("no rows of the months " + ", ".join(f"{y}-{m:02d}" for y, m in empty))
+    dated = rows.where(F.col("ano").isNotNull())
+    spark = source.sparkSession
+    saved = counted.limit(0).select("ano", "mes", F.lit(0).cast("long").alias("gravadas"))
+    if not dry_run and not counted.where(F.col("ano").isNotNull()).isEmpty():
+        write_delimited(dated.withColumn("mes", month_text(F.col("mes"))), path, ["ano", "mes"])
+        text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        text = text.add("ano", T.IntegerType()).add("mes", T.IntegerType())
+        back = spark.read.schema(text).options(header=True, sep=";").csv(path)
+        saved = back.groupBy("ano", "mes").agg(F.count(F.lit(1)).alias("gravadas"))
+    return counted.join(saved, ["ano", "mes"], "left").select(
+        "ano", "mes", "filtradas", F.coalesce("gravadas", F.lit(0)).alias("gravadas"),
+        F.lit(",".join(columns)).alias("colunas"), F.lit(dry_run).alias("simulado"),
+    )
+
+
 def read_partition(spark: SparkSession, path: str, year: int, month: int) -> DataFrame:
     """One month; the filter prunes folders before any file is opened."""
     return spark.read.parquet(path).where((F.col("ano") == year) & (F.col("mes") == month))

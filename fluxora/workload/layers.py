@@ -327,10 +327,21 @@ def upsert_facts(spark: SparkSession, sf: str) -> DataFrame:
 )
 def prepare_month(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "prepared")
+    month = migrant_rows(spark, sf)
+    month = month.where(clean.period_equals(F.col("competenciamov"), 1997, 3))
+    prepared = as_landing(month).withColumn("competenciamov", F.lit("199703"))
+    lake.write_delimited(prepared, path)
+    rows = lake.read_delimited(spark, path)
+    numbers = {c: F.col(c).cast("double") for c in ("horascontratuais", "idade", "salario")}
+    return rounded(rows.withColumns(numbers))
+
+
+def migrant_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All movements under the names and with the bands of the other source."""
     age = F.col("idade")
     band = F.when(age <= 17, "1").when(age <= 24, "02").when(age <= 29, "3.0")
     band = band.when(age <= 39, "4").when(age <= 49, "05").when(age <= 64, "6").otherwise("07")
-    source = movements(
+    return movements(
         spark, sf,
         ["data", "saldomovimentacao", "graudeinstrucao", "horascontratuais", "idade", "salario"],
     ).select(
@@ -341,13 +352,29 @@ def prepare_month(spark: SparkSession, sf: str) -> DataFrame:
         band.alias("faixa_etaria"),
         "salario",
     )
-    month = source.where(clean.period_equals(F.col("competenciamov"), 1997, 3))
-    prepared = clean.age_from_band(clean.rename_source(month), "faixa_etaria")
-    prepared = prepared.withColumn("competenciamov", F.lit("199703")).drop("faixa_etaria")
-    lake.write_delimited(prepared, path)
-    rows = lake.read_delimited(spark, path)
-    numbers = {c: F.col(c).cast("double") for c in ("horascontratuais", "idade", "salario")}
-    return rounded(rows.withColumns(numbers))
+
+
+def as_landing(rows: DataFrame) -> DataFrame:
+    """Columns as the landing files name them, the age from its band."""
+    return clean.age_from_band(clean.rename_source(rows), "faixa_etaria").drop("faixa_etaria")
+
+
+_PREPARED = "competenciamov,saldomovimentacao,graudeinstrucao,horascontratuais,salario,idade"
+
+
+@query(
+    "prepare_all_months",
+    f"""WITH {MOV} SELECT ano, mes, count(*) AS filtradas, CASE WHEN simulado THEN 0 ELSE count(*) END AS gravadas,
+      '{_PREPARED}' AS colunas, simulado, FALSE AS ja_gravado FROM mov, (VALUES (TRUE), (FALSE)) t(simulado) GROUP BY ano, mes, simulado""",
+)
+def prepare_all_months(spark: SparkSession, sf: str) -> DataFrame:
+    """Accounts of a dry run, which writes nothing, and of the real writing of every month."""
+    path = scratch_path(spark, "prepared-months")
+    rows = migrant_rows(spark, sf)
+    dry = lake.prepare_months(rows, path, "competenciamov", as_landing, dry_run=True)
+    there = files.exists(spark, path)
+    real = lake.prepare_months(rows, path, "competenciamov", as_landing)
+    return dry.unionByName(real).withColumn("ja_gravado", F.lit(there))
 
 
 @query(

@@ -229,3 +229,36 @@ def test_load_accounts_for_every_row(spark, tmp_path):
     assert load(*change, dry_run=True) == [("01", 1, 1, 0, 1, 0)] and stored() == before
     assert load(*change) == [("01", 1, 1, 0, 1, 0)]
     assert [r[3:] for r in stored() if r[1] == "01"] == [("A novo", "1", 50), ("B", "2", 6), ("D", "4", 1)]
+
+
+def test_copies_start_with_a_byte_order_mark(spark, tmp_path):
+    df = spark.createDataFrame([("é", 1, "x"), ("b", 2, "y")], "nome string, n int, p string")
+    lake.write_both(df, str(tmp_path), "t", ["p"])
+    written = list((tmp_path / "csv" / "t").rglob("part-*.csv"))
+    assert len(written) == 2
+    assert all(f.read_bytes().startswith(b"\xef\xbb\xbfnome,n") for f in written)
+    back = spark.read.option("header", True).csv(str(tmp_path / "csv" / "t"))
+    assert back.columns == ["nome", "n", "p"]
+    assert rows_of(lake.read_delimited(spark, str(tmp_path / "csv" / "t"), sep=",").select("nome", "n")) == [("b", "2"), ("é", "1")]
+
+
+def test_months_are_prepared_as_a_dry_run_or_written(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("202401.0", "a"), ("202401", None), ("202402", "c"), ("x", "d"), (None, "e")], "quando string, v string"
+    )
+    path = str(tmp_path / "out")
+
+    def account(**more):
+        told = lake.prepare_months(rows, path, "quando", lambda df: df.withColumnRenamed("v", "valor"), **more)
+        return sorted((tuple(r) for r in told.select("ano", "mes", "filtradas", "gravadas").collect()), key=str)
+
+    assert account(dry_run=True) == [(2024, 1, 2, 0), (2024, 2, 1, 0), (None, None, 2, 0)]
+    assert not (tmp_path / "out").exists()
+    with pytest.raises(ValueError, match="2024-03"):
+        account(months=[(2024, 1), (2024, 3)])
+    assert not (tmp_path / "out").exists()
+    assert account(months=[(2024, 2)]) == [(2024, 2, 1, 1)]
+    assert account() == [(2024, 1, 2, 2), (2024, 2, 1, 1), (None, None, 2, 0)]
+    assert sorted(p.name for p in (tmp_path / "out" / "ano=2024").iterdir() if p.is_dir()) == ["mes=01", "mes=02"]
+    with pytest.raises(Exception, match="no such"):
+        lake.prepare_months(rows, path, "quando", lambda df: df.select(F.raise_error(F.lit("no such")).alias("a"), "ano", "mes"), dry_run=True)
