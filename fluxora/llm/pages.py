@@ -12,10 +12,10 @@
 A copy tells nothing, for it shares the article too.  Copies are told by what is left: the
 characters of lines not surely outside (of the container, if it holds half of them) that
 the other page has neither as a line nor, by its first or last three words, as an edited
-line.  A page is another one if more than a fifth of the shorter page is left.  Where there
-is none within ``REACH`` pages, all of them share most of their text; then the nearest with
-something of its own (``OWN_SHARE`` on both pages) shows the site's furniture.  Where there
-is none of these either, nothing is deleted.
+line.  A page is another one if at least a fifth of the shorter page is left.  It is
+looked for up to the ends of the host.  Where a host has none on either side, all its pages
+share most of their text; then the nearest with something of its own (``OWN_SHARE`` on both
+pages) shows the site's furniture.  Where there is none of these either, nothing is deleted.
 
 Lines travel as 64-bit digests.  The sort is a range partitioning with a number for every
 page, cut into blocks of ``BLOCK`` neighbours plus ``REACH`` pages at either end, so a host
@@ -23,6 +23,12 @@ with a third of all pages is spread like any other.  The k-th occurrence of a li
 the k-th occurrence of the same line, which makes the alignment n log n and exact wherever
 a page's lines differ from each other.
 
+Most pages meet their neighbours within ``REACH`` pages.  Those that do not, with lines in
+question and more of their host to come, look on in tiles of ``TILE`` pages asking and
+``TILE`` asked: the nearest tiles first, then twice as many each round, until another page or
+the host's end is met.  In a tile the shared characters of many pairs are taken at once.
+A run of n near copies costs n * n / 2 pairs that way, spread over tiles of one size.
+
 Null or empty pages have no text; null URLs share an empty host; repeated rows get equal
 results; the order of neighbours with equal paths is by their content's digest.
 """
@@ -35,6 +41,7 @@ import zlib
 from bisect import bisect_left
 from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -44,6 +51,8 @@ from fluxora.llm.common import map_rows, staged
 
 BLOCK = 256
 REACH = 64
+TILE = 512
+PART = 128  # pages of a tile asked at once
 COPY_SHARE = 0.8
 OWN_SHARE = 0.05
 
@@ -362,23 +371,56 @@ def relation(a: Text, b: Text) -> int:
     return OWN if left_a >= OWN_SHARE * a.size and left_b >= OWN_SHARE * b.size else COPY
 
 
-def neighbours(i: int, hosts: list[str], texts: list[Text]) -> list[int]:
-    """The pages that page ``i`` is compared with."""
-    found: dict[int, list[int]] = {OTHER: [], OWN: []}
-    for step in (-1, 1):
-        own = None
-        for j in range(i + step, i + step * (REACH + 1), step):
-            if not 0 <= j < len(hosts) or hosts[j] != hosts[i]:
-                break
-            kind = relation(texts[i], texts[j])
-            if kind == OTHER:
-                found[OTHER].append(j)
-                break
-            if kind == OWN and own is None:
-                own = j
-        if own is not None:
-            found[OWN].append(own)
-    return found[OTHER] or found[OWN]
+def nearest(
+    i: int, step: int, hosts: list[str], texts: list[Text], reach: int
+) -> tuple[int | None, int | None, bool]:
+    """On one side of page ``i`` the nearest other page, the nearest with something of its
+    own before that, and whether the host goes on beyond ``reach`` without another page."""
+    own = None
+    for j in range(i + step, i + step * (reach + 1), step):
+        if not 0 <= j < len(hosts) or hosts[j] != hosts[i]:
+            return None, own, False
+        kind = relation(texts[i], texts[j])
+        if kind == OTHER:
+            return j, own, False
+        if kind == OWN and own is None:
+            own = j
+    beyond = i + step * (reach + 1)
+    return None, own, 0 <= beyond < len(hosts) and hosts[beyond] == hosts[i]
+
+
+def met(pages: list[Text], asked: list[Text]) -> np.ndarray:
+    """Characters of each page's lines that each asked page has, so or edited."""
+
+    def places(sets: list[set[int]]) -> tuple[dict[int, int], np.ndarray]:
+        index: dict[int, int] = {}
+        at = [(index.setdefault(x, len(index)), j) for j, s in enumerate(sets) for x in s]
+        table = np.zeros((len(index) + 1, len(sets)), dtype=bool)  # the last row: not there
+        if at:
+            table[tuple(np.array(at).T)] = True
+        return index, table
+
+    known, has = places([t.known for t in asked])
+    heads, has_head = places([t.heads for t in asked])
+    tails, has_tail = places([t.tails for t in asked])
+    out = np.zeros((len(pages), len(asked)), dtype=np.int64)
+    for i, t in enumerate(pages):
+        if t.lines:
+            hit = has[[known.get(d, -1) for d, _, _ in t.lines]]
+            hit |= has_head[[heads.get(m >> 32, -1) if m else -1 for _, _, m in t.lines]]
+            hit |= has_tail[[tails.get(m & 0xFFFFFFFF, -1) if m else -1 for _, _, m in t.lines]]
+            out[i] = np.array([n for _, n, _ in t.lines], dtype=np.int64) @ hit
+    return out
+
+
+def relations(pages: list[Text], asked: list[Text]) -> np.ndarray:
+    """:func:`relation` of every page with every asked page."""
+    a = np.array([t.size for t in pages], dtype=np.int64)[:, None]
+    b = np.array([t.size for t in asked], dtype=np.int64)[None, :]
+    met_a, met_b = met(pages, asked), met(asked, pages).T
+    other = np.where(a <= b, met_a <= COPY_SHARE * a, met_b <= COPY_SHARE * b)
+    own = (a - met_a >= OWN_SHARE * a) & (b - met_b >= OWN_SHARE * b)
+    return np.where((a > 0) & (b > 0), np.where(other, OTHER, np.where(own, OWN, COPY)), COPY)
 
 
 PARSED = (
@@ -436,40 +478,176 @@ def numbered(light: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(starts), "part").withColumn("at", place).drop("part", "mark", "base")
 
 
-def shared_lines(light: DataFrame, block: int = BLOCK) -> DataFrame:
+LIGHT = ("row_key", "host", "digests", "chars", "edges", "open", "at")
+# For a page and a side: the places shared with the nearest other page and with the nearest
+# that has something of its own, whether the search goes on, and how many tiles away it was.
+SIDES = "row_key long, at long, side int, other array<int>, own array<int>, on boolean, tiles long"
+
+
+def unpacked(cell: pd.DataFrame) -> list[list]:
+    return [
+        [x if isinstance(x, str) else x.tolist() for x in cell[c]]
+        for c in ("host", "digests", "chars", "edges", "open")
+    ]
+
+
+def side_rows(rows: list[tuple]) -> pd.DataFrame:
+    keys, at, sides, other, own, on, tiles = zip(*rows) if rows else ((),) * 7
+    return pd.DataFrame(
+        {
+            "row_key": pd.Series(keys, dtype="int64"), "at": pd.Series(at, dtype="int64"),
+            "side": pd.Series(sides, dtype="int32"), "other": pd.Series(other, dtype=object),
+            "own": pd.Series(own, dtype=object), "on": pd.Series(on, dtype=bool),
+            "tiles": pd.Series(tiles, dtype="int64"),
+        }
+    )
+
+
+def shared_places(lines: list[int], other: list[int], unsure: list[int]) -> list[int]:
+    return sorted(set(aligned(lines, other)).intersection(unsure))
+
+
+def look_on(rows: DataFrame, open_sides: DataFrame, tile: int, reach: int) -> DataFrame:
+    """What the open sides find beyond ``reach``, whatever the distance."""
+    asking = rows.select(*LIGHT).join(open_sides.select("at", "side"), "at")
+    ends = (
+        rows.join(asking.select("host").distinct(), "host", "left_semi")
+        .groupBy("host").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    )
+    asking = staged(
+        asking.join(ends, "host").withColumns(
+            {
+                "block": F.floor(F.col("at") / tile),
+                # How many tiles away the last page of the host lies on this side.
+                "far": F.when(
+                    F.col("side") > 0, F.floor(F.col("last") / tile) - F.floor(F.col("at") / tile)
+                ).otherwise(F.floor(F.col("at") / tile) - F.floor(F.col("first") / tile)),
+            }
+        ).drop("first", "last"),
+        "asking",
+    )
+    asked = staged(
+        rows.select(*LIGHT).join(asking.select("host").distinct(), "host", "left_semi")
+        .withColumn("tile", F.floor(F.col("at") / tile)),
+        "asked",
+    )
+
+    def compare(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if not len(ours) or not len(theirs):
+            return side_rows([])
+        side = int(ours["side"].iloc[0])
+        tiles = abs(int(ours["to"].iloc[0]) - int(ours["block"].iloc[0]))
+        theirs = theirs.sort_values("at", ascending=side > 0).reset_index(drop=True)
+        hosts, lines, chars, marks, unsure = unpacked(ours)
+        their_hosts, their_lines, their_chars, their_marks, _ = unpacked(theirs)
+        texts = [Text(*x) for x in zip(lines, chars, marks)]
+        at, their_at = ours["at"].to_numpy(), theirs["at"].to_numpy()
+        host_names, their_names = np.array(hosts, dtype=object), np.array(their_hosts, dtype=object)
+        other: dict[int, int] = {}
+        own: dict[int, int] = {}
+        live = list(range(len(ours)))
+        for begin in range(0, len(theirs), PART):
+            live = [i for i in live if i not in other]
+            if not live:
+                break
+            part = slice(begin, begin + PART)
+            far = (their_at[part][None, :] - at[live][:, None]) * side > reach
+            fits = far & (host_names[live][:, None] == their_names[part][None, :])
+            some = np.flatnonzero(fits.any(axis=1))
+            if not len(some):
+                continue
+            them = [Text(*x) for x in zip(their_lines[part], their_chars[part], their_marks[part])]
+            kinds = np.where(fits[some], relations([texts[live[k]] for k in some], them), COPY)
+            for k, kind in zip(some, kinds):
+                i = live[k]
+                for found, wanted in ((other, OTHER), (own, OWN)):
+                    hits = np.flatnonzero(kind == wanted)
+                    if len(hits):
+                        found.setdefault(i, begin + int(hits[0]))
+        keys = ours["row_key"].tolist()
+        return side_rows([
+            (
+                keys[i], int(at[i]), side,
+                *(
+                    shared_places(lines[i], their_lines[f[i]], unsure[i]) if i in f else None
+                    for f in (other, own)
+                ),
+                False, tiles,
+            )
+            for i in range(len(ours)) if i in other or i in own
+        ])
+
+    out = None
+    low, high = 0, 2
+    while not asking.isEmpty():
+        pairs = asking.select(
+            "*",
+            F.explode(
+                F.transform(
+                    F.sequence(F.lit(low).cast("long"), F.least(F.col("far"), F.lit(high - 1))),
+                    lambda k: F.col("block") + F.col("side") * k,
+                )
+            ).alias("to"),
+        )
+        key, theirs = ["block", "to", "side"], ["by", "tile", "way"]
+        wanted = pairs.select(*[F.col(a).alias(b) for a, b in zip(key, theirs)]).distinct()
+        tiles = asked.join(wanted, "tile")
+        found = staged(
+            pairs.groupBy(*key).cogroup(tiles.groupBy(*theirs)).applyInPandas(compare, SIDES), "looked-on"
+        )
+        out = found if out is None else out.unionByName(found)
+        settled = found.filter("other IS NOT NULL").select("at", "side").distinct()
+        asking = staged(
+            asking.filter(F.col("far") >= high).join(settled, ["at", "side"], "left_anti"), "asking"
+        )
+        low, high = high, high * 2
+    return out
+
+
+def shared_lines(
+    light: DataFrame, block: int = BLOCK, tile: int = TILE, reach: int = REACH
+) -> DataFrame:
     """row_key and places of the lines shared with the nearest URLs of the host that may be
     deleted; pages without such lines have no row."""
     rows = numbered(light)
-    first, last = (F.floor((F.col("at") + k) / block) for k in (-REACH, REACH))
+    # One page more than the reach, so that a side knows whether its host goes on.
+    first, last = (F.floor((F.col("at") + k) / block) for k in (-reach - 1, reach + 1))
     blocks = F.sequence(F.greatest(first, F.lit(0)), last)
-    columns = ("row_key", "host", "digests", "chars", "edges", "open", "at")
-    cells = rows.select(*columns, F.explode(blocks).alias("block"))
+    cells = rows.select(*LIGHT, F.explode(blocks).alias("block"))
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values("at").reset_index(drop=True)
-        hosts, lines, chars, marks, unsure = (
-            [x if isinstance(x, str) else x.tolist() for x in cell[c]]
-            for c in ("host", "digests", "chars", "edges", "open")
-        )
+        hosts, lines, chars, marks, unsure = unpacked(cell)
         real = (cell["at"] // block == cell["block"]).to_numpy()
-        own = real.nonzero()[0].tolist()
+        own = [i for i in real.nonzero()[0].tolist() if unsure[i]]
         texts = [Text(*x) for x in zip(lines, chars, marks)] if own else []
-        found = [
-            sorted({
-                k for j in neighbours(i, hosts, texts) if unsure[i]
-                for k in set(aligned(lines[i], lines[j])).intersection(unsure[i])
-            })
-            for i in own
+        keys, at = cell["row_key"].tolist(), cell["at"].tolist()
+        out = []
+        for i in own:
+            for side in (-1, 1):
+                *found, on = nearest(i, side, hosts, texts, reach)
+                places = [None if j is None else shared_places(lines[i], lines[j], unsure[i]) for j in found]
+                out.append((keys[i], at[i], side, *places, on, -1))
+        return side_rows(out)
+
+    sides = staged(cells.groupBy("block").applyInPandas(compare, SIDES), "sides")
+    open_sides = sides.filter("on")
+    if not open_sides.isEmpty():
+        sides = sides.unionByName(look_on(rows, open_sides, tile, reach))
+    # The nearest of each kind: pages looked at first lie nearer.
+    by_side = sides.groupBy("row_key", "at", "side").agg(
+        *[
+            F.min_by(c, F.when(F.col(c).isNotNull(), F.col("tiles"))).alias(c)
+            for c in ("other", "own")
         ]
-        rows = [(key, places) for key, places in zip(cell["row_key"][real], found) if places]
-        return pd.DataFrame(
-            {
-                "row_key": pd.Series([key for key, _ in rows], dtype="int64"),
-                "shared": pd.Series([places for _, places in rows], dtype=object),
-            }
-        )
-
-    return cells.groupBy("block").applyInPandas(compare, "row_key long, shared array<int>")
+    )
+    found = by_side.groupBy("row_key", "at").agg(
+        *[F.collect_list(c).alias(c) for c in ("other", "own")]
+    )
+    best = F.when(F.size("other") > 0, F.col("other")).otherwise(F.col("own"))
+    return found.select(
+        "row_key", F.array_sort(F.array_distinct(F.flatten(best))).alias("shared")
+    ).filter(F.size("shared") > 0)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long, n_shared long, n_deleted long"

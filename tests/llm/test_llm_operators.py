@@ -333,6 +333,52 @@ def test_page_neighbours_beyond_the_block(spark):
     assert all(list(r.shared) == [0, 1] for r in found)
 
 
+def test_page_neighbours_beyond_the_reach(spark):
+    """A long run of near copies meets the pages at its ends, whatever the distance."""
+    menu = "".join(f"<div>Entry {k}</div>" for k in range(20))
+    long = [f"part {k} of the one long article that has {k} sides" for k in range(30)]
+    run = [story(100)] + [long + [f"seen {i}"] for i in range(150)] + [story(101)]
+    site = [f"{menu}{''.join(f'<p>{x}</p>' for x in b)}" for b in run]
+    # A second host whose pages are all copies: nothing tells its furniture.
+    found = differenced(spark, [site, [site[1]] * 140])
+    assert all(found[0, i] == body for i, body in enumerate(run))
+    assert found[1, 70][:2] == ["Entry 0", "Entry 1"]
+
+
+@pytest.mark.parametrize("tile", [16, 1024])
+def test_page_search_equals_the_pairs(spark, tile):
+    rng = np.random.default_rng(3)
+    light, runs = [], [(h, kind) for h in "ab" for kind in rng.integers(0, 3, 12) for _ in range(rng.integers(1, 12))]
+    for i, (host, kind) in enumerate(runs):
+        body = [1000 * kind + k for k in range(12)] if kind else [10 * i + 5000 + k for k in range(12)]
+        for _ in range(rng.integers(0, 3)):
+            body[rng.integers(0, 12)] = 9000 + i
+        lines = [1, 2, 3, *body]
+        light.append((i, host, f"{i:04d}", [int(x) for x in lines], [0] * 3 + [30] * 12, [0] * 15, [0, 1, 2, 14]))
+    schema = "row_key long, host string, path string, digests array<long>, chars array<int>, edges array<long>, open array<int>"
+    found = pages.shared_lines(spark.createDataFrame(light, schema), block=8, tile=tile, reach=3).collect()
+    texts = [pages.Text(*r[3:6]) for r in light]
+    expected = {}
+    for i, row in enumerate(light):
+        by_kind = {pages.OTHER: [], pages.OWN: []}
+        for step in (-1, 1):
+            own, j = None, i + step
+            while 0 <= j < len(light) and light[j][1] == row[1]:
+                kind = pages.relation(texts[i], texts[j])
+                if kind == pages.OTHER:
+                    by_kind[kind].append(j)
+                    break
+                own = j if kind == pages.OWN and own is None else own
+                j += step
+            if own is not None:
+                by_kind[pages.OWN].append(own)
+        near = by_kind[pages.OTHER] or by_kind[pages.OWN]
+        places = sorted({k for j in near for k in pages.shared_places(row[3], light[j][3], row[6])})
+        if places:
+            expected[i] = places
+    assert {r.row_key: r.shared for r in found} == expected
+
+
 def test_page_text_beside_containers(spark):
     head = "<div>Menu of this site</div>"
     lead = [
