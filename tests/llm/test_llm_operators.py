@@ -554,6 +554,28 @@ def test_toxicity(spark):
     assert np.mean([a > b for a in toxic for b in clean]) > 0.95
 
 
+def test_toxicity_learns_from_all_labels(spark):
+    """A word that only the last labelled documents hold is counted, learned and order-free."""
+    rows = [(i, f"w{i % 97} w{i % 89} {'vile' if i % 4 == 0 else 'nice'} w{i % 83}") for i in range(7600)]
+    rows += [(i, f"w{i % 97} {'rarevile' if i % 2 else 'rarenice'} w{i % 89} w{i % 83}") for i in range(7600, 8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(
+        [(i, int("vile" in t)) for i, t in rows], "doc_id long, toxic int"
+    )
+    config = toxicity.Config(shard=1000)
+    words = toxicity.word_rows(docs, config)
+    learned = toxicity.learned_rows(words, labels)
+    assert learned.count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows)
+    buckets, seen = toxicity.bucket_counts(learned, config.bits)
+    at = int(np.searchsorted(buckets, toxicity.bucket("rarevile", config.bits)))
+    assert seen[:, at].tolist() == [0, sum("rarevile" in t and zlib.crc32(str(i).encode()) % 5 != 0 for i, t in rows)]
+    found = {r.doc_id: (r.score, r.predicted) for r in toxicity.toxicity(docs, labels, config).collect()}
+    wrong = sum(found[i][1] != int("vile" in t) for i, t in rows)
+    assert wrong < 0.02 * len(rows)
+    again = toxicity.toxicity(docs.repartition(7), labels.repartition(3), config).collect()
+    assert {r.doc_id: (r.score, r.predicted) for r in again} == found
+
+
 def test_language_guess_counts_every_word():
     words = ["the" if i % 4 == 0 else "und" for i in range(1600)]
     assert toxicity.guess(words) == toxicity.guess(words[:799]) == "de"
