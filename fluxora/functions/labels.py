@@ -67,8 +67,8 @@ def period_label(year: Column, month: Column) -> Column:
 
 def parse_period(col: Column) -> Column:
     """Month start from ``YYYYMM`` (a trailing ``.0`` is dropped); anything else is NULL."""
-    text = F.regexp_replace(F.trim(col.cast("string")), r"\.0$", "")
-    return F.when(text.rlike(r"^\d{6}$"), F.try_to_timestamp(text, F.lit("yyyyMM")))
+    digits = F.regexp_extract(F.trim(col.cast("string")), r"^(\d{6})(?:\.0)?\z", 1)
+    return F.try_to_timestamp(F.nullif(digits, F.lit("")), F.lit("yyyyMM"))
 
 
 def lookup(col: Column, table: dict[str, str]) -> Column:

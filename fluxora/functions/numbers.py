@@ -16,25 +16,24 @@ NULL_TOKENS = ("", "nan", "None", "NA", "N/A", "<NA>", "-", "--")
 
 
 # Digits, an optional point and exponent; type letters such as ``12d`` are not numbers.
-PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+# With blanks of any kind (no-break spaces too) at either end.
+SPACED_NUMBER = f"^(?:{BLANKS})?({NUMBER})(?:{BLANKS})?$"
+SPACED_TOKEN = f"^(?:{BLANKS})?(?:{'|'.join(NULL_TOKENS)})(?:{BLANKS})?$"
 
-
-def stripped(col: Column) -> Column:
-    """Text without blanks of any kind (no-break spaces too) at either end."""
-    return F.regexp_replace(col.cast("string"), f"^{BLANKS}|{BLANKS}$", "")
+# A value named twice in an expression is computed twice, branches of a condition apart.  So
+# that a cell costs one pass of its pattern, every rule below names its text once.
 
 
 def parse_number_br(col: Column) -> Column:
     """``1.234,56`` -> 1234.56; ``R$`` and blanks are dropped, bad text becomes NULL."""
-    text = stripped(col)
-    text = F.when(~text.isin(*NULL_TOKENS), text)
-    text = F.replace(F.regexp_replace(text, BLANKS, ""), F.lit("R$"), F.lit(""))
-    text = F.translate(F.replace(text, F.lit("."), F.lit("")), ",", ".")
-    return F.when(text.rlike(PLAIN_NUMBER), text).try_cast("double")
+    text = F.replace(F.regexp_replace(col.cast("string"), BLANKS, ""), F.lit("R$"), F.lit(""))
+    # Points go, the comma becomes one.  No missing token holds a digit, so none is a number.
+    return F.regexp_extract(F.translate(text, ",.", "."), f"^{NUMBER}$", 0).try_cast("double")
 
 
 def parse_number_plain(col: Column) -> Column:
-    return finite(stripped(col))
+    return finite(col)
 
 
 def textual_columns(df: DataFrame, columns: list[str]) -> list[str]:
@@ -51,9 +50,8 @@ def textual_columns(df: DataFrame, columns: list[str]) -> list[str]:
 
 def any_not_plain(name: str) -> Column:
     """Aggregate: does any present cell of the column fail to read as a plain number?"""
-    text = stripped(F.col(name))
-    present = text.isNotNull() & ~text.isin(*NULL_TOKENS)
-    return F.max(present & finite(text).isNull())
+    cell = F.col(name)
+    return F.max(cell.isNotNull() & finite(cell).isNull() & ~cell.cast("string").rlike(SPACED_TOKEN))
 
 
 def to_numbers(
@@ -91,9 +89,8 @@ def to_numbers(
 
 def finite(col: Column) -> Column:
     """Number or NULL: text that does not parse, NaN and infinities are missing."""
-    text = stripped(col)
-    number = F.when(text.rlike(PLAIN_NUMBER), text).try_cast("double")
-    return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+    number = F.regexp_extract(col.cast("string"), SPACED_NUMBER, 1).try_cast("double")
+    return F.get(F.filter(F.array(number), lambda n: F.abs(n) != float("inf")), F.lit(0))
 
 
 def valid_positive(col: Column) -> Column:

@@ -145,3 +145,24 @@ def test_components_are_monotone(spark):
     ).orderBy("x").collect()
     for a, b in zip(row, row[1:]):
         assert a["up"] <= b["up"] and a["down"] >= b["down"] and a["balance"] < b["balance"]
+
+
+def test_a_number_costs_one_pass_of_its_pattern(spark):
+    df = spark.createDataFrame([("1,5", 2026)], "v string, ano int")
+
+    def passes(number):
+        plan = df.select(number.alias("x"))._jdf.queryExecution().optimizedPlan().toString().lower()
+        return sum(plan.count(word) for word in ("regexp_replace", "regexp_extract", "rlike"))
+
+    assert passes(numbers.finite(F.col("v"))) == 1
+    assert passes(numbers.parse_number_plain(F.col("v"))) == 1
+    assert passes(numbers.parse_number_br(F.col("v"))) == 2
+    assert passes(labels.parse_period(F.col("v"))) == 1
+
+
+def test_numbers_at_the_edges(values):
+    raw = ["1e999", "-1e999", " 5. ", ".5", " 1e3\n", "1\n2", "--", "9" * 400, "+", "١"]
+    assert values(numbers.finite, raw) == [None, None, 5.0, 0.5, 1000.0, None, None, None, None, None]
+    texts = [" 199904.0 ", "199904\n", "199904.0.0", "199913", "19990", None]
+    found = values(labels.parse_period, texts)
+    assert [d and (d.year, d.month) for d in found] == [(1999, 4), None, None, None, None, None]
