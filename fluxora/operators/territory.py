@@ -436,13 +436,15 @@ def decode(
 
     The dictionary has (domain, code, label) with one label per (domain, code).
     Unmapped codes keep their own text (integers without ``.0``); results are trimmed.
-    Each domain is one left join; Spark broadcasts a domain when its size allows it.
+    Each domain is one left join.  Codes are few values of many rows, so a domain is counted and
+    broadcast: dealt by code, all rows of one code would meet in one task.
     """
     out = df
     for column, domain in columns.items():
         labels = dictionary.where(F.col("domain") == domain).select(
             F.col("code").alias("__code"), F.col("label").alias("__label")
         )
+        labels = counted_side(labels, "labels")
         text = F.regexp_replace(F.trim(F.col(column).cast("string")), r"^(-?\d+)\.0$", "$1")
         out = (
             out.withColumn("__code", text)

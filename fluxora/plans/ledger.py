@@ -89,6 +89,20 @@ def isolated(
     return attempt(periods) if periods else {}
 
 
+DEALT_BYTES = 64 << 20
+
+
+def dealt(files: DataFrame) -> DataFrame:
+    """Listed files dealt out in turn to tasks of some 64 MB each, at most one task a file.
+
+    A listing is one small table, so without this one task would read all of its files.
+    """
+    sizes = files.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")).first()
+    least = files.sparkSession.sparkContext.defaultParallelism
+    tasks = min(sizes["files"], max(least, (sizes["bytes"] or 0) // DEALT_BYTES + 1))
+    return files.repartition(max(1, tasks))
+
+
 def file_digests(spark: SparkSession, listed: DataFrame, path: str) -> DataFrame:
     """path and sha256 of the listed files; only new or changed files are read.
 
@@ -106,7 +120,7 @@ def file_digests(spark: SparkSession, listed: DataFrame, path: str) -> DataFrame
         known.alias("k"), same[0] & same[1] & same[2], "left"
     ).select(*[F.col(f"l.{c}").alias(c) for c in facts], "k.sha256")
     joined = stage(joined.dropDuplicates(["path"]), "digests-known")
-    fresh = joined.filter("sha256 IS NULL").drop("sha256")
+    fresh = dealt(joined.filter("sha256 IS NULL").drop("sha256"))
     fresh = stage(fresh.join(digests(fresh), "path").select(*facts, "sha256"), "digests-new")
     fresh.write.mode("append").parquet(path)
     return joined.filter("sha256 IS NOT NULL").unionByName(fresh).select("path", "sha256")

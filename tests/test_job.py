@@ -8,8 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxora.operators import movement as mv
+from fluxora.operators.territory import decode
 from fluxora.plans import job as jobs
+from fluxora.plans import ledger
 from fluxora.plans.ledger import isolated, read_ledger
+from fluxora.sources.files import digests, listing
 
 COLUMNS = (
     "competênciamov;saldomovimentação;horascontratuais;salário;valorsaláriofixo;uf;município;regiao;seção;sexo;idade"
@@ -133,3 +136,29 @@ def test_isolation_counts_its_jobs():
         isolated(broken, [(2000 + i, 1) for i in range(500)])
     assert len(calls) <= 14
     assert isolated(broken, []) == {}
+
+
+def test_new_files_are_dealt_out_for_their_digests(spark, tmp_path, monkeypatch):
+    listed = spark.createDataFrame(
+        [(f"file:/x/{i}.csv", 40 << 20) for i in range(30)], "path string, length long"
+    ).coalesce(1)
+    dealt = ledger.dealt(listed)
+    assert dealt.rdd.getNumPartitions() == 19  # 1200 MB in parts of 64 MB
+    assert max(dealt.rdd.glom().map(len).collect()) == 2
+    assert ledger.dealt(listed.limit(2)).rdd.getNumPartitions() == 2
+    assert ledger.dealt(listed.limit(0)).collect() == []
+    seen = []
+    monkeypatch.setattr(ledger, "digests", lambda files: seen.append(files.rdd.getNumPartitions()) or digests(files))
+    for i in range(6):
+        (tmp_path / f"{i}.csv").write_text("a;b\n" * i)
+    found = ledger.file_digests(spark, listing(spark, str(tmp_path), "*.csv"), str(tmp_path / "digests"))
+    assert found.count() == 6 and seen == [4]
+
+
+def test_rows_of_one_code_are_not_gathered(spark):
+    df = spark.createDataFrame([("F", 1), ("F", 2), ("X", 3), (None, 4)], "sexo string, i int")
+    names = spark.createDataFrame([("sexo", "F", "Fechado")], "domain string, code string, label string")
+    out = decode(df, names, {"sexo": "sexo"})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {(r.sexo, r.i) for r in out.collect()} == {("Fechado", 1), ("Fechado", 2), ("X", 3), (None, 4)}
