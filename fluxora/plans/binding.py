@@ -28,18 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 SMALL_INPUT = 1 << 30
+PART_BYTES = 4 << 20
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash a small scan over all cores.
+def spread(df: DataFrame, key: str, joined: bool = False) -> DataFrame:
+    """Hash a scan over all cores, in parts of some 4 MB of its files.
 
     A table under 1 GiB may be a single file with a single row group, which one task
-    would read and then aggregate alone.  Larger inputs keep their own splits.
+    would read and then aggregate alone.  Larger inputs keep their own splits, unless they
+    are ``joined`` by ``key`` next, which has to deal them out anyway.  The number of parts
+    grows with the table, so that one part does not.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= SMALL_INPUT:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= SMALL_INPUT and not joined:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, size // PART_BYTES)
+    return df.repartition(parts, key)
 
 
 def star_spec() -> IndexSpec:
@@ -108,8 +112,18 @@ def movements(spark: SparkSession, sf_dir: str, columns: Sequence[str]) -> DataF
     def t(name: str) -> DataFrame:
         return table(spark, sf_dir, name)
 
-    # Every foreign key has exactly one match, so inner joins keep all rows.
-    df = spread(t("lineitem"), "l_orderkey")
+    # Every foreign key has exactly one match, so inner joins keep all rows.  Orders come first:
+    # their join finds the rows dealt out by its key.
+    ordered = wants(*ORDER, *CUSTOMER)
+    df = spread(t("lineitem"), "l_orderkey", ordered)
+    if ordered:
+        df = df.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if wants(*CUSTOMER):
+        df = df.join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        if wants("pais", "continente"):
+            df = df.join(t("nation").alias("cn"), F.col("c_nationkey") == F.col("cn.n_nationkey"))
+        if wants("continente"):
+            df = df.join(t("region").alias("cr"), F.col("cn.n_regionkey") == F.col("cr.r_regionkey"))
     if wants(*PLACE):
         df = df.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         if wants("uf", "regiao"):
@@ -118,14 +132,6 @@ def movements(spark: SparkSession, sf_dir: str, columns: Sequence[str]) -> DataF
             df = df.join(t("region").alias("sr"), F.col("sn.n_regionkey") == F.col("sr.r_regionkey"))
     if wants(*PART):
         df = df.join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    if wants(*ORDER, *CUSTOMER):
-        df = df.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    if wants(*CUSTOMER):
-        df = df.join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        if wants("pais", "continente"):
-            df = df.join(t("nation").alias("cn"), F.col("c_nationkey") == F.col("cn.n_nationkey"))
-        if wants("continente"):
-            df = df.join(t("region").alias("cr"), F.col("cn.n_regionkey") == F.col("cr.r_regionkey"))
     return df.select(*[rules[c].alias(c) for c in columns])
 
 
