@@ -11,6 +11,7 @@ DATA = "/root/testdata/sf0.001"
 KEYS = (
     "gate_periods",
     "reconcile_totals",
+    "validate_gold",
 )
 
 
