@@ -12,6 +12,7 @@ KEYS = (
     "gate_periods",
     "reconcile_totals",
     "validate_gold",
+    "pca_dimensions",
 )
 
 
