@@ -14,6 +14,7 @@ KEYS = (
     "validate_gold",
     "pca_dimensions",
     "territory_indicators",
+    "wage_by_faixa_etaria_instrucao",
 )
 
 
