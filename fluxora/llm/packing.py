@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxora.llm.common import doc_view, map_rows, staged, texts
+from fluxora.llm.common import doc_view, map_rows, staged
 from fluxora.llm.tokens import WORD_BPE, encoder
 
 ROOM = 4096
@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, room: int = ROOM, path: str | None = None) -> DataFr
         def work(batch: pa.RecordBatch) -> list[dict]:
             rows = []
             ids = batch.column("doc_id").to_pylist()
-            for doc_id, raw in zip(ids, work_on.encode_all(texts(batch))):
+            for doc_id, raw in zip(ids, work_on.encode_column(batch.column("text"))):
                 raw += END
                 for n, at in enumerate(range(0, len(raw), 4 * room)):
                     part = raw[at : at + 4 * room]

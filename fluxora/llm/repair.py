@@ -5,7 +5,8 @@ Texts are encoded, each document ends with id 0, and documents are written in as
 each shard frequent pairs of symbols are replaced by nonterminals, again and again.  One
 round counts all pairs and replaces many at once: the most frequent first, each unless it
 could overlap one already taken, so a round equals replacing its pairs one after the other.
-Rounds go on until no pair reaches the least count.
+Rounds go on until no pair reaches the least count.  A round looks only where a pair was
+frequent in the one before or a nonterminal is new; all other pairs are too rare for good.
 Pairs never reach across a document's end, so every document is a run of symbols.
 
 A shard's bytes hold the header, the rules with the length each expands to, the table of
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxora.llm.common import doc_view, map_rows, slices, staged, texts
+from fluxora.llm.common import doc_view, map_rows, slices, staged
 from fluxora.llm.tokens import BYTE_BPE, encoder
 
 MAGIC = b"RPG1"
@@ -47,77 +48,94 @@ class Grammar:
     least: int = 4
 
 
-def frequent(pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs that occur ``least`` times and more, ascending, and their counts.
+def by_pair(pairs: np.ndarray, at: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs and their ascending places, by pair and then place."""
+    bits = symbols.bit_length()
+    if len(pairs) and int(pairs.max()) >> (63 - bits):
+        order = np.argsort(pairs, kind="stable")
+        return pairs[order], at[order]
+    keys = np.sort((pairs << bits) | at)  # one number for both: sorted without an order
+    return keys >> bits, keys & ((1 << bits) - 1)
 
-    Pairs are counted by a hash first: what shares its place with fewer cannot be frequent, so
-    only the rest, ever fewer from round to round, is sorted.
-    """
-    place = (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
-    place = place.astype(np.int64)
-    counts = np.bincount(place, minlength=1 << 18)
-    found, counts = np.unique(pairs[counts[place] >= least], return_counts=True)
+
+def frequent(pairs: np.ndarray, at: np.ndarray, symbols: int, least: int) -> tuple[np.ndarray, ...]:
+    """The distinct pairs that occur ``least`` times and more, ascending; their counts; their places."""
+    pairs, at = by_pair(pairs, at, symbols)
+    starts = np.flatnonzero(np.diff(pairs, prepend=-1))
+    counts = np.diff(starts, append=len(pairs))
     often = counts >= least
-    return found[often], counts[often]
+    return pairs[starts[often]], counts[often], at[np.repeat(often, counts)]
 
 
 def choose(pairs: np.ndarray, counts: np.ndarray, base: int, grammar: Grammar) -> np.ndarray:
     """Frequent pairs none of which can overlap another, as a sorted array."""
     # The pairs come sorted, so a stable order by count leaves ties in the order of the pairs.
-    order = np.argsort(-counts, kind="stable")[: 2 * grammar.pairs]
-    lefts: set[int] = set()
-    rights: set[int] = set()
-    taken = []
-    pairs = pairs[order]
-    for p, a, b in zip(pairs.tolist(), (pairs // base).tolist(), (pairs % base).tolist()):
-        if a in rights or b in lefts or a == b and (a in lefts or b in rights):
-            continue
-        lefts.add(a)
-        rights.add(b)
-        taken.append(p)
-        if len(taken) == grammar.pairs:
-            break
-    return np.array(sorted(taken), dtype=np.int64)
-
-
-def replace(seq: np.ndarray, pairs: np.ndarray, taken: np.ndarray, base: int, first: int) -> np.ndarray:
-    """``seq`` with every taken pair (left to right) replaced by its nonterminal."""
-    lefts, rights = np.zeros(base, bool), np.zeros(base, bool)
-    lefts[taken // base], rights[taken % base] = True, True
-    maybe = np.flatnonzero(lefts[seq[:-1]] & rights[seq[1:]])
-    found = np.searchsorted(taken, pairs[maybe])
-    found[found == len(taken)] = 0
-    hit = taken[found] == pairs[maybe]
-    at, found = maybe[hit], found[hit]
+    pairs = pairs[np.argsort(-counts, kind="stable")[: 2 * grammar.pairs]]
+    lefts, rights = pairs // base, pairs % base
+    none = len(pairs)
+    left_at, right_at = np.full(base, none), np.full(base, none)  # the first open pair a symbol is in
+    left_of, right_of = np.zeros(base, bool), np.zeros(base, bool)  # of pairs taken
+    taken = np.zeros(none, bool)
+    todo = np.arange(none)
+    # What overlaps no open pair before it is taken, what overlaps a taken one is refused: as one by one.
+    while len(todo):
+        a, b = lefts[todo], rights[todo]
+        left_at[a[::-1]], right_at[b[::-1]] = todo[::-1], todo[::-1]
+        now = (right_at[a] >= todo) & (left_at[b] >= todo)
+        left_at[a], right_at[b] = none, none
+        taken[todo[now]] = True
+        left_of[a[now]], right_of[b[now]] = True, True
+        todo = todo[~(now | right_of[a] | left_of[b])]
+    return np.sort(pairs[taken][: grammar.pairs])
+
+
+def replace(
+    seq: np.ndarray, found: np.ndarray, counts: np.ndarray, places: np.ndarray, taken: np.ndarray, base: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """``seq`` with every taken pair (left to right) replaced by its nonterminal.
+
+    Also where a pair may be frequent now: at a new nonterminal, or where one was before.  Any
+    other pair has occurred too seldom already and can only become rarer.
+    """
+    number = np.full(len(found), -1, np.int64)
+    number[np.searchsorted(found, taken)] = np.arange(len(taken))
+    new = np.repeat(number, counts)
+    at, new = places[new >= 0], new[new >= 0]
     # In a run of one symbol only every other pair can be replaced.
-    same = taken[found] // base == taken[found] % base
+    same = (taken // base == taken % base)[new]
     if same.any():
         run = at[same]
-        begins = np.concatenate([[True], np.diff(run) > 1])
+        begins = np.concatenate([[True], np.diff(run) != 1])
         starts = run[np.maximum.accumulate(np.where(begins, np.arange(len(run)), 0))]
         keep = ~same
         keep[same] = (run - starts) % 2 == 0
-        at, found = at[keep], found[keep]
+        at, new = at[keep], new[keep]
     out = seq.copy()
-    out[at] = first + found
+    out[at] = base + new
     kept = np.ones(len(out), bool)
     kept[at + 1] = False
-    return out[kept]
+    live = np.zeros(len(out), bool)
+    live[places] = True
+    kept = np.flatnonzero(kept)
+    out, live = out[kept], live[kept]
+    live[:-1] |= out[1:] >= base
+    live[:-1] &= (out[:-1] != 0) & (out[1:] != 0)
+    return out, np.flatnonzero(live[:-1])
 
 
 def compress(seq: np.ndarray, grammar: Grammar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (left, right) and the length each rule expands to."""
     rules = np.zeros((0, 2), np.int64)
     lengths = np.ones(grammar.first, np.int64)
-    while len(seq) >= 2:
+    live = np.flatnonzero((seq[:-1] != 0) & (seq[1:] != 0))
+    while len(live):
         base = len(lengths)
-        pairs = seq[:-1] * base + seq[1:]
-        pairs[(seq[:-1] == 0) | (seq[1:] == 0)] = -1
-        found, counts = frequent(pairs[pairs >= 0], grammar.least)
+        pairs = seq[live].astype(np.int64) * base + seq[live + 1]
+        found, counts, places = frequent(pairs, live, len(seq), grammar.least)
         taken = choose(found, counts, base, grammar)
         if not len(taken):
             break
-        seq = replace(seq, pairs, taken, base, base)
+        seq, live = replace(seq, found, counts, places, taken, base)
         left, right = taken // base, taken % base
         rules = np.concatenate([rules, np.stack([left, right], axis=1)])
         lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
@@ -126,7 +144,7 @@ def compress(seq: np.ndarray, grammar: Grammar) -> tuple[np.ndarray, np.ndarray,
 
 def shard_bytes(doc_ids: list, ids: list[bytes], grammar: Grammar) -> bytes:
     """A shard of documents, each given as its ids with the end id."""
-    raw = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+    raw = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
     seq, rules, lengths = compress(raw, grammar)
     # Documents end where their sizes say: id 0 may also stand inside a text ("!").
     inner = np.flatnonzero(seq == 0)
@@ -200,6 +218,18 @@ def expand(symbols: np.ndarray, shard: Shard) -> np.ndarray:
         seq = out
 
 
+def decode(shard: Shard) -> np.ndarray:
+    """All ids of the shard: each rule is expanded once, and the lengths say where it lies."""
+    rules = expand(shard.rules.ravel(), shard)
+    known = np.concatenate([np.arange(shard.first), rules])
+    sizes = np.concatenate([np.ones(shard.first, np.int64), shard.lengths])
+    starts = np.cumsum(sizes) - sizes
+    size = sizes[shard.symbols]
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return known[np.repeat(starts[shard.symbols] - ends + size, size) + np.arange(total)]
+
+
 def stretch(shard: Shard, doc: int, start: int, stop: int) -> np.ndarray:
     """Ids ``start`` to ``stop`` of one document, expanding only the symbols they touch."""
     begin = int(shard.ends[doc - 1]) if doc else 0
@@ -248,7 +278,7 @@ def write_shards(
         def work(batch: pa.RecordBatch) -> list[dict]:
             rows = []
             names = batch.column("doc_id").to_pylist()
-            for doc_id, raw in zip(names, work_on.encode_all(texts(batch))):
+            for doc_id, raw in zip(names, work_on.encode_column(batch.column("text"))):
                 doc_ids.append(doc_id)
                 ids.append(raw + END)
                 state["ids"] += len(raw) // 4 + 1
@@ -284,7 +314,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for batch in slices(batches, 8):
             for base, data in zip(batch.column("base").to_pylist(), batch.column("data").to_pylist()):
                 shard = open_shard(data)
-                raw = expand(shard.symbols, shard).astype("<u4").tobytes()
+                raw = memoryview(decode(shard).astype("<u4").tobytes())
                 starts = np.concatenate([[0], np.cumsum(shard.sizes)])
                 crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(

@@ -1,9 +1,10 @@
 """Token ids by the tokenizers library, remembered per piece of text.
 
 Both vocabularies cut a text into words before they merge, and no word reaches across the
-place where a non-space meets a space or line feed.  So a text is cut there, each distinct
-piece is encoded once per worker, and the ids are joined.  Texts with any other white space
-are encoded as a whole.  ``tests/llm`` holds the two ways against each other.
+place where a non-space meets a space or line feed, or an ASCII letter one of ``MARKS``.  So
+the texts of a slice are cut there all at once, Arrow finds the distinct pieces, those not
+known to the worker are encoded, and the ids are taken per piece.  Texts with any other white
+space are one piece.  ``tests/llm`` holds the two ways against each other.
 """
 
 from __future__ import annotations
@@ -12,21 +13,27 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from fluxora.llm.common import worker_store
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
-OTHER_SPACE = re.compile(r"[^\S \n]")
+# White space that is neither a space nor a line feed; none lies beyond U+3000.
+OTHER_SPACE = "[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]"
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 LETTER = re.compile(f"[{LETTERS}]")
 # A piece of these letters alone is one word to either vocabulary.
 WORD = re.compile(f" ?[{LETTERS}]+")
 MARKS = ".,;:!?#$%&*|"
-REMEMBERED = 300_000  # about 80 MB a worker
+REMEMBERED = 500_000  # about 130 MB a worker
 AT_ONCE = 1000
+BYTES_AT_ONCE = 1 << 21  # of text, unless a single one is longer
+OTHER, SPACE, LINE, ALPHA, SIGN = range(5)
 BIG_ENDIAN = sys.byteorder == "big"
 MARK = "<|endoftext|>"
 
@@ -38,22 +45,51 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def byte_kinds() -> bytes:
+    """The kind of each byte, as a table for ``bytes.translate``."""
+    table = bytearray(256)
+    for kind, members in ((SPACE, b" "), (LINE, b"\n"), (SIGN, MARKS.encode())):
+        for b in members:
+            table[b] = kind
+    for b in range(256):
+        if chr(b).isascii() and chr(b).isalpha():
+            table[b] = ALPHA
+    return bytes(table)
+
+
+def byte_cuts(spaces_count: bool) -> bytes:
+    """Whether a piece begins at a byte: a table of 8 times the kind before it plus its own."""
+    table = bytearray(256)
+    for before in (OTHER, ALPHA, SIGN):
+        for space in (SPACE, LINE):
+            table[8 * before + space if spaces_count else 8 * space + before] = 1
+    table[8 * ALPHA + SIGN] = table[8 * SIGN + ALPHA] = 1
+    return bytes(table)
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids; one per worker and vocabulary."""
 
     def __init__(self, path: str, spaces_count: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
         self.mark = self.plain.token_to_id(MARK)
-        self.pieces = re.compile(r"[ \n]*[^ \n]+|[ \n]+" if spaces_count else r"[^ \n]+").findall
+        self.kinds, self.cuts = byte_kinds(), byte_cuts(spaces_count)
         self.known: dict[str, bytes] = {}
         self.model = self.plain.model
         self.lower = not spaces_count
         self.letters = byte_letters()
         self.space = self.letters[0x20]
+        # The same model on words that are spelled and told apart already.
+        self.spelled = Tokenizer(self.model)
+        self.spelled.pre_tokenizer = WhitespaceSplit()
+        vocabulary = self.plain.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t[0] == self.space]] = True
 
     def word(self, piece: str) -> bytes:
         """Ids of a single word: the library's model on the word's byte letters."""
@@ -66,6 +102,25 @@ class Encoder:
             spelled = piece.encode().decode("latin-1").translate(self.letters)
         return self.packed([t.id for t in self.model.tokenize(spelled)])
 
+    def spaced_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words behind a space, encoded together: the space tells them apart."""
+        out = {}
+        for at in range(0, len(words), AT_ONCE):
+            part = words[at : at + AT_ONCE]
+            joined = "".join(part)
+            if joined.isascii():
+                joined = joined.replace(" ", " " + self.space)
+            else:
+                spelled = joined.encode().decode("latin-1").translate(self.letters)
+                joined = spelled.replace(self.space, " " + self.space)
+            found = self.spelled.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+            ids = np.array(found, "<u4")
+            starts = np.flatnonzero(self.begins[ids]).tolist()
+            raw = ids.tobytes()
+            for p, a, b in zip(part, starts, [*starts[1:], len(ids)], strict=True):
+                out[p] = raw[4 * a : 4 * b]
+        return out
+
     @staticmethod
     def packed(ids: list[int]) -> bytes:
         out = array("I", ids)
@@ -102,6 +157,10 @@ class Encoder:
         """
         known, parts, out = self.known, {}, {}
         word, is_word = self.word, WORD.fullmatch
+        if not self.lower:
+            spaced = [p for p in pieces if p[0] == " " and (p.isascii() and p[1:].isalpha() or is_word(p))]
+            out = self.spaced_words(sorted(spaced, key=str.isascii))
+            pieces = pieces.difference(spaced)
         for p in pieces:
             if is_word(p):
                 out[p] = word(p)
@@ -122,28 +181,70 @@ class Encoder:
             known.update(out)
         return out
 
+    def pieces(self, texts: pa.LargeStringArray, whole: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts, and where those of each text begin and the last end.
+
+        Texts marked in ``whole`` are one piece.  Spaces that do not count are dropped.
+        """
+        n = len(texts)
+        places = np.frombuffer(texts.buffers()[1], np.int64, n + 1, 8 * texts.offset)
+        size = int(places[-1] - places[0])
+        data = texts.buffers()[2].slice(int(places[0]), size).to_pybytes() if size else b""
+        places = places - places[0]
+        kinds = np.frombuffer(data.translate(self.kinds), np.uint8)
+        begins = np.zeros(size + 1, bool)
+        pairs = (kinds[:-1] << 3) | kinds[1:]
+        begins[1:size] = np.frombuffer(pairs.tobytes().translate(self.cuts), bool)
+        begins[places] = True
+        if not self.lower:
+            # A single line feed and the letter behind it are two words.
+            line = np.flatnonzero(begins[:size] & (kinds == LINE))
+            line = line[line < size - 1]
+            begins[line[kinds[line + 1] == ALPHA] + 1] = True
+        alone = [(int(places[i]), int(places[i + 1])) for i in np.flatnonzero(whole)]
+        for start, end in alone:
+            begins[start + 1 : end] = False
+        begins = begins[:size]
+        if self.lower:
+            kept = (kinds != SPACE) & (kinds != LINE)
+            for start, end in alone:
+                kept[start:end] = True
+            places = np.concatenate([[0], np.cumsum(kept)])[places]
+            begins, size = begins[kept], int(places[-1])
+            data = np.frombuffer(data, np.uint8)[kept]
+        starts = np.flatnonzero(begins)
+        offsets = np.append(starts, size).astype(np.int64)
+        cut = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data))
+        return cut, np.searchsorted(starts, places)
+
+    def encode_some(self, texts: pa.LargeStringArray) -> list[bytes]:
+        odd = pc.match_substring_regex(texts, OTHER_SPACE)
+        whole = {t: self.whole(t) for t in texts.filter(odd).to_pylist()}
+        cut, places = self.pieces(texts, odd.to_numpy(zero_copy_only=False))
+        cut = cut.dictionary_encode()
+        distinct = cut.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist takes ten times as long
+        found = list(map(self.known.get, distinct))
+        if None in found:
+            learnt = self.learn({p for p, f in zip(distinct, found) if f is None and p not in whole}) | whole
+            found = [learnt[p] if f is None else f for p, f in zip(distinct, found)]
+        ids = pa.array(found, pa.large_binary()).take(cut.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)[places].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [raw[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text of a column, null as empty; so many at once as have a bounded size."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            before = int(sizes[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + BYTES_AT_ONCE, side="right")))
+            yield from self.encode_some(texts.slice(at, end - at))
+            at = end
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; unknown pieces of all are gathered first."""
-        out: list[bytes | None] = []
-        cut: list[tuple[int, list[str], list[bytes | None]]] = []
-        missing: set[str] = set()
-        for i, text in enumerate(texts):
-            if OTHER_SPACE.search(text):
-                out.append(self.whole(text))
-                continue
-            pieces = self.pieces(text)
-            found = list(map(self.known.get, pieces))
-            if None in found:
-                missing.update([p for p, f in zip(pieces, found) if f is None])
-                cut.append((i, pieces, found))
-                out.append(None)
-            else:
-                out.append(b"".join(found))
-        if missing:
-            learnt = self.learn(missing)
-            for i, pieces, found in cut:
-                out[i] = b"".join([learnt[p] if f is None else f for p, f in zip(pieces, found)])
-        return out
+        return list(self.encode_column(pa.array(texts, pa.large_string())))
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]

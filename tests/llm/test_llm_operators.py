@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -81,6 +83,38 @@ def test_tokens_equal_whole_texts(docs, name):
     assert got == [encode.whole(t) for t in texts] * 2
 
 
+@pytest.mark.parametrize("name", [tokens.BYTE_BPE, tokens.WORD_BPE])
+def test_tokens_of_columns_equal_whole_texts(name, monkeypatch):
+    rng = np.random.default_rng(11)
+    signs = list("abTs  \n\n.,:;!?#$%&*|<>'\"12é×ÿßΣ日\t\xa0\u2028\x00") + ["<|endoftext|>", " ab", "'s", "\nAb", "e\u0301"]
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 24)))) for _ in range(3000)]
+    texts = [None if i % 97 == 0 else t for i, t in enumerate(texts)]
+    expected = [tokens.encoder(name).whole(t or "") for t in texts]
+    for size in (1, 300, 1 << 21):
+        monkeypatch.setattr(tokens, "BYTES_AT_ONCE", size)
+        encode = tokens.Encoder(public_tokenizers.path(name), name == tokens.BYTE_BPE)
+        for kind in (pa.string(), pa.large_string()):
+            assert list(encode.encode_column(pa.array(texts, kind).slice(5, 2500))) == expected[5:2505]
+    assert list(encode.encode_column(pa.array([], pa.string()))) == []
+
+
+def test_tokens_look_up_a_piece_once_a_slice():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+
+    encode = tokens.Encoder(public_tokenizers.path(tokens.BYTE_BPE), True)
+    encode.known = Counted()
+    texts = [" ".join(f"word{chr(97 + (i * k) % 17)}" for i in range(200)) + "." for k in range(50)]
+    assert encode.encode_all(texts) == [encode.whole(t) for t in texts]
+    # 10,050 pieces, 35 of them distinct; then sentences end in known words and a known mark.
+    assert Counted.asked <= 40
+    assert encode.known["."] == encode.whole(".") and " worda." not in encode.known
+
+
 def test_repair_round_trip(spark, docs, odd):
     grammar = repair.Grammar(least=2)
     encode = tokens.encoder(tokens.BYTE_BPE)
@@ -124,6 +158,36 @@ def test_repair_goes_on_until_no_pair_is_frequent():
     assert repair.expand(shard.symbols, shard).astype("<u4").tobytes() == b"".join(raws)
 
 
+def test_repair_looks_only_where_pairs_can_be_frequent(monkeypatch):
+    seen, real = [], repair.frequent
+
+    def spy(pairs, *rest):
+        seen.append(len(pairs))
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(repair, "frequent", spy)
+    rng = np.random.default_rng(5)
+    ids = np.minimum(rng.zipf(1.3, 60_000), 20_000).astype("<u4")
+    raws = [x.tobytes() + repair.END for x in np.split(ids, 50)]
+    shard = repair.open_shard(repair.shard_bytes(list(range(50)), raws, repair.Grammar(pairs=512)))
+    assert len(seen) > 4 and seen[-1] < 0.2 * len(shard.symbols) < 0.2 * seen[0]
+    inner = (shard.symbols[:-1] != 0) & (shard.symbols[1:] != 0)
+    pairs = Counter(zip(shard.symbols[:-1][inner].tolist(), shard.symbols[1:][inner].tolist()))
+    assert max(pairs.values()) < 4
+    assert repair.decode(shard).astype("<u4").tobytes() == b"".join(raws)
+
+
+def test_repair_decodes_by_lengths():
+    rng = np.random.default_rng(9)
+    for n in range(60):
+        ids = np.repeat(rng.integers(0, 6, 40 * n), rng.integers(1, 9, 40 * n)).astype("<u4")
+        raws = [x.tobytes() + repair.END for x in np.array_split(ids, 3)]
+        grammar = repair.Grammar(first=6, pairs=int(rng.integers(1, 5)), least=2)
+        shard = repair.open_shard(repair.shard_bytes([1, 2, 3], raws, grammar))
+        assert repair.decode(shard).astype("<u4").tobytes() == b"".join(raws)
+        assert repair.decode(shard).tolist() == repair.expand(shard.symbols, shard).tolist()
+
+
 def test_mixing_twin(spark, docs, odd):
     duckdb = pytest.importorskip("duckdb")
     for df in (docs, odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])):
