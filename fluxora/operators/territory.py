@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from fluxora.functions.text import (
 )
 from fluxora.operators.movement import movement_sums
 from fluxora.operators.order_stats import exact_quantiles, join_null_safe
-from fluxora.session import counted_side
+from fluxora.session import counted_side, passing_stages, stage_in_turns
 
 # Keys that stand for "no territory" (fixed values).
 NON_TERRITORIAL = ("IGNORADO",)
@@ -30,6 +30,11 @@ CATEGORY_COLUMNS = {
     "secao": "secao",
     "categoria": "categoria",
 }
+# What the indicators are computed from, beside the keys.
+INDICATOR_SOURCES = (
+    "saldomovimentacao", "admissao", "desligamento", "salario", "idade", "horascontratuais",
+    "indtrabparcial", "indtrabintermitente", *CATEGORY_COLUMNS.values(),
+)
 COUNT_COLUMNS = ("n_movimentacoes", "admissoes", "desligamentos", "saldo")
 INDICATORS = (
     *COUNT_COLUMNS,
@@ -113,8 +118,54 @@ def diversity(df: DataFrame, keys: Sequence[str], columns: dict[str, str]) -> Da
     )
 
 
-def territory_indicators(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The indicator columns per territory (and period, if among ``keys``)."""
+# A turn of :func:`territory_indicators` takes some 256 MB of the tables read; an eighth of
+# the rows is little enough on disk at any size.
+TURN_BYTES = 256 << 20
+MOST_TURNS = 8
+
+
+def turns_of(df: DataFrame) -> int:
+    """Turns for the tables that ``df`` reads; the most for a source of unknown size."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(1, min(MOST_TURNS, size // TURN_BYTES))
+
+
+def in_turns(df: DataFrame, keys: Sequence[str], turns: int) -> Iterator[DataFrame]:
+    """The rows of ``df`` in ``turns`` frames; rows with equal ``keys`` stand in one."""
+    turn = F.pmod(F.xxhash64(*keys), F.lit(turns))
+    for t in range(turns):
+        yield df.where(turn == t) if turns > 1 else df
+
+
+def territory_indicators(
+    df: DataFrame, keys: Sequence[str], row_key: str | None = None, turns: int | None = None
+) -> DataFrame:
+    """The indicator columns per territory (and period, if among ``keys``).
+
+    The rows are read and joined once and staged in a narrow form, then the territories are
+    computed; both in ``turns`` (given by the size of the input), so that the shuffle files of
+    one turn lie on disk at a time.  ``row_key`` names a column of ``df`` that cuts its rows
+    into turns below its joins; it should be the key of its largest join.
+    """
+    keys = list(keys)
+    spark = df.sparkSession
+    turns = turns or turns_of(df)
+
+    def results() -> Iterator[DataFrame]:
+        with passing_stages(spark):
+            cut = in_turns(df, [row_key], turns) if row_key else [df]
+            narrow = (part.select(*keys, *INDICATOR_SOURCES) for part in cut)
+            rows = stage_in_turns(spark, narrow, "territory-rows")
+            for part in in_turns(rows, keys, turns):
+                with passing_stages(spark):
+                    yield indicators_of(part, keys)
+
+    return stage_in_turns(spark, results(), "territory-indicators")
+
+
+def indicators_of(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The indicator columns of all rows at once; ``df`` is read several times."""
     keys = list(keys)
     hire = F.col("admissao") == 1
     leave = F.col("desligamento") == 1

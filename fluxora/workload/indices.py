@@ -11,7 +11,7 @@ from fluxora.operators import rank, report, territory
 from fluxora.plans.binding import movements, star_spec, suppliers
 from fluxora.session import stage
 from fluxora.workload.base import MOV, PLACES, query, r, rounded
-from fluxora.workload.territories import INDICATOR_INPUT, entropy_ctes
+from fluxora.workload.territories import INDICATOR_INPUT, ROW_KEY, entropy_ctes
 
 PERIOD = ["ano", "semestre"]
 PLACE = ["cod_municipio"]
@@ -428,8 +428,8 @@ def report_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def indicators(spark: SparkSession, sf: str) -> DataFrame:
-    df = movements(spark, sf, INDICATOR_INPUT)
-    return territory.territory_indicators(df, [*PERIOD, "municipio"])
+    df = movements(spark, sf, [ROW_KEY, *INDICATOR_INPUT])
+    return territory.territory_indicators(df, [*PERIOD, "municipio"], ROW_KEY)
 
 
 @query("pca_dimensions")

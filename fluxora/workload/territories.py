@@ -19,6 +19,8 @@ INDICATOR_INPUT = [
     "indtrabintermitente", "cbo2002ocupacao", "subclasse", "secao", "categoria",
 ]
 
+ROW_KEY = "chave"  # the key of the largest join
+
 
 def entropy_ctes(keys: str, columns: dict[str, str]) -> str:
     """CTEs e_<name>(keys, n_<name>, shannon_<name>) over mov."""
@@ -57,8 +59,8 @@ _K = "ano, semestre, municipio"
     FROM b {" ".join(f"LEFT JOIN e_{n} USING ({_K})" for n in CATS)}""",
 )
 def territory_indicators(spark: SparkSession, sf: str) -> DataFrame:
-    df = movements(spark, sf, INDICATOR_INPUT)
-    return rounded(territory.territory_indicators(df, KEYS))
+    df = movements(spark, sf, [ROW_KEY, *INDICATOR_INPUT])
+    return rounded(territory.territory_indicators(df, KEYS, ROW_KEY))
 
 
 @query(
