@@ -640,6 +640,25 @@ def test_toxicity_learns_from_all_labels(spark):
     assert {r.doc_id: (r.score, r.predicted) for r in again} == found
 
 
+@pytest.mark.parametrize("shard", [1000, 40])
+def test_toxicity_passes_do_not_depend_on_the_size(spark, monkeypatch, shard):
+    """Many shards pass every document as often as a single one."""
+    rows = [(i, f"w{i % 17} {'vile' if i % 4 == 0 else 'nice'} w{i % 13}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("vile" in t)) for i, t in rows], "doc_id long, toxic int")
+    config = toxicity.Config(shard=shard)
+    made, learn_round = [], toxicity.learn_round
+
+    def counting(use, model, weight, config, passes, number):
+        made.append((use.select("shard").distinct().count(), use.count(), passes))
+        return learn_round(use, model, weight, config, passes, number)
+
+    monkeypatch.setattr(toxicity, "learn_round", counting)
+    toxicity.fit(toxicity.word_rows(docs, config), labels, config)
+    assert sum(passes for _, _, passes in made) == config.epochs
+    assert (made[0][0] > 1) == (shard == 40) and len({n for _, n, _ in made}) == 1
+
+
 def test_language_guess_counts_every_word():
     words = ["the" if i % 4 == 0 else "und" for i in range(1600)]
     assert toxicity.guess(words) == toxicity.guess(words[:799]) == "de"
